@@ -120,10 +120,10 @@ def parse_model_text(text: str) -> dict[str, dict[str, list[str]]]:
     section = ""
     for line in text.splitlines():
         key, colon, rest = line.strip().partition(":")
-        if colon:
-            out.setdefault(section, {})[key.strip()] = rest.split()
-        elif key and key == key.upper():
+        if key and key == key.upper() and not rest.strip():
             section = key
+        elif colon:
+            out.setdefault(section, {})[key.strip()] = rest.split()
     return out
 
 
@@ -131,11 +131,12 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
     """Result files as (job, section, key, value)."""
     files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("job"), "value")
     lines = files.select("job", F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    heading = F.when(~F.col("line").contains(":") & (F.trim("line") != "") & (F.upper("line") == F.col("line")), F.trim("line"))
+    key, value = F.regexp_extract("line", r"^\s*([^:]*?)\s*(:|$)", 1), F.regexp_extract("line", r"^[^:]*:\s*(.*?)\s*$", 1)
+    heading = F.when((key != "") & (value == "") & (F.upper(key) == key), key)
     w = Window.partitionBy("job").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lines.withColumn("section", F.coalesce(F.last(heading, ignorenulls=True).over(w), F.lit("")))
-    kv = placed.where(F.col("line").contains(":"))
-    return kv.select("job", "section", F.trim(F.regexp_extract("line", "^([^:]*):", 1)).alias("key"), F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("value"))
+    placed = lines.select("job", "n", key.alias("key"), value.alias("value"), heading.alias("heading"))
+    placed = placed.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(w), F.lit("")))
+    return placed.where("heading IS NULL AND key <> ''").select("job", "section", "key", "value")
 
 
 def parse_block_header(line):
