@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Code points to a block; a block's dictionary and positions are held in memory.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 12_000_000
 #: Distinct words that an encoding task remembers before it starts anew.
 MEMO_WORDS = 1_000_000
 
-_PARTS = "block long, doc_id long, positions binary, bucket int, words binary"
+_HELD = "block long, doc_id long, positions binary"
+_LISTED = "block long, bucket int, words binary"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -55,8 +56,8 @@ class _Block:
         self.docs.append((doc_id, np.fromiter((at.setdefault(w, len(at)) for w in words), np.int64, len(words))))
         self.chars += len(text)
 
-    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        """Documents as positions, and the words of each bucket.
+    def rows(self, buckets: int, listed: bool) -> Iterator[pa.RecordBatch]:
+        """The words of each bucket, or the documents as positions.
 
         A word's position is its rank by frequency in its bucket, interleaved, so
         that common words have small positions and a position names its bucket.
@@ -66,24 +67,27 @@ class _Block:
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
         order = np.lexsort((np.arange(len(words)), -counts, bucket))
         starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        place = np.empty(len(words), np.int64)
-        place[order] = (np.arange(len(words)) - starts[bucket[order]]) * buckets + bucket[order]
-        docs = [(self.number, d, _pack(place[p]), None, None) for d, p in self.docs]
-        listed = [
-            (self.number, None, None, b, zlib.compress(b"\n".join(words[i] for i in order[starts[b] : starts[b + 1]]), 1))
-            for b in range(buckets)
-            if starts[b] < starts[b + 1]
-        ]
-        for part in (docs, listed):
-            for i in range(0, len(part), 2000):
-                columns = list(zip(*part[i : i + 2000]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))],
-                    ["block", "doc_id", "positions", "bucket", "words"],
-                )
-
+        if listed:
+            found = [b for b in range(buckets) if starts[b] < starts[b + 1]]
+            made = ((self.number, b, zlib.compress(b"\n".join([words[i] for i in order[starts[b] : starts[b + 1]]]), 6)) for b in found)
+            names, second = ["block", "bucket", "words"], pa.int32()
+        else:
+            place = np.empty(len(words), np.int64)
+            place[order] = (np.arange(len(words)) - starts[bucket[order]]) * buckets + bucket[order]
+            made = ((self.number, d, _pack(place[p])) for d, p in self.docs)
+            names, second = ["block", "doc_id", "positions"], pa.int64()
+        while part := list(islice(made, 1000)):
+            columns = list(zip(*part))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), second, pa.binary()))], names)
+
+
+def _split(buckets: int, block_chars: int, listed: bool):
+    """Cut a task's documents into blocks.
+
+    The words and the positions come from two passes over the same scan, which cuts
+    the same blocks; that costs a second split of the text and saves a stored copy.
+    """
 
-def _split(buckets: int, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         block = _Block(number)
@@ -91,12 +95,12 @@ def _split(buckets: int, block_chars: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 if block.docs and block.chars + len(text) > block_chars:
-                    yield from block.rows(buckets)
+                    yield from block.rows(buckets, listed)
                     number += 1
                     block = _Block(number)
                 block.add(doc_id, text)
         if block.docs:
-            yield from block.rows(buckets)
+            yield from block.rows(buckets, listed)
 
     return run
 
@@ -139,21 +143,24 @@ def _encode(tokenizer_json: str):
 def _assemble(pieces, buckets: int):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         piece = pieces.value
-        ids_of: dict[int, bytes] = {}
-        text_of: dict[int, str] = {}
-        for bucket, sizes, ids in zip(*(words.column(k).to_pylist() for k in ("bucket", "sizes", "ids"))):
-            flat, ends, start = _unpack(ids), np.cumsum(_unpack(sizes)).tolist(), 0
-            raw, names = flat.tobytes(), [piece[i] for i in flat.tolist()]
-            for rank, end in enumerate(ends):
-                if end > start:
-                    k = rank * buckets + bucket
-                    ids_of[k], text_of[k] = raw[4 * start : 4 * end], " ".join(names[start:end])
-                start = end
+        parts = [(b, _unpack(s), _unpack(i)) for b, s, i in zip(*(words.column(k).to_pylist() for k in ("bucket", "sizes", "ids")))]
+        top = max((len(s) for _, s, _ in parts), default=0) * buckets
+        start, size, flat = np.zeros(top, np.int64), np.zeros(top, np.int64), [np.empty(0, "<u4")]
+        at = 0
+        for b, s, i in parts:
+            place = np.arange(len(s)) * buckets + b
+            size[place], start[place] = s, at + np.cumsum(s) - s
+            flat.append(i)
+            at += len(i)
+        flat = np.concatenate(flat)
         ids, texts = [], []
         for blob in docs.column("positions").to_pylist():
-            at = _unpack(blob).tolist()
-            ids.append(b"".join(map(ids_of.get, at, repeat(b""))))
-            texts.append(" ".join([text_of[k] for k in at if k in text_of]))
+            p = _unpack(blob)
+            n = size[p]
+            end = np.cumsum(n)
+            found = flat[np.repeat(start[p] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+            ids.append(found.tobytes())
+            texts.append(" ".join([piece[i] for i in found.tolist()]))
         return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(texts, pa.string())})
 
     return run
@@ -175,10 +182,12 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = materialize(docs.select("doc_id", "text").mapInArrow(_split(buckets, block_chars), _PARTS), "bpe")
-    words = parts.where("bucket IS NOT NULL").select("block", "bucket", "words")
+    texts = docs.select("doc_id", "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        texts = materialize(texts, "texts")  # rows that were shuffled may come in another order the second time
+    words = texts.mapInArrow(_split(buckets, block_chars, True), _LISTED)
     encoded = words.repartition(buckets, "bucket").mapInArrow(_encode(tokenizer_json), "block long, bucket int, sizes binary, ids binary")
-    held = parts.where("positions IS NOT NULL").select("block", "doc_id", "positions")
+    held = texts.mapInArrow(_split(buckets, block_chars, False), _HELD)
     pieces = spark.sparkContext.broadcast(pieces_of(tokenizer_json))
     return held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assemble(pieces, buckets), "doc_id long, ids binary, decoded string")
 
