@@ -1,11 +1,13 @@
 """Operator 4: quality rules by tokeniser fertility.
 
 A public sentencepiece vocabulary gives each text its characters per token, its
-share of byte-fallback tokens and the entropy of its tokens. For every language (or
-script, where the language is null) the quartiles of each measure over all its
-documents set a band: the quartiles and ``reach`` times their distance on both
-sides, never narrower than ``floors``. A document outside a band is rejected.
-Base rules on words, symbols and repeats come first.
+share of byte-fallback tokens and the entropy of its tokens (held against the most
+that its length allows). For every language (or script, where the language is null)
+the quartiles of each measure over all its documents set a band: the quartiles and
+REACH times their distance on both sides, never narrower than FLOORS; entropy has no
+upper limit. A short text's measures scatter more, so its distance from the median
+counts by the square root of its share of FULL tokens. A document outside a band is
+rejected. Base rules on words, symbols and repeats come first.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated
 rows stay; a document that fails the base rules neither shapes nor meets the bands;
@@ -30,9 +32,11 @@ WHITE = " \t\n\x0b\x0c\r"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 
 #: How many quartile distances a band reaches beyond the quartiles.
-REACH = 4.0
+REACH = 2.5
 #: Bands are at least this wide on each side of the median: characters a token, byte share, entropy in bits.
-FLOORS = {"chars_per_token": 0.5, "byte_share": 0.05, "token_entropy": 2.0}
+FLOORS = {"chars_per_token": 0.1, "byte_share": 0.02, "token_entropy": 0.3}
+#: Tokens from which a text's measures count in full.
+FULL = 500
 _MEMO = 400_000
 
 _SCHEMA = (
@@ -139,22 +143,21 @@ def fertility(docs: DataFrame, model_path: str) -> DataFrame:
 def _band(x: str) -> list[Column]:
     q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
     low, mid, high = q[0], q[1], q[2]
-    return [
-        F.least(low - REACH * (high - low), mid - FLOORS[x]).alias(f"{x}_low"),
-        F.greatest(high + REACH * (high - low), mid + FLOORS[x]).alias(f"{x}_high"),
-    ]
+    top = F.lit(float("inf")) if x == "token_entropy" else F.greatest(high + REACH * (high - low), mid + FLOORS[x])
+    return [mid.alias(f"{x}_mid"), F.least(low - REACH * (high - low), mid - FLOORS[x]).alias(f"{x}_low"), top.alias(f"{x}_high")]
 
 
 def judge(docs: DataFrame, model_path: str) -> DataFrame:
     """``docs`` (doc_id, lang, text) with measures, base_failed and kept."""
     measured = materialize(fertility(docs, model_path), "fertility")
-    # Short texts have few distinct tokens; entropy is held against its own ceiling.
-    scaled = measured.withColumn("token_entropy", F.col("token_entropy") - F.log2(F.least(F.col("n_pieces"), F.lit(500)).cast("double")))
+    most = F.log2(F.least(F.col("n_pieces"), F.lit(FULL)).cast("double"))
+    scaled = measured.withColumn("token_entropy", F.col("token_entropy") - most)
     bands = scaled.where("NOT base_failed").groupBy("grp").agg(*[b for x in FLOORS for b in _band(x)])
     judged = scaled.join(bands, "grp", "left")
-    inside = [F.col(x).between(F.col(f"{x}_low"), F.col(f"{x}_high")) for x in FLOORS]
-    kept = ~F.col("base_failed") & F.coalesce(inside[0] & inside[1] & inside[2], F.lit(False))
+    part = F.sqrt(F.least(F.col("n_pieces"), F.lit(FULL)) / float(FULL))
+    held = [(F.col(f"{x}_mid") + (F.col(x) - F.col(f"{x}_mid")) * part).between(F.col(f"{x}_low"), F.col(f"{x}_high")) for x in FLOORS]
+    kept = ~F.col("base_failed") & F.coalesce(held[0] & held[1] & held[2], F.lit(False))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
-        "chars_per_token", "byte_share", (F.col("token_entropy") + F.log2(F.least(F.col("n_pieces"), F.lit(500)).cast("double"))).alias("token_entropy"),
-    )
+        "chars_per_token", "byte_share", (F.col("token_entropy") + most).alias("token_entropy"),
+    )
