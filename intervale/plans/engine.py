@@ -98,13 +98,23 @@ class Engine:
         rows = self._decoded(counts).join(self.db.blocks.select("block_id", "lambda", "theta"), "block_id")
         return rows.select("block_id", "cls", "x_maj", "x_min", F.col("lambda").cast("double"), F.col("theta").cast("double"), "n")
 
-    def fit(self, loci: DataFrame, config: Config = Config()) -> Result:  # noqa: B008
+    def runs(self, loci: DataFrame) -> DataFrame:
+        """Runs of sites with decoded priors and block values, as the tree takes them."""
+        rows = self._decoded(self.sites(loci)).join(self.db.blocks.select("block_id", "lambda", "theta"), "block_id")
+        return rows.select("chrom", "st", "en", "cls", "x_maj", "x_min", F.col("lambda").cast("double"), F.col("theta").cast("double"))
+
+    def decoded_positions(self, loci: DataFrame) -> DataFrame:
+        """A row per site under the loci: block_id, chrom, pos, cls, x_maj, x_min."""
+        return positions(self._decoded(self.sites(loci))).select("block_id", "chrom", "pos", "cls", "x_maj", "x_min")
+
+    def fit(self, loci: DataFrame, config: Config = Config(), start: dict | None = None) -> Result:  # noqa: B008
+        """Lambda, theta and betas, then rho, eta and gamma; ``start`` holds first values."""
         scale, w, prior = 1.0 / config.max_weight, config.prior_weight, config.prior
         found = self.sites(loci).cache()
         rows = self.pattern_rows(found).cache()
         touched = rows.where("cls <> 'M'") if config.poly_blocks_only else rows
         neutral = self.pattern_rows(self.neutral_sites(touched)).cache()
-        params = prior
+        params = replace(prior, **(start or {}))
         if config.refine_lambda_theta:
             lam, theta = f.lambda_theta(rows, "n", prior, w, scale)
             params = replace(params, lam=lam, theta=theta)

@@ -220,3 +220,20 @@ def test_streaming_service(spark, database, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert rows.select("job").distinct().count() == 2 and rows.where("key = 'Rho' AND section = 'PARAMETERS'").count() == 2
     assert fit.NAMES == ("rho", "eta", "gamma")
+
+
+def test_command_line(spark, database, tmp_path):
+    from intervale import cli
+
+    options, start = cli.config(cli.arguments().parse_args(["fit", "d", "x", "-o", "o", "--rho", "0.4,0,0.3", "--lambda", "0.01,0", "--betas", "2,1,1"]))
+    assert (start, options.fixed, options.refine_lambda_theta) == ({"rho": 0.4, "lam": 0.01}, ("rho",), False)
+    assert options.prior.rho == 0.3 and options.prior.beta1 == 0.5
+    for name in ("db", "chroms", "tags"):
+        (tmp_path / f"mono.{name}").rename(tmp_path / f"monoDB.{name}")
+    (tmp_path / "polyn.bedg").write_text((tmp_path / "poly.bedg").read_text())
+    bed = write(tmp_path / "in.bed", "chr1\t10\t60\t1\nchr2\t20\t140\t2\n")
+    out = tmp_path / "out"
+    cli.main(["fit", str(tmp_path), bed, "-o", str(out), "--max-weight", "2", "--expect", "--resolution", "2", "--sites", "posterior", "--summary", "--interchange"])
+    made = {p.name for p in out.iterdir()}
+    assert {"model", "model_text", "summary", "map", "posterior_marginals", "sites_posterior", "alleles_weighted", "interchange"} <= made
+    assert spark.read.parquet(str(out / "summary")).first()["mode"] == "Expectation"
