@@ -33,3 +33,16 @@ def test_all_are_registered():
     made = __spark_entry__.queries()
     assert "pipeline" in made and all(any(n.startswith(f"op{i}_") for n in made) for i in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(made)
+
+
+def test_stages_take_odd_rows(spark, odd_docs, odd_texts, no_docs):
+    for docs in (odd_docs.unionByName(odd_docs.limit(9)).unionByName(odd_docs.limit(4).withColumn("doc_id", F.lit(None).cast("long"))), no_docs):
+        n = docs.count()
+        lines = corpus_pipeline.dedup_lines(spark, docs, "")
+        assert lines.count() == n and lines.columns == docs.columns
+        unique = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        ids = [r.doc_id for r in unique.select("doc_id").collect()]
+        assert unique.columns == docs.columns and len(set(ids) - {None}) == len([i for i in ids if i is not None]) and ids.count(None) == (4 if n else 0)
+        mixed = corpus_pipeline.mix_sources(spark, docs, "")
+        assert mixed.columns == docs.columns and (mixed.count() > 0) == (n > 0)
+        assert corpus_pipeline.encode(spark, docs, "").count() == n
