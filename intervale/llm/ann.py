@@ -55,8 +55,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Cosine of one vector with rows, summed in one fixed order."""
-    return (m * q).sum(axis=1) / (np.sqrt((m * m).sum(axis=1)) * np.sqrt((q * q).sum()))
+    """Cosine of one vector with rows, each sum taken from the first component to the last."""
+    dot, own, other = np.zeros(len(m)), 0.0, np.zeros(len(m))
+    for j, x in enumerate(q.tolist()):
+        column = m[:, j]
+        dot += column * x
+        other += column * column
+        own += x * x
+    return dot / (np.sqrt(other) * np.sqrt(own))
 
 
 def _chord(q: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -20,6 +20,20 @@ SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id AND md5(d.text) = k.content
 """
 
+OP10_NEAREST = """
+WITH u AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x : x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x : x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p : p[1] * p[2]))
+    / (sqrt(list_sum(list_transform(c.v, lambda x : x * x))) * sqrt(list_sum(list_transform(q.v, lambda x : x * x)))) AS score
+  FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_LINE_DEDUP}
+    return {"op9_line_dedup": OP9_LINE_DEDUP, "op10_nearest": OP10_NEAREST}

@@ -204,6 +204,14 @@ def test_mix_odd_cases(spark, no_docs, odd_docs, odd_texts):
     assert [tuple(r)[2:] for r in nothing.collect()] == [(0, 0, 0.0, 0)] * 2
 
 
+def cosine(v, w):
+    """Sums from the first component to the last."""
+    dot = own = other = 0.0
+    for x, y in zip(v.tolist(), w.tolist()):
+        dot, own, other = dot + x * y, own + x * x, other + y * y
+    return float(dot / (np.sqrt(other) * np.sqrt(own)))
+
+
 def nearest_by_hand(vectors, every=50, k=5):
     usable = {}
     for i, v in vectors:
@@ -213,7 +221,7 @@ def nearest_by_hand(vectors, every=50, k=5):
     out = {}
     for q, v in items:
         if q % every == 0:
-            scores = sorted((-float((w * v).sum() / (np.sqrt((w * w).sum()) * np.sqrt((v * v).sum()))), i) for i, w in items if i != q and len(w) == len(v))
+            scores = sorted((-cosine(v, w), i) for i, w in items if i != q and len(w) == len(v))
             out[q] = [(i, -s) for s, i in scores[:k]]
     return out
 
@@ -251,3 +259,11 @@ def test_recall_of_relaxed_search(spark, smallest):
         recall = np.mean([len(got[q] & {i for i, _ in v}) / len(v) for q, v in want.items()])
         assert recall >= least
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_nearest_against_sql(spark, smallest):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{smallest}/embeddings.parquet'")
+    want = con.sql(oracles.oracle_sql()["op10_nearest"]).fetchall()
+    got = ann.nearest(spark.read.parquet(f"{smallest}/embeddings.parquet")).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
