@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -38,18 +39,30 @@ from .common import shared_path
 BLOCK, FITS = 128, 115
 #: Ids in a segment; a longer document has a segment of its own.
 SEGMENT_IDS = 1 << 20
-_MEMO = 600_000
+#: Pieces and words that a worker remembers before it starts anew.
+_MEMO = 700_000
 _FILE = "shard int, segment int, offset long, n_ids long, payload binary"
 _POWERS = 1 << np.arange(33, dtype=np.int64)
 #: White space in which a blank does not start a word, and code points beyond Latin.
-_ODD = re.compile(r"\s \s|[^\x00-\x1b\x20-\x84\x86-ɏ]")
+_ODD = re.compile(r"\s \s|[^\x00-\x1b\x20-\x84\x86-\u024f]")
+# The byte-level tokenizer's split, for Latin text.
+_LETTER, _DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> str:
+    """The letters that stand for bytes: printable ones for themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))
 
 
 class Encoder:
     """The tokenizer's ids of a text, by way of the ids of its blank-started pieces.
 
     A blank before a word starts a token, so a text can be cut before blanks and
-    each piece encoded once. Texts in which that may not hold go to the library whole.
+    each piece, and each word in it, encoded once. Texts in which that may not hold
+    go to the library whole.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -59,15 +72,24 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        model, pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        mapped = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        words = self.words
+        if len(words) > _MEMO:
+            words.clear()
         for p in pieces:
-            ids = [t.id for w, _ in pre.pre_tokenize_str(p) for t in model.tokenize(w)]
-            self.memo[p] = np.array(ids, "<u4").tobytes()
+            found = _WORDS.findall(p)
+            for w in found:
+                if w not in words:
+                    words[w] = self._word(w)
+            self.pieces[p] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -78,12 +100,25 @@ class Encoder:
         pieces[1:] = [f" {p}" for p in pieces[1:]]
         if not pieces[0]:
             del pieces[0]
-        memo = self.memo
         try:
-            return b"".join([memo[p] for p in pieces])
+            return b"".join([self.pieces[p] for p in pieces])
         except KeyError:
-            self._learn([p for p in set(pieces) if p not in memo] if len(memo) <= _MEMO else list(set(pieces)))
-            return b"".join([self.memo[p] for p in pieces])
+            if len(self.pieces) > _MEMO:
+                self.pieces.clear()
+            self._learn({p for p in pieces if p not in self.pieces})
+            return b"".join([self.pieces[p] for p in pieces])
+
+
+_encoders: dict[int, Encoder] = {}
+
+
+def encoder(tokenizer_json: str) -> Encoder:
+    """The worker's encoder, which outlives a task."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(tokenizer_json)
+    return _encoders[key]
 
 
 def pack(doc_ids: list, sizes: list[int], ids: np.ndarray) -> bytes:
@@ -147,7 +182,7 @@ def unpack(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 def _write(tokenizer_json: str, end_id: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer_json), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_json), np.array([end_id], "<u4").tobytes()
         shard, segment, offset = TaskContext.get().partitionId(), 0, 0
         doc_ids, parts, size = [], [], 0
 
