@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 from ..functions.model import CELLS, STATES, Params, neutral_and_selected
-from ..functions.numeric import BITS_PER_NAT, watterson
+from ..functions.numeric import BITS_PER_NAT, TINY, watterson
 from .queries import P
 
 _DAYS = "date_diff('day', DATE '1990-01-01', {}::DATE)::BIGINT"
@@ -244,6 +244,14 @@ SELECT cov, value, array_to_string(list_sort(a), ',') AS set_values, array_to_st
 SELECT cov, positions, {_r('cb', 5, 'conditional_bits')}, {_r('r', 5, 'rho')}, {_r(f"positions * {_h('r')} * {_num(BITS_PER_NAT)}", 5, 'unconditional_bits')} FROM t"""
     made["text_functions"] = "SELECT p_partkey, len(string_split(p_name, ' '))::INT AS pieces, replace(p_brand, '#', '') AS bare, right(p_type, 3) AS ending, left(p_type, greatest(length(p_type) - 2, 0)) AS erased, reverse(p_brand) AS reversed, upper(p_name) AS upper_name FROM part"
     made["number_formats"] = "SELECT p_partkey, printf('%.3f', p_retailprice) AS fixed, format('{:,}', floor(p_retailprice)::BIGINT) AS grouped FROM part"
+    rho = "((100.0 * a.value + 50.0 * b.value) / 150.0)"
+    gain = f"(150.0 * {_h(rho)} - 100.0 * {_h('a.value')} - 50.0 * {_h('b.value')}) * {_num(BITS_PER_NAT)}"
+    made["expected_information"] = f"""WITH a AS (SELECT l_discount * 5.0::DOUBLE + 0.2::DOUBLE AS value, sum(l_quantity) AS w FROM lineitem GROUP BY 1), b AS (SELECT l_tax * 5.0::DOUBLE + 0.2::DOUBLE AS value, sum(l_quantity) AS w FROM lineitem GROUP BY 1),
+g AS (SELECT a.w * b.w AS w, a.value > b.value AS ord, {gain} AS gain FROM a, b) SELECT {_r('sum(w * gain) / sum(w)', 6, 'total')}, {_r('sum(CASE WHEN ord THEN w * gain ELSE 0 END) / sum(w)', 6, 'ordered')} FROM g"""
+    term = "CASE WHEN p > 0 AND p < 1 THEN -p * ln(p) ELSE 0.0 END"
+    parts = {"term": term, "bits": f"{_h('p')} * {_num(BITS_PER_NAT)}", "fraction": "p / (1.0 + p)", "clamped": f"CASE WHEN p * 2.0 > 1 THEN {_num(TINY)} ELSE p * 2.0 END", "bell": "exp(-((p / 0.5) ** 2))", "log": "ln(p + 0.1::DOUBLE)"}
+    made["numeric_functions"] = f"WITH q AS (SELECT DISTINCT l_discount, l_discount * 9.0::DOUBLE AS p FROM lineitem) SELECT l_discount, {', '.join(_r(x, 9, k) for k, x in parts.items())} FROM q"
+    made["coverage_gaps"] = "WITH d AS (SELECT user_id AS chrom, count(DISTINCT ts::DATE) AS covered FROM events GROUP BY 1) SELECT chrom, covered FROM d WHERE covered < 30"
     return made
 
 

@@ -396,6 +396,34 @@ def number_formats(spark, sf) -> DataFrame:
     return df.select("p_partkey", st.fixed_or_scientific(F.col("p_retailprice"), digits=3).alias("fixed"), st.thousands(F.floor("p_retailprice")).alias("grouped"))
 
 
+def expected_information(spark, sf) -> DataFrame:
+    """Gain expected over two uncertain shares: discounts against taxes, by quantity."""
+    df = _t(spark, sf, "lineitem")
+    hi = df.groupBy((F.col("l_discount") * 5.0 + 0.2).alias("value")).agg(F.sum("l_quantity").alias("w"))
+    lo = df.groupBy((F.col("l_tax") * 5.0 + 0.2).alias("value")).agg(F.sum("l_quantity").alias("w"))
+    gain = tree.entropy_gain(F.lit(100.0), F.col("hi"), F.lit(50.0), F.col("lo"))
+    return _round(grid.expected_information(hi, lo, gain), 6, "total", "ordered")
+
+
+def numeric_functions(spark, sf) -> DataFrame:
+    p = F.col("l_discount") * 9.0
+    df = _t(spark, sf, "lineitem").select(
+        "l_discount", num.entropy_term(p).alias("term"), num.to_bits(num.binary_entropy(p)).alias("bits"), num.ratio_to_fraction(p).alias("fraction"),
+        num.clamp_probability(p * 2.0).alias("clamped"), num.bell(p, F.lit(0.5)).alias("bell"), num.log_near_one(p + 0.1).alias("log"),
+    )
+    return _round(df.distinct(), 9, "term", "bits", "fraction", "clamped", "bell", "log").distinct()
+
+
+def coverage_gaps(spark, sf) -> DataFrame:
+    """Users whose days with events do not tile the month."""
+    from ..sources.readers import uncovered
+
+    ev = _t(spark, sf, "events").select(F.col("user_id").alias("chrom"), F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").alias("st")).distinct()
+    runs = ev.withColumn("en", F.col("st") + 1)
+    genome = ev.select("chrom").distinct().select("chrom", F.lit(0).cast("long").alias("st"), F.lit(30).cast("long").alias("en"))
+    return uncovered(runs, genome).select("chrom", "covered")
+
+
 def fit_beta3(spark, sf) -> DataFrame:
     df = item_sites(spark, sf).withColumn("n", F.col("weight").cast("double"))
     b2 = fit.beta2(df, 0.2, 347.0)
@@ -435,6 +463,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mask_accumulate, logsumexp, log_normalise, grid_marginals, weighted_expectation, interp_quantile, mixture_nll, mixture_gradient,
         mixture_hessian, coefficient_projection, prior_pseudo_rows, lambda_theta, beta2_ratio, site_posterior, posterior_sum, allele_joint,
         counterfactual_m1, counterfactual_m2, ordered_prefix_splits, binary_entropy_gain, best_split_per_covariate, qc_min_positions,
-        ordering_error, value_summary, text_functions, number_formats, fit_beta3, fit_reg, parameter_posterior, tree_growth,
+        ordering_error, value_summary, text_functions, number_formats, expected_information, numeric_functions, coverage_gaps, fit_beta3, fit_reg, parameter_posterior, tree_growth,
     ]
     return {f.__name__: f for f in made}

@@ -151,10 +151,12 @@ def _clean(p: Params, fitted: dict, options: Options) -> Params:
     return replace(made, **{k: round(getattr(made, k), 6) for k in ("rho", "eta", "gamma")}) if options.round_priors else made
 
 
-def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFrame, start: Params, options: Options = Options(), cells: int = 1) -> list[Node]:  # noqa: B008
+def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFrame, start: Params, options: Options = Options(), cells: int = 1, nodes: list[Node] | None = None, levels: int | None = None) -> list[Node]:  # noqa: B008
     """Grow a tree; ``aligned`` and ``sites`` as ``align`` and ``subset_sites`` take them.
 
-    The root is fitted first, so that its likelihood is that of these data.
+    The root is fitted first, so that its likelihood is that of these data. With
+    ``levels`` growth stops after so many, and its open nodes stay ``pending``; given
+    as ``nodes`` (see ``load_nodes``), growth goes on from them.
     """
     ann, cts = Layout.of(covset.of(False)), Layout.of(covset.of(True))
     aligned, scale = aligned.cache(), 1.0 / cells
@@ -162,13 +164,16 @@ def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFra
     def fitted(subsets: dict[str, Subset], starts: dict[str, Params]) -> dict[str, dict]:
         return fit_subsets(subset_sites(aligned, target_table(spark, subsets, ann, cts), sites), starts, scale)
 
-    root = Node("0", None, options.max_depth, Subset(), start)
-    first = fitted({"0": root.subset}, {"0": start}).get("0")
-    if first is None:
-        return [replace(root, status="empty")]
-    root.params, root.nll = _clean(start, first, options), first["nll"]
-    done, level = [], [root]
-    while level:
+    if nodes is None:
+        root = Node("0", None, options.max_depth, Subset(), start)
+        first = fitted({"0": root.subset}, {"0": start}).get("0")
+        if first is None:
+            return [replace(root, status="empty")]
+        root.params, root.nll = _clean(start, first, options), first["nll"]
+        nodes = [root]
+    done, level = [n for n in nodes if n.status != "pending"], [n for n in nodes if n.status == "pending"]
+    while level and levels != 0:
+        levels = None if levels is None else levels - 1
         loose = {(n.node_id, c.name, v): n.subset.with_values(c.name, [v]) for n in level for c in covset.covariates if not c.monotonic for v in n.subset.values(c) if v}
         names = {f"{i}": k for i, k in enumerate(loose)}
         by_id = {n.node_id: n for n in level}
@@ -218,7 +223,7 @@ def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFra
                     done.append(child)
         level = following
     aligned.unpersist()
-    return done
+    return done + level
 
 
 NODE_SCHEMA = "node_id string, parent_id string, depth int, subset_template string, mask_ann long, mask_cts long, prior_rho double, prior_eta double, prior_gam double, nll double, status string, split_cov string, split_set array<int>, split_coset array<int>, gain_nats double, gain_bits double"
@@ -234,6 +239,19 @@ def node_table(spark: SparkSession, nodes: list[Node], covset: Covset) -> DataFr
     return spark.createDataFrame(rows, NODE_SCHEMA)
 
 
+def load_nodes(table: DataFrame, covset: Covset, start: Params) -> list[Node]:
+    """The nodes of a stored table; ``start`` gives the parameters that it does not hold."""
+    made = {}
+    for r in table.orderBy("node_id").collect():  # one row a node
+        params = replace(start, rho=r.prior_rho, eta=r.prior_eta, gamma=r.prior_gam)
+        split = {"cov": r.split_cov, "set": r.split_set, "coset": r.split_coset, "gain_nats": r.gain_nats, "gain_bits": r.gain_bits} if r.split_cov else None
+        made[r.node_id] = Node(r.node_id, r.parent_id, r.depth, Subset.parse(r.subset_template, covset), params, r.nll, r.status, split)
+    for n in made.values():
+        if n.parent_id in made:
+            made[n.parent_id].children.append(n.node_id)
+    return list(made.values())
+
+
 def value_summary(rows: DataFrame) -> DataFrame:
     """Per covariate, entropy of its single values against their pool.
 

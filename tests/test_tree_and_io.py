@@ -96,7 +96,11 @@ def planted(spark, tiny):
 
 def test_planted_split_is_found(spark, tiny):
     aligned, sites = planted(spark, tiny)
-    nodes = tree.grow(spark, tiny, aligned, sites, TRUTH, tree.Options(min_gain=25.0, max_depth=3))
+    options = tree.Options(min_gain=25.0, max_depth=3)
+    first = tree.grow(spark, tiny, aligned, sites, TRUTH, options, levels=1)
+    assert [n.status for n in first] == ["split", "pending", "pending"]
+    stored = tree.load_nodes(tree.node_table(spark, first, tiny), tiny, TRUTH)
+    nodes = tree.grow(spark, tiny, aligned, sites, TRUTH, options, nodes=stored)
     root = nodes[0]
     assert root.status == "split" and root.split["cov"] == "rna" and {tuple(root.split["set"]), tuple(root.split["coset"])} == {(1,), (2, 3)}
     assert {n.status for n in nodes[1:]} == {"leaf"} and len(nodes) == 3
