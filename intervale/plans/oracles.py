@@ -156,7 +156,7 @@ s AS (SELECT cov, value, n_set::DOUBLE AS n_set, (nn - n_set)::DOUBLE AS n_cos,
 f AS (SELECT *, (n_set * rho_set + n_cos * rho_cos) / (n_set + n_cos) AS rho FROM s),
 g AS (SELECT *, (n_set + n_cos) * {_h('rho')} - n_set * {_h('rho_set')} - n_cos * {_h('rho_cos')} AS gain FROM f)"""
 
-RUNS = """runs AS (SELECT user_id % 8 AS cell, (epoch(ts)::BIGINT - 1704067200) // 3600 AS st, max(length(event_type)) AS k FROM events GROUP BY ALL)"""
+RUNS = """runs AS (SELECT user_id % 8 AS cell, (epoch(date_trunc('second', ts))::BIGINT - 1704067200) // 3600 AS st, max(length(event_type)) AS k FROM events GROUP BY ALL)"""
 
 
 def oracle_sql() -> dict[str, str]:
