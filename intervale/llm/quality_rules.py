@@ -37,6 +37,8 @@ REACH = 2.5
 FLOORS = {"chars_per_token": 0.1, "byte_share": 0.02, "token_entropy": 0.3}
 #: Tokens from which a text's measures count in full.
 FULL = 500
+#: Keys over which the documents of one language are dealt when they meet its band.
+SALTS = 256
 _MEMO = 400_000
 
 _SCHEMA = (
@@ -153,7 +155,9 @@ def judge(docs: DataFrame, model_path: str) -> DataFrame:
     most = F.log2(F.least(F.col("n_pieces"), F.lit(FULL)).cast("double"))
     scaled = measured.withColumn("token_entropy", F.col("token_entropy") - most)
     bands = scaled.where("NOT base_failed").groupBy("grp").agg(*[b for x in FLOORS for b in _band(x)])
-    judged = scaled.join(bands, "grp", "left")
+    # One language can hold most documents: its band is copied to SALTS keys, and they are dealt over these.
+    salted = bands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = scaled.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_pieces"), F.lit(SALTS)).cast("int")).join(salted, ["grp", "salt"], "left")
     part = F.sqrt(F.least(F.col("n_pieces"), F.lit(FULL)) / float(FULL))
     held = [(F.col(f"{x}_mid") + (F.col(x) - F.col(f"{x}_mid")) * part).between(F.col(f"{x}_low"), F.col(f"{x}_high")) for x in FLOORS]
     kept = ~F.col("base_failed") & F.coalesce(held[0] & held[1] & held[2], F.lit(False))
