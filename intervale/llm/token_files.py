@@ -40,7 +40,7 @@ BLOCK, FITS = 128, 115
 #: Ids in a segment; a longer document has a segment of its own.
 SEGMENT_IDS = 1 << 20
 #: Pieces and words that a worker remembers before it starts anew.
-_MEMO = 700_000
+_MEMO = 1_200_000
 _FILE = "shard int, segment int, offset long, n_ids long, payload binary"
 _POWERS = 1 << np.arange(33, dtype=np.int64)
 #: White space in which a blank does not start a word, and code points beyond Latin.
@@ -73,40 +73,42 @@ class Encoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        #: Ids of words, and of pieces and words less the blank that starts them.
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.letters)
+        plain = word.isascii() and word.isprintable()
+        mapped = word.replace(" ", self.letters[32]) if plain else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        words = self.words
-        if len(words) > _MEMO:
-            words.clear()
-        for p in pieces:
-            found = _WORDS.findall(p)
-            for w in found:
-                if w not in words:
-                    words[w] = self._word(w)
-            self.pieces[p] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+    def _known(self, word: str) -> bytes:
+        blank = word[0] == " " and len(word) > 1
+        held, key = (self.pieces, word[1:]) if blank else (self.words, word)
+        if key not in held:
+            held[key] = self._word(word)
+        return held[key]
+
+    def _split(self, piece: str) -> bytes:
+        return b"".join([self._known(w) for w in _WORDS.findall(piece)])
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if _ODD.search(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = text.split(" ")
-        pieces[1:] = [f" {p}" for p in pieces[1:]]
-        if not pieces[0]:
-            del pieces[0]
+        first, *rest = text.split(" ")
+        head, known = self._split(first) if first else b"", self.pieces
         try:
-            return b"".join([self.pieces[p] for p in pieces])
+            return head + b"".join([known[p] for p in rest])
         except KeyError:
-            if len(self.pieces) > _MEMO:
-                self.pieces.clear()
-            self._learn({p for p in pieces if p not in self.pieces})
-            return b"".join([self.pieces[p] for p in pieces])
+            if len(known) > _MEMO:
+                known.clear()
+            if len(self.words) > _MEMO:
+                self.words.clear()
+            for p in {p for p in rest if p not in known}:
+                known[p] = self._word(f" {p}") if p.isalpha() else self._split(f" {p}")
+            return head + b"".join([known[p] for p in rest])
 
 
 _encoders: dict[int, Encoder] = {}
