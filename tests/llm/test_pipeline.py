@@ -1,10 +1,15 @@
 """The pipeline's stages, and the guard that lets the subpackage go."""
 
+import random
+import re
+
 import corpus_pipeline
 from intervale.llm import queries
 from intervale.llm.common import materialize
 from pyspark.sql import functions as F
 
+from .conftest import DOCS, rows
+
 
 def test_stages(spark, smallest):
     docs = spark.read.parquet(f"{smallest}/documents.parquet")
@@ -46,3 +51,53 @@ def test_stages_take_odd_rows(spark, odd_docs, odd_texts, no_docs):
         mixed = corpus_pipeline.mix_sources(spark, docs, "")
         assert mixed.columns == docs.columns and (mixed.count() > 0) == (n > 0)
         assert corpus_pipeline.encode(spark, docs, "").count() == n
+
+
+def word_sets(texts):
+    """Five-word shingles by hand."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def copies_by_hand(texts):
+    """For each text the place of the first one that pairs of similarity 0.8 or more lead to."""
+    sets, up = word_sets(texts), list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(rng, words, times):
+    words = list(words)
+    for k in range(times):
+        at = rng.randrange(len(words))
+        words[at : at + 1] = rng.choice(([f"new{rng.random()}"], [], [words[at], f"more{rng.random()}"]))
+    return " ".join(words)
+
+
+def test_near_copies_against_brute_force(spark, odd_texts, smallest):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(90)]
+    texts = odd_texts + [r.text for r in spark.read.parquet(f"{smallest}/documents.parquet").collect()]
+    for n in (3, 7, 12, 40, 150, 600):
+        base = [f"b{n}-{rng.randrange(500)}" for _ in range(n)]
+        texts += [" ".join(base), " ".join(base).upper(), *(edited(rng, base, k) for k in (1, 2, 3, n // 60 + 1, n // 40 + 1, n // 25 + 1, n // 10 + 1))]
+    large = [f"g{i}" for i in range(200)]
+    texts += [edited(rng, large, rng.randrange(1, 8)) for _ in range(150)]
+    texts += [" ".join(passage + [f"own{rng.random()}" for _ in range(rng.randrange(10, 60))]) for _ in range(80)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(rows(texts), DOCS)
+    want = copies_by_hand(texts)
+    assert len(set(want)) < len({frozenset(s) for s in word_sets(texts)}) - 80
+    got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()]
+    assert sorted(got) == sorted(set(want))
