@@ -101,3 +101,13 @@ def test_near_copies_against_brute_force(spark, odd_texts, smallest):
     assert len(set(want)) < len({frozenset(s) for s in word_sets(texts)}) - 80
     got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()]
     assert sorted(got) == sorted(set(want))
+
+
+def test_texts_that_share_an_id_stay(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    made = [(7, one), (7, two), (7, two.upper()), (7, one), (8, one + " end"), (9, three), (None, three)]
+    docs = spark.createDataFrame([(i, t, "en", "ab"[k % 2], len(t), "x", 0.5, "y", "z") for k, (i, t) in enumerate(made)], DOCS)
+    found = [sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, d, "").collect()), key=str) for d in (docs, docs.orderBy(F.desc("source"), "text").repartition(3))]
+    assert found[0] == found[1]
+    # What a group keeps has one of its texts; a null id stays.
+    assert sorted((r[0] or 0, r[1].lower()) for r in found[0]) == sorted([(7, one), (7, two), (9, three), (0, three)])
