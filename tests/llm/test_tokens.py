@@ -1,9 +1,13 @@
 """BPE encoding and token files against the tokenizers library."""
 
 import hashlib
+import json
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from intervale.llm import bpe, token_files
 from tokenizers import Tokenizer
 
@@ -80,3 +84,61 @@ def test_frame_of_reference_round_trip():
         doc_ids, sizes, back = token_files.unpack(token_files.pack([3, None], [len(ids) - 1, 1], ids))
         assert doc_ids == [3, None] and sizes.tolist() == [len(ids) - 1, 1] and (back == ids).all()
     assert len(token_files.pack([1], [640], spiky)) < 4 * 640 / 2
+
+
+def test_encoder_on_random_texts(tokenizers):
+    path = tokenizers("byte_bpe_50k.json")
+    library, encode = Tokenizer.from_file(path), token_files.Encoder(open(path, encoding="utf-8").read())
+    rng = random.Random(1)
+    parts = [" ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\0", "a", "b", "the", "'s", "'ll", "don't", "1", "23", "é", "日本", "Σ", "<|endoftext|>", ".", ",!", "_", "\x1c", "\x85", "\xa0", " \xa0", "\u2003", "😀", "e\u0301", "Ġ", "\x0b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(20_000)] + [" \xa0 \xa0" * k for k in range(1, 9)]
+    for size in (20_008, 7):
+        for i in range(0, len(texts), size) if size > 100 else range(0, 700, size):
+            part = texts[i : i + size]
+            ids, n = encode.encode(pa.array(part))
+            assert np.split(ids, np.cumsum(n)[:-1])[0].tolist() == library.encode(part[0], add_special_tokens=False).ids
+            assert ids.tolist() == [x for e in library.encode_batch_fast(part, add_special_tokens=False) for x in e.ids]
+            assert n.tolist() == [len(e.ids) for e in library.encode_batch_fast(part, add_special_tokens=False)]
+
+
+def test_other_tokenizers_are_refused(odd_docs, tokenizers, tmp_path):
+    made = json.load(open(tokenizers("byte_bpe_50k.json"), encoding="utf-8"))
+    assert token_files.refusal(json.dumps(made)) is None
+    assert token_files.refusal(open(tokenizers("word_bpe_49k.json"), encoding="utf-8").read())
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {**made["pre_tokenizer"], "add_prefix_space": True}), ("added_tokens", [{**made["added_tokens"][0], "lstrip": True}])):
+        assert token_files.refusal(json.dumps({**made, key: value}))
+    wide = {**made["model"], "vocab": made["model"]["vocab"] | {chr(0x120) * 2 + c: 60_000 + i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}}
+    assert token_files.refusal(json.dumps({**made, "model": wide}))
+    (tmp_path / "other.json").write_text(json.dumps({**made, "normalizer": {"type": "NFC"}}))
+    with pytest.raises(ValueError, match="normalizes"):
+        token_files.write(odd_docs, str(tmp_path / "other.json"), str(tmp_path / "out"))
+
+
+def test_seeking_equals_a_full_read(spark, odd_docs, tokenizers, tmp_path):
+    path = str(tmp_path / "tokens")
+    token_files.write(odd_docs, tokenizers("byte_bpe_50k.json"), path, segment_ids=3000)
+    whole = token_files.read(spark, path).collect()
+    assert len({(r.shard, r.segment) for r in whole}) > 5
+    rng, asked, want = random.Random(2), [], {}
+    for r in whole:
+        for lo, n in ((0, r.n_tokens), (k := rng.randrange(r.n_tokens), rng.randrange(r.n_tokens - k + 1))):
+            asked.append((len(asked), r.shard, r.segment, r["at"] + lo, n))
+            want[len(asked) - 1] = bytes(r.ids)[4 * lo : 4 * (lo + n)]
+    got = token_files.fetch(spark, path, spark.createDataFrame(asked, "key long, shard int, segment int, at long, n long"))
+    assert {r.key: bytes(r.ids) for r in got.collect()} == want
+
+
+def test_bits_round_trip():
+    rng = np.random.default_rng(3)
+    for width in range(1, 33):
+        values = rng.integers(0, 1 << width, (5, token_files.BLOCK))
+        packed = token_files._pack_bits(values, width)
+        assert packed.shape == (5, token_files.BLOCK * width // 8) and (token_files._unpack_bits(packed, width) == values).all()
+        assert int.from_bytes(packed[0].tobytes(), "big") == sum(int(v) << (width * (token_files.BLOCK - 1 - i)) for i, v in enumerate(values[0]))
+    assert token_files.bit_lengths(np.array([0, 1, 2, 3, 255, 256, 2**32 - 1])).tolist() == [0, 1, 2, 2, 8, 9, 32]
+
+
+def test_rows_of_one_id_spread_over_tasks(spark, tokenizers):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string")
+    got = token_files.write_and_read(docs, tokenizers("byte_bpe_50k.json")).collect()
+    assert len({r.shard for r in got}) > 1 and sorted(r.start for r in got)[-1] == sum(r.n_tokens for r in got) - sorted(got, key=lambda r: r.start)[-1].n_tokens
