@@ -12,7 +12,8 @@ and the k-th key cover every document.
 
 Defined cases: a null or empty text has weight 0; rows with equal keys (repeated
 rows) are kept or left together, so slightly more than k can stay; without target
-rows every weight is 0 and the choice is the noise's; empty input gives no rows.
+rows every weight is 0 and the choice is the noise's; without any label all documents
+stay, and where no label is good none does; empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -105,7 +106,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
     the labelled rows' share of good ones.
     """
     if share is None:
-        share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0] or 1.0
+        share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+        share = 1.0 if share is None else share
     target = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     target = target.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target).withColumn("target", F.lit(True))
     marked = docs.select("doc_id", "text").join(F.broadcast(target), "doc_id", "left").select("text", "target")
