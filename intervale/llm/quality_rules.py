@@ -9,15 +9,22 @@ upper limit. A short text's measures scatter more, so its distance from the medi
 counts by the square root of its share of FULL tokens. A document outside a band is
 rejected. Base rules on words, symbols and repeats come first.
 
+Words are encoded one by one, so the tokens of blanks and line ends between them do not
+count; only the words' own do.
+
 Defined cases: a null or empty text has no words and fails the base rules; repeated
 rows stay; a document that fails the base rules neither shapes nor meets the bands;
-languages of any number are grouped, none is special; empty input gives no rows.
+languages of any number are grouped, none is special; a language of one document is its
+own band, so nothing speaks against it; a text without letters has the script ``none``;
+empty input gives no rows.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,10 +88,18 @@ def dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+@lru_cache(maxsize=100_000)
+def _script(c: str) -> str | None:
+    return unicodedata.name(c, "UNKNOWN").split()[0].lower() if c.isalpha() else None
+
+
 def script_of(text: str) -> str:
-    """Script of a text's first letter, from the letter's Unicode name."""
-    c = next((c for c in text if c.isalpha()), None)
-    return unicodedata.name(c, "UNKNOWN").split()[0].lower() if c else "none"
+    """The script of most letters of a text, by the letters' Unicode names; ties go by name."""
+    counts = Counter()
+    for c, n in Counter(text).items():
+        if script := _script(c):
+            counts[script] += n
+    return min(counts, key=lambda s: (-counts[s], s), default="none")
 
 
 class _Pieces(dict):
