@@ -18,13 +18,18 @@ _tables: list[tuple[SparkSession, str]] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in local
+    tests, the context's checkpoint folder takes its place; a local session gets a
+    temporary one, and a cluster must name one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="intervale-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not (root := context.getCheckpointDir()):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="intervale-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -66,19 +71,44 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def two_level_sum(df: DataFrame, group: list[str], chunk: str, order: list, value: str, out: str) -> DataFrame:
+#: Chunks of a group that one task puts in order.
+FAN = 1024
+
+
+def _before(totals: DataFrame, group: list[str], chunk: str, chunks: int) -> DataFrame:
+    """``totals`` (group, chunk, _total) with _before, the sum of the group's earlier chunks."""
+    if chunks <= FAN:
+        outer = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.withColumn("_before", F.coalesce(F.sum("_total").over(outer), F.lit(0)))
+    return two_level_sum(totals.withColumn("_span", F.expr(f"{chunk} div {FAN}")), group, "_span", [chunk], "_total", "_before", -(-chunks // FAN)).drop("_span")
+
+
+def two_level_sum(df: DataFrame, group: list[str], chunk: str, order: list, value: str, out: str, chunks: int = FAN) -> DataFrame:
     """Exclusive running sum of ``value`` over (chunk, order) within ``group``.
 
-    A window per (group, chunk) sums inside chunks, and a window over the chunk
-    totals, of which there are few, places each chunk. No task holds a group.
+    A window per (group, chunk) sums inside chunks, numbered below ``chunks``, and the
+    chunks' totals are summed in the same way, FAN at a time. No task holds a group.
     """
     inner = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*group, chunk).agg(F.sum(value).alias("_total"))
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(outer), F.lit(0))).drop("_total")
+    totals = _before(df.groupBy(*group, chunk).agg(F.sum(value).alias("_total")), group, chunk, chunks).drop("_total")
     inside = df.withColumn("_inside", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    keys = [*group, chunk]
     left, right = inside.alias("l"), totals.alias("r")
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    joined = left.join(right, on)
+    joined = left.join(right, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*group, chunk]])
     return joined.select("l.*", (F.col("_inside") + F.col("_before")).cast("long").alias(out)).drop("_inside")
+
+
+def running_sums(df: DataFrame, order: list, **sums: Column) -> DataFrame:
+    """Exclusive running sums over all rows in ``order``, which must tell all rows apart.
+
+    Rows are dealt by ranges, summed within a range, and the ranges' totals, one a task,
+    are summed before them. ``df`` is computed twice and stored.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, *order).withColumns({f"_{k}": c for k, c in sums.items()} | {"_range": F.spark_partition_id()}), "ranged")
+    totals = ranged.groupBy("_range").agg(*[F.sum(f"_{k}").alias(f"_all_{k}") for k in sums])
+    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_all_{k}").over(up), F.lit(0)).alias(f"_all_{k}") for k in sums])
+    inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumns({f"_{k}": F.coalesce(F.sum(f"_{k}").over(inner), F.lit(0)) for k in sums})
+    joined = inside.join(F.broadcast(totals), "_range").withColumns({k: F.col(f"_{k}") + F.col(f"_all_{k}") for k in sums})
+    return joined.select(*df.columns, *sums)
