@@ -172,19 +172,21 @@ def pieces_of(tokenizer_json: str) -> dict[int, str]:
     return {i: p for p, i in made["model"]["vocab"].items()} | {t["id"]: t["content"] for t in made["added_tokens"]}
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS, stable: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, ids, decoded).
 
     ``ids`` is binary: little-endian unsigned 32-bit integers. ``tokenizer_path`` is
-    read on the driver; tasks get its content, which the vocabulary bounds.
+    read on the driver; tasks get its content, which the vocabulary bounds. The texts are
+    gone through twice: they are stored first, unless ``stable`` says that ``docs`` are read
+    straight from files, in the same order each time.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", "text")
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
-        texts = materialize(texts, "texts")  # rows that were shuffled may come in another order the second time
+    if not stable:
+        texts = materialize(texts, "texts")
     words = texts.mapInArrow(_split(buckets, block_chars, True), _LISTED)
     encoded = words.repartition(buckets, "bucket").mapInArrow(_encode(tokenizer_json), "block long, bucket int, sizes binary, ids binary")
     held = texts.mapInArrow(_split(buckets, block_chars, False), _HELD)

@@ -18,7 +18,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+    return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), stable=True))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+    rows, _, _ = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [op1_bpe, op2_language_id, op3_importance_resampling, op4_tokeniser_fertility, op5_token_files, op6_mixing, op7_simhash, op8_toxicity, op9_line_dedup, op10_nearest, pipeline]
     return {f.__name__: f for f in made}
-
-
-
