@@ -2,12 +2,13 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
 import numpy as np
 import xxhash
-from intervale.llm import ann, line_dedup, mixing, oracles, simhash
+from intervale.llm import ann, common, line_dedup, mixing, oracles, simhash
 from intervale.llm.components import connected
 from pyspark.sql import functions as F
 
@@ -146,6 +147,28 @@ def test_lines_against_sql(spark, smallest):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_lines_of_a_long_text(spark):
+    """200,000 lines, half of them on many sites."""
+    long = "\n".join(f"line {i}" for i in range(200_000))
+    half = "\n".join(f"line {i}" for i in range(0, 200_000, 2))
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate([half, half + " ", half, long])], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - began < 60
+    assert got[0].text == half and got[2].text == "" and got[3].text == "\n".join(f"line {i}" for i in range(1, 200_000, 2))
+    assert (got[3].n_lines, got[3].n_removed) == (200_000, 100_000)
+
+
+def test_sketches_decide(spark, monkeypatch):
+    """Exact counts see the lines near the threshold only: a line on many sites goes by its sketch."""
+    made = [(i, f"wide\nnear {i % 50}\nown {i}", f"site{i % 40}") for i in range(200)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    found = line_dedup.lines(docs)
+    assert line_dedup.boilerplate(found).count() == 51 and line_dedup.boilerplate(found, 5).count() == 1
+    monkeypatch.setattr(line_dedup, "BAND", -0.5)  # no line is near: the sketches alone are asked
+    assert line_dedup.boilerplate(found, 20).count() == 1
+
+
 def water_fill(size, weights=(5, 2, 1), share=1.5, top=2.0):
     w = np.array([weights[i % 3] for i in range(len(size))], float)
     cap, full = top * np.array(size, float), np.zeros(len(size), bool)
@@ -192,6 +215,71 @@ def test_mix_meets_targets(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, got))
 
 
+def test_targets_of_many_sources(spark):
+    """Running sums over sources, which no one task orders, against the filling by hand."""
+    rng = random.Random(4)
+    size = [rng.randrange(0, 500) ** 2 for _ in range(700)]
+    names = sorted({f"host{rng.random()}" for _ in range(900)})[:700]
+    sized = spark.createDataFrame([(n, s, 1) for n, s in zip(names, size)], "source string, size long, copies long")
+    got = {r.source: r for r in mixing.targets(sized).collect()}
+    want = water_fill(size)
+    for i, n in enumerate(names):
+        assert got[n]["rank"] == i and got[n].source_size == size[i] and abs(got[n].target - want[i]) < 1e-6 * max(1, want[i])
+
+
+def mix_of(spark, n=500):
+    rng = random.Random(10)
+    sources = [rng.choices("abcd", [6, 2, 1, 1])[0] for _ in range(n)]
+    texts = [" ".join(f"w{i}" for _ in range(rng.randrange(1, 60))) for i in range(n)]
+    return spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, sources))], "doc_id long, text string, source string")
+
+
+def test_the_schedule_orders_the_mix(spark, monkeypatch):
+    docs = mix_of(spark)
+    rows, _, stream = mixing.mixed(docs, block_words=32, chunk_docs=40)
+    rows, stream = rows.collect(), sorted(stream.collect(), key=lambda r: (r.slot, r["at"]))
+    goal = {r.source: r.target for r in rows}
+    total, met, near = sum(goal.values()), defaultdict(int), 0
+    for r in stream:
+        met[r.source] += r.words
+        near += r.words
+        for s, t in goal.items():  # every prefix of the mix nears the targets
+            assert abs(met[s] - near * t / total) < 5 * 32
+    by = defaultdict(lambda: [0, 1 << 60])
+    for r in stream:
+        by[r.doc_id] = [by[r.doc_id][0] + r.words, min(by[r.doc_id][1], r.slot)]
+    assert all((r.taken, r.first_slot) == ((by[r.doc_id][0], by[r.doc_id][1]) if r.taken else (0, None)) for r in rows)
+    whole = mixing.whole_documents(mixing.mixed(docs, block_words=32, chunk_docs=40)[2])
+    took = defaultdict(int)
+    size = {r.doc_id: r["size"] for r in rows}
+    for r in whole.collect():
+        took[r.source] += size[r.doc_id]
+    assert all(abs(took[s] - t) <= 60 for s, t in goal.items())  # within a document of the target
+    # another sequence of slots gives another mix of the same amounts
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    others, _, other = mixing.mixed(docs, block_words=32, chunk_docs=40)
+    other = sorted(other.collect(), key=lambda r: (r.slot, r["at"]))
+    assert [r.doc_id for r in other] != [r.doc_id for r in stream]
+    others = {r.doc_id: r for r in others.collect()}
+    assert all(others[r.doc_id].taken == r.taken for r in rows) and any(others[r.doc_id].first_slot != r.first_slot for r in rows)
+
+
+def test_running_sums_in_levels(spark, monkeypatch):
+    rng = random.Random(2)
+    made = [(rng.choice("xxxy"), i, rng.randrange(100)) for i in range(600)]
+    df = spark.createDataFrame(made, "g string, i long, v long").withColumn("part", F.expr("i div 5"))
+    want = {}
+    for g in "xy":
+        at = 0
+        for _, i, v in sorted(r for r in made if r[0] == g):
+            want[i], at = at, at + v
+    for fan in (1024, 3):
+        monkeypatch.setattr(common, "FAN", fan)
+        assert {r.i: r.out for r in common.two_level_sum(df, ["g"], "part", ["i"], "v", "out", 120).collect()} == want
+    got = common.running_sums(df, ["v", "i"], n=F.lit(1), s=F.col("v")).orderBy("v", "i").collect()
+    assert [r.n for r in got] == list(range(600)) and [r.s for r in got] == [sum(x.v for x in got[:k]) for k in range(600)]
+
+
 def test_mix_odd_cases(spark, no_docs, odd_docs, odd_texts):
     assert mixing.mix(no_docs)[0].count() == 0
     assert mixing.mix(odd_docs)[0].count() == len(odd_texts)
@@ -258,7 +346,25 @@ def test_recall_of_relaxed_search(spark, smallest):
             got[r.query_id].add(r.vec_id)
         recall = np.mean([len(got[q] & {i for i, _ in v}) / len(v) for q, v in want.items()])
         assert recall >= least
-    assert ann.nearest(df.limit(0)).count() == 0
+    assert ann.nearest(df.limit(0)).count() == 0 and ann.visited(df.limit(0)) == 0.0
+
+
+def test_pruning_on_clustered_vectors(spark, monkeypatch):
+    """Where vectors lie in clusters, exact search leaves most shards out; a larger factor leaves out more."""
+    monkeypatch.setattr(ann, "SHARD_SIZE", 40)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    made = [(i, (centres[i % 12] + 0.05 * rng.normal(size=16)).tolist()) for i in range(900)] + [(1000, [1.0, 2.0, 3.0]), (1050, [3.0, 2.0, 1.0])]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    exact, relaxed = ann.visited(df), ann.visited(df, factor=3.0)
+    assert relaxed <= exact < 0.5
+    want, found = nearest_by_hand(made), defaultdict(list)
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    assert found == {q: [i for i, _ in v] for q, v in want.items() if v}
+    monkeypatch.setattr(ann, "SHARD_SIZE", 4)  # parts of a shard, and more shards than the sample's leaves
+    assert sorted((r.query_id, r.vec_id) for r in ann.nearest(df).collect()) == sorted((q, i) for q, v in found.items() for i in v)
 
 
 def test_nearest_against_sql(spark, smallest):
