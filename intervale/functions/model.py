@@ -170,12 +170,13 @@ def allele_joint(p: Params, lam: Column, theta: Column, cls: str) -> dict[str, C
 def counterfactual(p: Params, lam: Column, theta: Column, cls: Column, x_maj: Column, x_min: Column, mode: int = 1) -> dict[str, dict[str, Column]]:
     """Posteriors had one more chromosome with allele Xa, Xi or Xo been seen.
 
-    Mode 2 lets the class change: a low site with one more minor allele becomes high
-    with chance 1 / floor(0.15 N - 1), a high one with one more major allele becomes
-    low with chance 1 / floor(0.35 N). A change that cannot be has null mass.
+    Posteriors are those of N + 1 chromosomes. Mode 2 lets the class change, by odds of
+    the N that were seen: a low site with one more minor allele becomes high with chance
+    1 / floor(0.15 N - 1), a high one with one more major allele becomes low with chance
+    1 / floor(0.35 N). A change that cannot be has null mass.
     """
     q = replace(p, alleles=p.alleles + 1)
-    n = q.alleles
+    n = p.alleles
     x_oth = 1.0 - x_maj - x_min
     mono, low = cls == "M", cls == "L"
     post = lambda c, a, i, rho=None: site_posterior(q, lam, theta, F.lit(c), a, i, rho)

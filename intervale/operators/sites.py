@@ -40,5 +40,10 @@ def allele_posteriors(sites: DataFrame, p: Params) -> DataFrame:
 def counterfactuals(sites: DataFrame, p: Params, mode: int = 1) -> DataFrame:
     """Actual posterior and those had one more chromosome with Xa, Xi or Xo been seen."""
     made = counterfactual(p, *_inputs(), mode=mode)
-    rows = posteriors(sites, p)
-    return rows.select("*", *[x.alias(f"{allele.lower()}_{s}") for allele, states in made.items() for s, x in states.items()])
+    keys = ["lambda", "theta", "cls", "x_maj", "x_min"]
+    rows = posteriors(sites.select(*keys).distinct(), p)  # sites of one pattern share it
+    rows = rows.select("*", *[x.alias(f"{allele.lower()}_{s}") for allele, states in made.items() for s, x in states.items()])
+    others = [c for c in rows.columns if c not in keys]
+    rows = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], *others)
+    same = [sites[k].eqNullSafe(rows[f"_{k}"]) for k in keys]
+    return sites.join(rows, same).select(*[sites[c] for c in sites.columns], *others)
