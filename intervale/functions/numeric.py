@@ -6,10 +6,8 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 BITS_PER_NAT = 1.0 / math.log(2.0)
 #: Smallest positive normal double; takes the place of probabilities outside [0, 1].
@@ -59,15 +57,25 @@ def bell(x: Column, sigma: Column) -> Column:
     return F.exp(-F.pow(x / sigma, 2))
 
 
-@F.pandas_udf(DoubleType())
-def erfc(x: pd.Series) -> pd.Series:
-    """Complementary error function; neither Spark SQL nor numpy has one."""
-    return x.map(math.erfc, na_action="ignore").astype(float)
+#: Terms of erfc's series below 3, and steps of its continued fraction above.
+ERFC_TERMS, ERFC_STEPS = 80, 60
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function, to some 1e-15."""
+    a = F.abs(x)
+    down = lambda n: F.sequence(F.lit(n), F.lit(1), F.lit(-1))
+    series = F.aggregate(down(ERFC_TERMS), F.lit(1.0), lambda s, n: 1.0 + s * (2.0 * a * a) / (2 * n + 1))
+    far = F.greatest(a, F.lit(3.0))
+    fraction = F.aggregate(down(ERFC_STEPS), far, lambda s, n: far + n / 2.0 / s)
+    bell = F.exp(-a * a) / math.sqrt(math.pi)
+    right = F.when(a < 3.0, 1.0 - 2.0 * a * bell * series).otherwise(bell / fraction)
+    return F.when(x < 0, 2.0 - right).otherwise(right)
 
 
 def ordering_error(higher: Column, lower: Column, err_higher: Column, err_lower: Column) -> Column:
     """Chance that two estimates stand in the wrong order: erfc(difference / sigma) / 2."""
-    return erfc((higher - lower) / F.sqrt(err_higher * err_higher + err_lower * err_lower)) / 2.0
+    return erfc(F.try_divide(higher - lower, F.sqrt(err_higher * err_higher + err_lower * err_lower))) / 2.0
 
 
 def log_sum_exp(df: DataFrame, value: str, keys: list[str] = [], out: str = "lse") -> DataFrame:  # noqa: B006
@@ -90,6 +98,11 @@ def central_difference(f, x: np.ndarray, step: float = 1e-6) -> np.ndarray:
     return np.array([(f(x + d) - f(x - d)) / (2 * step) for d in np.eye(len(x)) * step])
 
 
+def adjugate3(m: np.ndarray) -> np.ndarray:
+    """Adjugate of a 3 x 3 matrix: its inverse times its determinant, singular or not."""
+    return np.stack([np.cross(m[1], m[2]), np.cross(m[2], m[0]), np.cross(m[0], m[1])], axis=1)
+
+
 def inverse3(m: np.ndarray) -> np.ndarray | None:
     """Inverse of a small matrix made symmetric, or None where it is singular."""
     s = (m + m.T) / 2

@@ -156,6 +156,11 @@ def in_set(record: Column, mask) -> Column:
     return record.bitwiseAND(mask if isinstance(mask, Column) else F.lit(mask)) == record
 
 
+def sorted_tags(tag: Column) -> Column:
+    """Aggregate: the distinct tags of all rows in byte order."""
+    return F.array_sort(F.collect_set(tag))
+
+
 def mask_of(values: Column) -> Column:
     """Aggregate: the bits of all rows together."""
     return F.bit_or(values)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.model import CELLS, Params, class_table
-from ..functions.numeric import TINY, log_normalise
+from ..functions.numeric import TINY
 
 #: Margin that keeps grid values off their limits, and the largest eta and gamma.
 EDGE, TOP = 1e-9, 10.0
@@ -53,7 +53,7 @@ def widths(values: list[float]) -> list[float]:
 
 
 def grid(spark: SparkSession, values: dict[str, list[float]]) -> DataFrame:
-    """One row a cell: cell, rho, eta, gamma, log_size. The axes bound its size."""
+    """One row a cell: cell, rho, eta, gamma, their widths and log_size. The axes bound its size."""
     size = {k: len(v) for k, v in values.items()}
     n = size["rho"] * size["eta"] * size["gamma"]
     df, place = spark.range(n).withColumnRenamed("id", "cell"), F.col("cell")
@@ -61,7 +61,8 @@ def grid(spark: SparkSession, values: dict[str, list[float]]) -> DataFrame:
     for name in ("gamma", "eta", "rho"):
         at = (place % size[name] + 1).cast("int")
         df = df.withColumn(name, F.element_at(F.array(*map(F.lit, values[name])), at))
-        logs.append(F.element_at(F.array(*[F.lit(float(np.log(w))) for w in widths(values[name])]), at))
+        df = df.withColumn(f"d_{name}", F.element_at(F.array(*[F.lit(float(w)) for w in widths(values[name])]), at))
+        logs.append(F.log(f"d_{name}"))
         place = F.floor(place / size[name])
     return df.withColumn("log_size", logs[0] + logs[1] + logs[2])
 
@@ -72,49 +73,58 @@ def prior_nll(p: Params, prior: Params, weight: float) -> float:
     return -sum(weight * theirs[c] * np.log(max(ours[c] / CELLS[c], TINY)) for c in theirs)
 
 
-def _partial(cells: np.ndarray):
-    """Sums of -n ln P over a task's coefficient rows, for every cell."""
+def _partial(points: np.ndarray):
+    """Sums of -n ln P over a task's coefficient rows, for every cell: of the data's and of the prior's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rho, eta, gamma = cells[:, 0:1], cells[:, 1:2], cells[:, 2:3]
-        total, any_ = np.zeros(len(cells)), False
+        rho, eta, gamma = points[:, 0:1], points[:, 1:2], points[:, 2:3]
+        total, any_ = np.zeros((2, len(points))), False
         for batch in batches:
             c, r, e, g, k, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            for i in range(0, len(n), 64):
-                s = slice(i, i + 64)
-                p = c[s] + rho * (r[s] + eta * e[s] + gamma * g[s] + eta * gamma * k[s])
-                total -= np.log(np.where((p < 0) | (p > 1), TINY, p)) @ n[s]
-                any_ = True
+            prior = batch.column(6).to_numpy(zero_copy_only=False)
+            # Rows without selection terms, P = c (1 - rho), fold into two sums.
+            plain = (r == -c) & (e == 0) & (g == 0) & (k == 0) & (c > 0) & (c <= 1)
+            for side in (False, True):
+                at = plain & (prior == side)
+                if at.any():
+                    total[int(side)] -= (n[at] * np.log(c[at])).sum() + n[at].sum() * np.log(1.0 - rho[:, 0])
+                rest = np.flatnonzero(~plain & (prior == side))
+                for i in range(0, len(rest), 64):
+                    s = rest[i : i + 64]
+                    p = c[s] + rho * (r[s] + eta * e[s] + gamma * g[s] + eta * gamma * k[s])
+                    total[int(side)] -= np.log(np.where((p < 0) | (p > 1), TINY, p)) @ n[s]
+            any_ |= batch.num_rows > 0
         if any_:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(total)], ["cell", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points))), pa.array(total[0]), pa.array(total[1])], ["cell", "data", "prior"])
 
     return run
 
 
-def grid_nll(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """NLL of coefficient rows (c, r, e, g, k, n) at every cell.
-
-    Rows without selection terms (high-frequency sites, P = c (1 - rho)) fold into two
-    sums. The other rows stay where they are: each task returns one number a cell.
-    """
-    plain = (F.col("r") == -F.col("c")) & (F.col("e") == 0) & (F.col("g") == 0) & (F.col("k") == 0) & F.col("c").between(0, 1)
-    folded = rows.where(plain).agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.log("c")), F.lit(0.0)).alias("s")).first()
-    points = np.array([tuple(x) for x in cells.orderBy("cell").select("rho", "eta", "gamma").collect()])  # the axes bound the grid
-    parts = rows.where(~plain).select("c", "r", "e", "g", "k", F.col("n").cast("double")).mapInArrow(_partial(points), "cell long, part double")
-    summed = parts.groupBy("cell").agg(F.sum("part").alias("part"))
-    nll = F.coalesce("part", F.lit(0.0)) - folded.s - F.when(F.lit(folded.n != 0), F.lit(folded.n) * F.log(1.0 - F.col("rho"))).otherwise(0.0)
-    return cells.join(summed, "cell", "left").withColumn("nll", nll).drop("part")
+def _normalised(x: np.ndarray) -> np.ndarray:
+    top = x.max()
+    return x - (top + np.log(np.exp(x - top).sum()))
 
 
 def parameter_posterior(rows: DataFrame, prior_rows: DataFrame, values: dict[str, list[float]]) -> DataFrame:
-    """The grid with log prior and posterior masses (log_prior, log_post) and densities."""
-    spark = rows.sparkSession
-    cells = grid_nll(rows, grid(spark, values)).withColumnRenamed("nll", "data_nll")
-    prior = grid_nll(prior_rows, grid(spark, values)).select("cell", F.col("nll").alias("prior_nll"))
-    both = cells.join(prior, "cell").withColumn("log_prior", F.col("log_size") - F.col("prior_nll"))
-    both = log_normalise(both, "log_prior").withColumn("log_post", F.col("log_prior") - F.col("data_nll"))
-    both = log_normalise(both, "log_post")
-    return both.withColumn("prior_density", F.col("log_prior") - F.col("log_size")).withColumn("post_density", F.col("log_post") - F.col("log_size"))
+    """The grid with log prior and posterior masses (log_prior, log_post) and densities.
+
+    The coefficient rows (c, r, e, g, k, n) stay where they are: each task returns two
+    numbers a cell, which are summed in one aggregate. The axes bound the cells, which
+    are normalised on the driver.
+    """
+    spark, names = rows.sparkSession, [*"cregk", "n"]
+    points = np.stack(np.meshgrid(*(values[k] for k in ("rho", "eta", "gamma")), indexing="ij"), axis=-1).reshape(-1, 3)
+    size = np.log(np.stack(np.meshgrid(*(widths(values[k]) for k in ("rho", "eta", "gamma")), indexing="ij"), axis=-1)).reshape(-1, 3).sum(axis=1)
+    exact = lambda df, prior: df.select(*[F.col(k).cast("double").alias(k) for k in names], F.lit(prior).alias("prior"))
+    both = exact(rows, False).unionByName(exact(prior_rows, True))
+    parts = both.mapInArrow(_partial(points), "cell long, data double, prior double")
+    summed = parts.groupBy("cell").agg(F.sum("data").alias("data"), F.sum("prior").alias("prior")).toArrow()
+    nll = np.zeros((2, len(points)))
+    nll[:, summed.column("cell").to_numpy()] = summed.column("data").to_numpy(), summed.column("prior").to_numpy()
+    log_prior = _normalised(size - nll[1])
+    log_post = _normalised(log_prior - nll[0])
+    columns = {"cell": np.arange(len(points)), "data_nll": nll[0], "prior_nll": nll[1], "log_prior": log_prior, "log_post": log_post, "prior_density": log_prior - size, "post_density": log_post - size}
+    return grid(spark, values).join(spark.createDataFrame(pa.table(columns)), "cell")
 
 
 def marginals(posterior: DataFrame) -> DataFrame:

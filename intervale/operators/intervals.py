@@ -46,9 +46,8 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 65_536, how: st
     names = {c: f"r_{c}" if c in left.columns else c for c in right.columns}
     r = _binned(right.where(whole), width).select("_bin", *[F.col(c).alias(n) for c, n in names.items()])
     if how != "inner":
-        row = F.struct(*left.columns)
-        found = overlap_join(left.select(row.alias("_row"), "chrom", "st", "en"), right.select("chrom", "st", "en"), width).select("_row").distinct()
-        return left.withColumn("_row", row).join(found, "_row", how).drop("_row")
+        flagged = overlap_flags(left, right, width)
+        return flagged.where(F.col("hit") == (how == "left_semi")).drop("hit")
     l = _binned(left.where(whole), width)  # noqa: E741
     on = [l["_bin"] == r["_bin"], l["chrom"] == r["r_chrom"], l["st"] < r["r_en"], r["r_st"] < l["en"]]
     pairs = l.join(r.withColumnRenamed("_bin", "_rbin"), on=[l["_bin"] == F.col("_rbin"), *[c for c in on[1:]]])
@@ -62,6 +61,22 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 65_536, how: st
     )
 
 
+def overlap_flags(left: DataFrame, right: DataFrame, width: int = 65_536) -> DataFrame:
+    """Rows of ``left`` and whether any interval of ``right`` overlaps them, as ``hit``.
+
+    Equal rows are counted first and given back in their number, so one join on bins and
+    one aggregate per row answer for all; empty intervals and null bounds have no hit.
+    """
+    whole = F.col("st").isNotNull() & F.col("en").isNotNull() & (F.col("st") < F.col("en"))
+    rows = left.groupBy(*left.columns).agg(F.count("*").alias("_copies"))
+    bins = F.when(whole, F.sequence(F.expr(f"st div {width}"), F.expr(f"(en - 1) div {width}")))
+    cut = rows.withColumn("_bin", F.explode_outer(bins))
+    r = _binned(right.where(whole).select("chrom", "st", "en"), width).distinct().select(*[F.col(c).alias(f"_r_{c.strip('_')}") for c in ("chrom", "st", "en", "_bin")])
+    on = (F.col("_bin") == F.col("_r_bin")) & (F.col("chrom") == F.col("_r_chrom")) & (F.col("st") < F.col("_r_en")) & (F.col("_r_st") < F.col("en"))
+    found = cut.join(r, on, "left").groupBy(*left.columns, "_copies").agg(F.max(F.col("_r_st").isNotNull()).alias("hit"))
+    return found.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copies")
+
+
 def locate(points: DataFrame, blocks: DataFrame, at: str = "pos", width: int = 65_536) -> DataFrame:
     """Points (chrom, ``at``) with the columns of the interval each lies in."""
     p = points.withColumn("_bin", F.expr(f"{at} div {width}"))
@@ -77,16 +92,8 @@ def positions(df: DataFrame) -> DataFrame:
     return df.where("st < en").withColumn("pos", F.explode(F.sequence("st", F.expr("en - 1"))))
 
 
-def coalesce_runs(df: DataFrame, value: str, keys: list[str] = ["chrom"], drop_zero: bool = True, region: int | None = None) -> DataFrame:  # noqa: B006
-    """Merge adjacent intervals that touch and carry the same ``value``.
-
-    Zero values are dropped. With ``region`` (positions), islands are marked within
-    regions first and then glued over region borders, so no task holds a chromosome.
-    """
-    rows = df.where(F.col(value) != 0) if drop_zero else df
-    if region:
-        inner = coalesce_runs(rows.withColumn("_region", F.expr(f"st div {region}")), value, [*keys, "_region"], False)
-        return coalesce_runs(inner.drop("_region"), value, keys, False)
+def _islands(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Runs of rows that touch and carry the same value, in order of position within keys."""
     w = Window.partitionBy(*keys).orderBy("st", "en")
     new = ~(F.lag("en").over(w).eqNullSafe(F.col("st")) & F.lag(value).over(w).eqNullSafe(F.col(value)))
     marked = rows.withColumn("_island", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -94,24 +101,72 @@ def coalesce_runs(df: DataFrame, value: str, keys: list[str] = ["chrom"], drop_z
     return merged.drop("_island")
 
 
-def breakpoint_segments(*runs: DataFrame, keys: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
-    """Atomic segments between consecutive borders of any of the runs."""
+def coalesce_runs(df: DataFrame, value: str, keys: list[str] = ["chrom"], drop_zero: bool = True, region: int | None = None) -> DataFrame:  # noqa: B006
+    """Merge adjacent intervals that touch and carry the same ``value``.
+
+    Zero values are dropped. With ``region`` (positions), for intervals of a key that do
+    not overlap, islands are made within regions, and only a region's first and last are
+    glued to their neighbours; so a task holds a region, or two rows a region of a key.
+    """
+    rows = df.where(F.col(value) != 0) if drop_zero else df
+    if not region:
+        return _islands(rows, value, keys)
+    inner = _islands(rows.withColumn("_region", F.expr(f"st div {region}")), value, [*keys, "_region"])
+    w = Window.partitionBy(*keys, "_region")
+    edge = (F.col("st") == F.min("st").over(w)) | (F.col("en") == F.max("en").over(w))
+    marked = inner.withColumn("_edge", edge).drop("_region")
+    glued = _islands(marked.where("_edge"), value, keys)
+    return marked.where("NOT _edge").select(*glued.columns).unionByName(glued)
+
+
+def breakpoint_segments(*runs: DataFrame, keys: list[str] = ["chrom"], region: int | None = None) -> DataFrame:  # noqa: B006
+    """Atomic segments between consecutive borders of any of the runs.
+
+    With ``region`` (positions) a task orders the borders of a region, and the first
+    borders of a key's regions, one a region.
+    """
     borders = None
     for r in runs:
         part = r.select(*keys, F.col("st").alias("st")).unionByName(r.select(*keys, F.col("en").alias("st")))
         borders = part if borders is None else borders.unionByName(part)
-    w = Window.partitionBy(*keys).orderBy("st")
-    return borders.distinct().withColumn("en", F.lead("st").over(w)).where("en IS NOT NULL")
+    if not region:
+        w = Window.partitionBy(*keys).orderBy("st")
+        return borders.distinct().withColumn("en", F.lead("st").over(w)).where("en IS NOT NULL")
+    placed = borders.distinct().withColumn("_region", _region("st", region))
+    inner = placed.withColumn("en", F.lead("st").over(Window.partitionBy(*keys, "_region").orderBy("st")))
+    following = placed.groupBy(*keys, "_region").agg(F.min("st").alias("_next")).withColumn("_next", F.lead("_next").over(Window.partitionBy(*keys).orderBy("_region")))
+    joined = inner.join(following, [*keys, "_region"]).withColumn("en", F.coalesce("en", "_next"))
+    return joined.where("en IS NOT NULL").select(*keys, "st", "en")
+
+
+def _region(at: str, region: int) -> Column:
+    """Number of a position's region, rounded down below zero too."""
+    return F.expr(f"({at} - pmod({at}, {region})) div {region}")
 
 
-def asof_state(points: DataFrame, runs: DataFrame, state: str, keys: list[str], at: str = "st") -> DataFrame:
-    """Each point with the latest ``state`` that started at or before it, within keys."""
-    left = points.withColumn("_kind", F.lit(1)).withColumn("_state", F.lit(None).cast(runs.schema[state].dataType))
+def asof_state(points: DataFrame, runs: DataFrame, state: str, keys: list[str], at: str = "st", region: int | None = None) -> DataFrame:
+    """Each point with the latest ``state`` that started at or before it, within keys.
+
+    With ``region`` (positions) a task orders the points and runs of a region; the state
+    that a region begins with comes from the last ones of earlier regions, one row each.
+    """
+    none = F.lit(None).cast(runs.schema[state].dataType)
+    left = points.withColumn("_kind", F.lit(1)).withColumn("_state", none)
     right = runs.select(*keys, F.col("st").alias(at), F.lit(0).alias("_kind"), F.col(state).alias("_state"))
+    groups = list(keys)
+    if region:
+        groups.append("_region")
+        left, right = (df.withColumn("_region", _region(at, region)) for df in (left, right))
+        last = right.where("_state IS NOT NULL").groupBy(*groups).agg(F.max_by("_state", F.struct(at, "_state")).alias("_last"))
+        met = left.select(*groups).distinct().withColumn("_last", none).unionByName(last).groupBy(*groups).agg(F.first("_last", ignorenulls=True).alias("_last"))
+        earlier = Window.partitionBy(*keys).orderBy("_region").rowsBetween(Window.unboundedPreceding, -1)
+        begun = met.withColumn("_state", F.last("_last", ignorenulls=True).over(earlier)).where("_state IS NOT NULL")
+        begun = begun.select(*groups, (F.col("_region") * region).cast(right.schema[at].dataType).alias(at), F.lit(-1).alias("_kind"), "_state")
+        right = right.unionByName(begun)
     both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*groups).orderBy(at, "_kind", "_state").rowsBetween(Window.unboundedPreceding, 0)
     carried = both.withColumn(state, F.last("_state", ignorenulls=True).over(w))
-    return carried.where("_kind = 1").drop("_kind", "_state")
+    return carried.where("_kind = 1").drop("_kind", "_state", "_region")
 
 
 def align(annotation: DataFrame, cells: DataFrame, region: int = 1_000_000) -> DataFrame:
@@ -141,9 +196,12 @@ def linear_positions(df: DataFrame, genome: DataFrame) -> DataFrame:
     return df.join(F.broadcast(offsets), "chrom").withColumn("linear", F.col("_offset") + F.col("st")).drop("_offset")
 
 
-def from_linear(df: DataFrame, genome: DataFrame) -> DataFrame:
-    """The inverse: ``linear`` as chrom and st."""
+def from_linear(df: DataFrame, genome: DataFrame, width: int = 1 << 24) -> DataFrame:
+    """The inverse: ``linear`` as chrom and st, by an equi-join on stretches of ``width``."""
     w = Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)
     offsets = genome.select("chrom", F.coalesce(F.sum(F.col("en") - F.col("st")).over(w), F.lit(0)).alias("_lo"), (F.col("en") - F.col("st")).alias("_len"))
-    found = df.join(F.broadcast(offsets), (F.col("linear") >= F.col("_lo")) & (F.col("linear") < F.col("_lo") + F.col("_len")))
-    return found.withColumn("st", F.col("linear") - F.col("_lo")).drop("_lo", "_len")
+    bins = F.explode(F.sequence(F.expr(f"_lo div {width}"), F.expr(f"(_lo + _len - 1) div {width}")))
+    offsets = offsets.where("_len > 0").withColumn("_bin", bins)
+    placed = df.withColumn("_bin", F.expr(f"linear div {width}"))
+    found = placed.join(offsets, "_bin").where("linear >= _lo AND linear < _lo + _len")
+    return found.withColumn("st", F.col("linear") - F.col("_lo")).drop("_lo", "_len", "_bin")
