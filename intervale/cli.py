@@ -2,18 +2,21 @@
 
     python -m intervale.cli fit DATABASE LOCI.bed -o OUT --map
     python -m intervale.cli tree COVSET DATABASE RUNS GENOME -o OUT
+    python -m intervale.cli convert DATABASE -o TABLES
 
 A database is a folder with block.bedg, poly.bedg, polyn.bedg and monoDB.chroms,
-.db and .tags. A parameter is ``start[,refine[,prior]]``: its first value, whether
+.db and .tags, or with the tables that ``convert`` makes of these once. A parameter is ``start[,refine[,prior]]``: its first value, whether
 it is fitted (1 or 0), and its prior's value.
 """
 
 from __future__ import annotations
 
 import argparse
+import time
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ship
@@ -78,6 +81,12 @@ def arguments() -> argparse.ArgumentParser:
     t.add_argument("--implied-rho", action="store_true")
     t.add_argument("--chromosome", help="use one chromosome only")
     t.add_argument("--cells", nargs="+", required=True)
+    t.add_argument("--levels", type=int, help="stop after so many levels; open nodes stay pending")
+    t.add_argument("--restart", metavar="NODES", help="go on from the pending nodes of a stored table")
+    t.add_argument("--expected", action="store_true", help="score splits by expected gain too")
+    c = kinds.add_parser("convert", help="turn a database's files into tables")
+    c.add_argument("database")
+    c.add_argument("-o", "--out", required=True)
     return top
 
 
@@ -101,7 +110,14 @@ def config(a: argparse.Namespace) -> tuple[Config, dict]:
     return made, start
 
 
+TABLES = ("blocks", "polys", "neutral", "mono", "dictionary")
+
+
 def database(spark: SparkSession, path: str) -> Database:
+    try:
+        return Database(*[spark.read.parquet(f"{path}/{t}.parquet") for t in TABLES])
+    except AnalysisException:  # no tables: the files
+        pass
     mono = f"{path}/monoDB"
     return Database(
         readers.read_blocks(spark, f"{path}/block.bedg"), readers.read_polys(spark, f"{path}/poly.bedg"), readers.read_polys(spark, f"{path}/polyn.bedg"),
@@ -109,12 +125,23 @@ def database(spark: SparkSession, path: str) -> Database:
     )
 
 
+def convert(spark: SparkSession, a: argparse.Namespace) -> None:
+    made = database(spark, a.database)
+    for t in TABLES:
+        path = f"{a.out}/{t}.parquet"
+        if t == "dictionary":
+            made.dictionary.write.mode("overwrite").parquet(path)
+        else:
+            readers.as_table(getattr(made, t), path)
+
+
 def fit(spark: SparkSession, a: argparse.Namespace) -> None:
+    began = time.time()
     options, start = config(a)
     engine = Engine(database(spark, a.database))
     loci = readers.read_weighted_bed(spark, a.loci, int(a.max_weight))
     result = engine.fit(loci, options, start)
-    made, mode = result.fit, "MaxAPosteriori"
+    made, mode = result.fit, "MaxAPosteriori" if a.prior_weight > 0 else "MaxLikelihood"
     if a.expect or a.distribution:
         out = engine.posterior(result)
         if a.distribution:
@@ -126,19 +153,21 @@ def fit(spark: SparkSession, a: argparse.Namespace) -> None:
             values = {r.axis: r.expectation for r in out["expectation"].collect()}
             # The errors stay those of the most probable parameters.
             made, mode = replace(made, params=replace(made.params, **values)), "Expectation"
-    rows = sinks.model_rows(spark, a.loci, made, result.stats, prior=options.prior)
+    given = {k: v for k, v in vars(a).items() if v is not None and k != "command"} | {"maxSampW": a.max_weight}
+    rows = sinks.model_rows(spark, a.loci, made, result.stats, result.neutral_stats, options.prior, given, result.neutral, options.neutral_prior)
     rows.write.mode("overwrite").parquet(f"{a.out}/model")
     sinks.model_text(rows).select("value").write.mode("overwrite").text(f"{a.out}/model_text")
-    sinks.summary_row(spark, made, mode).write.mode("overwrite").parquet(f"{a.out}/summary")
+    sinks.summary_row(spark, made, mode, time.time() - began).write.mode("overwrite").parquet(f"{a.out}/summary")
     for what in a.sites:
         engine.site_posteriors(loci, made.params, what, a.counterfactual_mode).write.mode("overwrite").parquet(f"{a.out}/sites_{what}")
     if a.summary:
         for name, df in engine.summary(loci).items():
             df.write.mode("overwrite").parquet(f"{a.out}/alleles_{name}")
     if a.interchange:
-        per = engine.decoded_positions(loci)
         p = made.params
-        sinks.write_lines(sinks.interchange_lines(engine.db.blocks, per, p.alleles, (p.beta1, p.beta2, p.beta3)), f"{a.out}/interchange")
+        for name, per, betas_ in (("interchange", engine.decoded_positions(loci), (p.beta1, p.beta2, p.beta3)), ("interchange_neutral", engine.neutral_positions(result.patterns), None)):
+            blocks = engine.db.blocks.join(per.select("block_id").distinct(), "block_id", "left_semi")  # blocks without sites have no line
+            sinks.write_lines(sinks.interchange_lines(blocks, per, p.alleles, betas_), f"{a.out}/{name}")
 
 
 def grow(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -156,16 +185,29 @@ def grow(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.chromosome:
         ann, cells, genome = (df.where(F.col("chrom") == a.chromosome) for df in (ann, cells, genome))
     whole = genome.select("chrom", "st", "en", F.lit(1).alias("weight"))
-    options = tree.Options(a.min_gain, a.max_depth, a.min_positions, a.max_order_error, a.max_half_error, a.min_directed_bits, a.by_entropy, a.implied_rho)
-    nodes = tree.grow(spark, covset, align(ann, cells), engine.runs(whole), HG19, options, len(a.cells))
+    options = tree.Options(
+        a.min_gain, a.max_depth, a.min_positions, a.max_order_error, a.max_half_error, a.min_directed_bits, a.expected, a.by_entropy, a.implied_rho
+    )
+    before = tree.load_nodes(spark.read.parquet(a.restart), covset, HG19) if a.restart else None
+    kept: dict[str, list[DataFrame]] = {}
+    nodes = tree.grow(spark, covset, align(ann, cells), engine.runs(whole), HG19, options, len(a.cells), before, a.levels, kept)
     tree.node_table(spark, nodes, covset).write.mode("overwrite").parquet(f"{a.out}/nodes")
+    for name, levels in kept.items():
+        table = levels[0]
+        for df in levels[1:]:
+            table = table.unionByName(df)
+        if name == "partitions":
+            table = sinks.partition_table(table)
+        else:
+            tree.value_summary(table).write.mode("overwrite").parquet(f"{a.out}/single_summary")
+        table.write.mode("overwrite").parquet(f"{a.out}/{name}")
 
 
 def main(argv: list[str] | None = None) -> None:
     a = arguments().parse_args(argv)
     spark = SparkSession.builder.appName(f"intervale {a.command}").getOrCreate()
     ship(spark)
-    {"fit": fit, "tree": grow}[a.command](spark, a)
+    {"fit": fit, "tree": grow, "convert": convert}[a.command](spark, a)
 
 
 if __name__ == "__main__":

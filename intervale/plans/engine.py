@@ -57,6 +57,8 @@ class Result:
     patterns: DataFrame
     prior_rows: DataFrame | None
     config: Config
+    neutral: Params
+    neutral_stats: dict
 
 
 class Engine:
@@ -103,6 +105,12 @@ class Engine:
         rows = self._decoded(self.sites(loci)).join(self.db.blocks.select("block_id", "lambda", "theta"), "block_id")
         return rows.select("chrom", "st", "en", "cls", "x_maj", "x_min", F.col("lambda").cast("double"), F.col("theta").cast("double"))
 
+    def neutral_positions(self, touched: DataFrame) -> DataFrame:
+        """A row per neutral polymorphism of blocks ``touched``: block_id, chrom, pos, cls, x_maj, x_min."""
+        placed = locate(self.db.neutral.withColumn("pos", F.col("st")), self.db.blocks.select("chrom", "st", "en", "block_id"))
+        kept = placed.join(touched.select("block_id").distinct(), "block_id", "left_semi")
+        return self._decoded(kept.withColumnRenamed("freq", "cls")).select("block_id", "chrom", "pos", "cls", "x_maj", "x_min")
+
     def decoded_positions(self, loci: DataFrame) -> DataFrame:
         """A row per site under the loci: block_id, chrom, pos, cls, x_maj, x_min."""
         return positions(self._decoded(self.sites(loci))).select("block_id", "chrom", "pos", "cls", "x_maj", "x_min")
@@ -113,7 +121,8 @@ class Engine:
         found = self.sites(loci).cache()
         rows = self.pattern_rows(found).cache()
         touched = rows.where("cls <> 'M'") if config.poly_blocks_only else rows
-        neutral = self.pattern_rows(self.neutral_sites(touched)).cache()
+        neutral_sites = self.neutral_sites(touched).cache()
+        neutral = self.pattern_rows(neutral_sites).cache()
         params = replace(prior, **(start or {}))
         if config.refine_lambda_theta:
             lam, theta = f.lambda_theta(rows, "n", prior, w, scale)
@@ -122,13 +131,19 @@ class Engine:
             b2 = f.beta2(neutral, prior.beta2, w)
             b3 = f.beta3(neutral, b2, config.neutral_prior, w)
             params = replace(params, beta1=1 - b2 - b3, beta2=b2, beta3=b3)
+        # The neutral model's lambda and theta weigh each block that has data by its length.
+        blocks = self.db.blocks.withColumn("len", F.col("en") - F.col("st")).join(touched.select("block_id").distinct(), "block_id", "left_semi")
+        lam, theta = f.lambda_theta(blocks, "len", config.neutral_prior, w, scale)
+        neutral_model = replace(config.neutral_prior, lam=lam, theta=theta, beta1=params.beta1, beta2=params.beta2, beta3=params.beta3)
         data = f.coefficient_rows(rows, params, scale=scale)
         pseudo = f.prior_rows(loci.sparkSession, params, prior, w) if w > 0 else None
         made = f.fit(data, params, pseudo, config.fixed, config.min_eta)
         stats = {**patterns.loci_info(loci).first().asDict(), **patterns.site_counters(found).first().asDict()}
+        neutral_stats = patterns.site_counters(neutral_sites).first().asDict()
         neutral.unpersist()
+        neutral_sites.unpersist()
         found.unpersist()
-        return Result(made, f.derived(made.params), f.derived_errors(made.params, made.hessian), stats, rows, pseudo, config)
+        return Result(made, f.derived(made.params), f.derived_errors(made.params, made.hessian), stats, rows, pseudo, config, neutral_model, neutral_stats)
 
     def posterior(self, result: Result) -> dict[str, DataFrame]:
         """Grid posterior of the parameters, marginals, expectations and intervals."""

@@ -6,11 +6,12 @@ together; the driver holds one row a candidate.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.model import Params
 from ..functions.numeric import BITS_PER_NAT, binary_entropy, ordering_error
@@ -27,6 +28,8 @@ class Options:
     max_p1: float | None = None
     max_p2: float | None = None
     min_directed_bits: float | None = None
+    #: Add the expected gain over both children's uncertainty to the scores.
+    expected: bool = False
     #: Gain by likelihood, or by the entropy of rho.
     by_entropy: bool = False
     #: The parent's rho for entropy: fitted, or implied by the children.
@@ -105,6 +108,13 @@ def expected_gain(n_hi: float, rho_hi: float, err_hi: float, n_lo: float, rho_lo
     return float((w * gain).sum()), float((w * gain * (x[:, None] > y[None])).sum())
 
 
+@F.pandas_udf(StructType([StructField("total", DoubleType()), StructField("ordered", DoubleType())]))
+def expected_gains(n_hi: pd.Series, rho_hi: pd.Series, err_hi: pd.Series, n_lo: pd.Series, rho_lo: pd.Series, err_lo: pd.Series) -> pd.DataFrame:
+    """``expected_gain`` of each row, in the tasks; null where an error is."""
+    rows = [expected_gain(*r) if pd.notna(r[2]) and pd.notna(r[5]) and r[2] and r[5] else (None, None) for r in zip(n_hi, rho_hi, err_hi, n_lo, rho_lo, err_lo)]
+    return pd.DataFrame(rows, columns=["total", "ordered"], dtype=float)
+
+
 def score_candidates(candidates: DataFrame, options: Options) -> DataFrame:
     """Gains, ordering errors, checks and ranks of fitted candidates.
 
@@ -133,8 +143,11 @@ def score_candidates(candidates: DataFrame, options: Options) -> DataFrame:
         ok &= F.coalesce(F.col("p1") * tests <= options.max_p1, F.lit(False))
     if options.max_p2 is not None:
         ok &= F.coalesce(F.col("p2") * tests <= options.max_p2, F.lit(False))
-    if options.min_directed_bits is not None and "directed_bits" in df.columns:
-        ok &= F.col("directed_bits") >= options.min_directed_bits
+    if options.expected or options.min_directed_bits is not None:
+        df = df.withColumn("_gains", expected_gains(*[F.col(f"{x}_{y}") for y in ("hi", "lo") for x in ("n", "rho", "err")]))
+        df = df.withColumn("expected_bits", F.col("_gains.total")).withColumn("directed_bits", F.col("_gains.ordered")).drop("_gains")
+    if options.min_directed_bits is not None:
+        ok &= F.coalesce(F.col("directed_bits") >= options.min_directed_bits, F.lit(False))
     df = df.withColumn("passes", ok)
     order = [F.desc("passes"), F.desc("gain"), "cov", F.col("set_values")]
     best = F.max(F.when(F.col("passes"), F.col("gain"))).over(Window.partitionBy("node_id", "cov"))
@@ -151,12 +164,13 @@ def _clean(p: Params, fitted: dict, options: Options) -> Params:
     return replace(made, **{k: round(getattr(made, k), 6) for k in ("rho", "eta", "gamma")}) if options.round_priors else made
 
 
-def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFrame, start: Params, options: Options = Options(), cells: int = 1, nodes: list[Node] | None = None, levels: int | None = None) -> list[Node]:  # noqa: B008
+def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFrame, start: Params, options: Options = Options(), cells: int = 1, nodes: list[Node] | None = None, levels: int | None = None, kept: dict[str, list[DataFrame]] | None = None) -> list[Node]:  # noqa: B008
     """Grow a tree; ``aligned`` and ``sites`` as ``align`` and ``subset_sites`` take them.
 
     The root is fitted first, so that its likelihood is that of these data. With
     ``levels`` growth stops after so many, and its open nodes stay ``pending``; given
-    as ``nodes`` (see ``load_nodes``), growth goes on from them.
+    as ``nodes`` (see ``load_nodes``), growth goes on from them. ``kept`` receives each
+    level's scored splits and the fits of single values, under partitions and singles.
     """
     ann, cts = Layout.of(covset.of(False)), Layout.of(covset.of(True))
     aligned, scale = aligned.cache(), 1.0 / cells
@@ -179,6 +193,9 @@ def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFra
         by_id = {n.node_id: n for n in level}
         singles = fitted({i: loose[k] for i, k in names.items()}, {i: by_id[k[0]].params for i, k in names.items()}) if loose else {}
         rho = {names[i]: f["rho"] for i, f in singles.items()}
+        if kept is not None and singles:
+            made = [(*names[i], *(f[k] for k in ("n", "rho", "rho_err", "eta", "gamma", "nll"))) for i, f in singles.items()]
+            kept.setdefault("singles", []).append(spark.createDataFrame(made, "node_id string, cov string, value int, n double, rho double, rho_err double, eta double, gamma double, nll double"))
         splits, subsets, starts = {}, {}, {}
         for n in level:
             for c in covset.covariates:
@@ -194,13 +211,17 @@ def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFra
         for key, (n, name, a, b) in splits.items():
             s, c = results.get(f"{key}s"), results.get(f"{key}c")
             if s and c:
-                hi, lo = (s, c) if s["rho"] >= c["rho"] else (c, s)
-                directed = expected_gain(hi["n"], hi["rho"], hi["rho_err"], lo["n"], lo["rho"], lo["rho_err"])[1] if hi["rho_err"] and lo["rho_err"] else math.nan
-                rows.append((n.node_id, key, name, list(a), list(b), n.nll, n.params.rho, directed, *[float(x) if (x := side[k]) is not None else None for k in ("n", "rho", "rho_err", "nll") for side in (s, c)]))
+                rows.append((n.node_id, key, name, list(a), list(b), n.nll, n.params.rho, *[float(x) if (x := side[k]) is not None else None for k in ("n", "rho", "rho_err", "nll") for side in (s, c)]))
         best = {}
         if rows:
-            spec = "node_id string, key string, cov string, set_values array<int>, coset_values array<int>, parent_nll double, parent_rho double, directed_bits double, " + ", ".join(f"{x}_{y} double" for x in ("n", "rho", "err", "nll") for y in ("set", "cos"))
-            best = {r.node_id: r for r in score_candidates(spark.createDataFrame(rows, spec), options).where("rank = 1 AND passes").collect()}
+            spec = "node_id string, key string, cov string, set_values array<int>, coset_values array<int>, parent_nll double, parent_rho double, " + ", ".join(f"{x}_{y} double" for x in ("n", "rho", "err", "nll") for y in ("set", "cos"))
+            candidates = spark.createDataFrame(rows, spec)
+            if options.expected or options.min_directed_bits is not None:
+                candidates = candidates.repartition(min(len(rows), spark.sparkContext.defaultParallelism))
+            scored = score_candidates(candidates, options)
+            if kept is not None:
+                kept.setdefault("partitions", []).append(scored)
+            best = {r.node_id: r for r in scored.where("rank = 1 AND passes").collect()}
         following = []
         for n in level:
             r = best.get(n.node_id)

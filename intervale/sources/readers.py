@@ -34,25 +34,42 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(fields[0].cast("short").alias("idx"), fields[1].alias("tag"), fields[1].try_cast("double").alias("p"))
 
 
+def _ranges(path: str):
+    """The bytes of pieces (chrom, lo, s, e) of a file; a task seeks to each."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def run(batches):
+        if path.startswith("file:"):
+            system, name = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+        else:
+            system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_file(name) as file:
+            for batch in batches:
+                for chrom, lo, s, e in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    yield pa.RecordBatch.from_arrays([pa.array([chrom]), pa.array([lo]), pa.array([s]), pa.array([file.read_at(e - s, s)], pa.binary())], ["chrom", "lo", "s", "bytes"])
+
+    return run
+
+
 def read_mono(spark: SparkSession, base: str, chunk: int = 1 << 22) -> DataFrame:
     """Monomorphic sites, one byte a position, as runs of equal codes; code 0 has none.
 
     The chromosomes' order gives offsets into the byte file, whose length must match.
-    The file is cut into chunks, so that runs are found in parallel.
+    Tasks read pieces of ``chunk`` bytes by their offsets, so a file of any size is read
+    in parallel. The file system must be one that pyarrow opens (local, hdfs, s3, gs).
     """
     chroms = _tsv(spark, f"{base}.chroms", schemas.LOCUS).collect()  # one row a chromosome
-    total = sum(r.en - r.st for r in chroms)
-    spans, at = [], 0
+    pieces, at = [], 0
     for r in chroms:
-        spans.append((r.chrom, at, at + r.en - r.st))
-        at += r.en - r.st
-    data = spark.read.format("binaryFile").load(f"{base}.db").select("content", "length")
-    if (found := data.agg(F.sum("length")).first()[0]) != total:
-        raise ValueError(f"{base}.db has {found} bytes; its chromosomes have {total}")
-    pieces = [(c, lo, s, min(s + chunk, hi)) for c, lo, hi in spans for s in range(lo, hi, chunk)]
-    cut = data.select("content").crossJoin(F.broadcast(spark.createDataFrame(pieces, "chrom string, lo long, s long, e long")))
-    parts = cut.select("chrom", "lo", "s", F.substring("content", F.col("s").cast("int") + 1, (F.col("e") - F.col("s")).cast("int")).alias("bytes"))
-    return read_mono_chunks(parts)
+        top = at + r.en - r.st
+        pieces += [(r.chrom, at, s, min(s + chunk, top)) for s in range(at, top, chunk)]
+        at = top
+    file = spark.read.format("binaryFile").load(f"{base}.db").select("path", "length").first()
+    if file.length != at:
+        raise ValueError(f"{base}.db has {file.length} bytes; its chromosomes have {at}")
+    parts = spark.createDataFrame(pieces, "chrom string, lo long, s long, e long").repartition(max(1, min(len(pieces), 4096)))
+    return read_mono_chunks(parts.mapInArrow(_ranges(file.path), "chrom string, lo long, s long, bytes binary"))
 
 
 def read_mono_chunks(parts: DataFrame) -> DataFrame:
@@ -139,6 +156,21 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
     return placed.where("heading IS NULL AND key <> ''").select("job", "section", "key", "value")
 
 
+# The fields without which a result file is not whole.
+REQUIRED = (
+    ("PRIORN_MODEL", "Beta3"), ("PARAMETERS", "Rho"), ("PARAMETERS", "Eta"), ("PARAMETERS", "Gamma"), ("ARGS", "maxSampW"),
+    ("STATS", "InPosW"), ("STATS", "InfPosWM"), ("STATS", "InfPosWH"), ("STATS", "InfPosWL"),
+)
+
+
+def whole_models(models: DataFrame) -> DataFrame:
+    """The rows of ``read_models`` of jobs whose files have every required field, as a number of zero or more."""
+    good = F.split("value", r"\s+")[0].try_cast("double") >= 0
+    named = F.struct("section", "key").isin(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("key")) for s, k in REQUIRED])
+    whole = models.where(named & good).groupBy("job").agg(F.count_distinct("section", "key").alias("n")).where(F.col("n") == len(REQUIRED))
+    return models.join(whole.select("job"), "job", "left_semi")
+
+
 def parse_block_header(line):
     """Columns of an interchange file's block line: ``block chrom:st-en theta x lambda y``."""
     pattern = r"^block\s+(\S+):(\d+)-(\d+)\s+theta\s+(\S+)\s+lambda\s+(\S+)"

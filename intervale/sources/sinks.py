@@ -24,17 +24,34 @@ def _params(p: Params) -> dict[str, float]:
     return {"Rho": p.rho, "Eta": p.eta, "Gamma": p.gamma, "Lambda": p.lam, "Theta": p.theta, "Beta1": p.beta1, "Beta2": p.beta2, "Beta3": p.beta3}
 
 
-def model_rows(spark: SparkSession, job: str, fit: Fit, stats: dict | None = None, neutral: dict | None = None, prior: Params | None = None, args: dict | None = None) -> DataFrame:
+# The names that counts have in a result file.
+STATS = {
+    "loci": "InLoci", "positions": "InPos", "weighted": "InPosW", "m_raw": "InfPosM", "m_weighted": "InfPosWM",
+    "l_raw": "InfPosL", "l_weighted": "InfPosWL", "h_raw": "InfPosH", "h_weighted": "InfPosWH",
+}
+
+
+def _stats(counts: dict | None) -> dict:
+    return {STATS.get(k, k): 0 if v is None else v for k, v in (counts or {}).items()}
+
+
+def model_rows(
+    spark: SparkSession, job: str, fit: Fit, stats: dict | None = None, neutral: dict | None = None, prior: Params | None = None, args: dict | None = None,
+    neutral_model: Params | None = None, neutral_prior: Params | None = None,
+) -> DataFrame:
     """A fit in long form: job, section, key, value."""
+    model = lambda p: {k: f"{v:.20f}" for k, v in _params(p).items()} if p else {}
     made = derived(fit.params)
     errors = {**{k.capitalize(): v for k, v in fit.errors.items()}, **{k.capitalize(): v for k, v in derived_errors(fit.params, fit.hessian).items()}}
     sections = {
-        "PARAMETERS": {**{k: f"{v:.20f}" for k, v in _params(fit.params).items()}, **{k.capitalize(): _number(v) for k, v in made.items()}},
+        "PARAMETERS": {**model(fit.params), **{k.capitalize(): _number(v) for k, v in made.items()}},
         "UNCERTAINTY": {k: _number(v) for k, v in errors.items()},
-        "STATS": {**(stats or {}), "DataNLL": f"{fit.nll:.6f}", "NLPrior": f"{fit.nll_prior:.6f}", "Converged": str(fit.converged).lower()},
-        "STATSN": neutral or {},
+        "STATS": {**_stats(stats), "DataNLL": f"{fit.nll:.6f}", "NLPrior": f"{fit.nll_prior:.6f}", "Converged": str(fit.converged).lower()},
+        "STATSN": _stats(neutral),
+        "NEUTRAL_MODEL": model(neutral_model),
         "ARGS": args or {},
-        "PRIOR_MODEL": {k: f"{v:.20f}" for k, v in _params(prior).items()} if prior else {},
+        "PRIOR_MODEL": model(prior),
+        "PRIORN_MODEL": model(neutral_prior),
     }
     rows = [(job, s, k, str(v)) for s, kv in sections.items() for k, v in kv.items()]
     return spark.createDataFrame(rows, _RESULT)
