@@ -1,11 +1,41 @@
-"""SQL of the registered queries, in DuckDB's dialect, on the same tables."""
+"""SQL of the registered queries, in DuckDB's dialect, on the same tables.
+
+Nothing here is computed by the code under test: constants and formulas stand as text.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Params:
+    """The model that the queries use."""
+
+    rho: float = 0.3
+    eta: float = 0.8
+    gamma: float = 1.2
+    lam: float = 0.004
+    theta: float = 0.0009
+    beta1: float = 0.75
+    beta2: float = 0.2
+    beta3: float = 0.05
+    alleles: int = 108
 
-from ..functions.model import CELLS, STATES, Params, neutral_and_selected
-from ..functions.numeric import BITS_PER_NAT, TINY, watterson
-from .queries import P
+
+P = Params()
+PRIOR_WEIGHT = 347.0
+BITS_PER_NAT, TINY = 1.4426950408889634, 2.2250738585072014e-308
+STATES = ("neut_nodiv", "neut_div", "neut_low", "neut_high", "sel_nodiv", "sel_div", "sel_low", "high")
+#: Alleles that each cell of the class table stands for, and its priors of the major and minor allele.
+CELLS = {"Ma": (1.0, 1, 0), "Mo": (3.0, 0, 0), "La": (3.0, 1, 0), "Li": (3.0, 0, 1), "Lo": (6.0, 0, 0), "Ha": (1.5, 1, 0), "Hi": (1.5, 0, 1), "Ho": (3.0, 0, 0)}
+
+
+def watterson(n: int) -> float:
+    total = 0.0
+    for k in range(1, n):
+        total += 1.0 / k
+    return total
 
 _DAYS = "date_diff('day', DATE '1990-01-01', {}::DATE)::BIGINT"
 LOCI = f"""loci AS (SELECT (l_orderkey % 100)::VARCHAR AS chrom, {_DAYS.format('l_shipdate')} AS st,
@@ -106,8 +136,9 @@ def _counterfactual(p: Params, mode: int) -> str:
     from dataclasses import replace
 
     q = replace(p, alleles=p.alleles + 1)
-    a, n = _num(watterson(q.alleles)), q.alleles
-    hi, lo = 1.0 / int(0.15 * n - 1), 1.0 / int(0.35 * n)
+    a = _num(watterson(q.alleles))
+    # Posteriors are of 109 chromosomes; the odds of a change of class are of the 108 seen: 15 and 37.
+    hi, lo = 1.0 / 15, 1.0 / 37
     post = lambda c, **k: _posterior(q, cls=c, **k)
     out = []
     for kind, states in (("selected", ("sel_nodiv", "sel_div", "sel_low")), ("high", ("high",))):
@@ -137,6 +168,54 @@ w AS (SELECT block_id, cls, {', '.join(f'{x} AS w_{k}' for k, x in cases.items()
 SELECT block_id, cls, {', '.join(_r(f'w_{k} / ({total})', 8, f'p_{k}') for k in cases)} FROM w"""
 
 
+def _pseudo(p: Params) -> str:
+    """The prior's pseudo-sites: cls, x_maj, x_min, lam, theta and n."""
+    t = _num(p.theta * watterson(p.alleles))
+    rows = []
+    for cell, (alleles, maj, minor) in CELLS.items():
+        n = f"{_num(PRIOR_WEIGHT * alleles)} * ({_num(p.rho)} * ({_s1(cell, p, t)}) + {_num(1 - p.rho)} * ({_s0(cell, p, t)}))"
+        rows.append(f"SELECT '{cell[0]}' AS cls, {maj}.0::DOUBLE AS x_maj, {minor}.0::DOUBLE AS x_min, lam, {_num(p.theta)} AS theta, {n} AS n FROM (SELECT {_num(p.lam)} AS lam)")
+    return " UNION ALL ".join(rows)
+
+
+def _axis(low: float, high: float, steps: int, focus: tuple[float, float] | None = None) -> str:
+    """Evenly spaced values, and as many around a focus (centre, width), with their widths."""
+    line = lambda lo, hi: f"SELECT CASE WHEN i = {steps} THEN {_num(hi)} ELSE i * ({_num((hi - lo) / steps)}) + {_num(lo)} END AS v FROM range({steps + 1}) r(i)"
+    parts = line(low, high) + (f" UNION {line(focus[0] - focus[1] / 2, focus[0] + focus[1] / 2)}" if focus else "")
+    near = "lag(v) OVER (ORDER BY v)", "lead(v) OVER (ORDER BY v)"
+    return f"SELECT v, CASE WHEN {near[0]} IS NULL THEN ({near[1]} - v) / 2 WHEN {near[1]} IS NULL THEN (v - {near[0]}) / 2 ELSE ({near[1]} - {near[0]}) / 2 END AS w FROM ({parts})"
+
+
+def _grid(p: Params) -> str:
+    """The posterior's cells: rho, eta, gamma, widths, data_nll, prior_nll, log_prior, log_post."""
+    edge, top = 1e-9, 10 - 1e-9
+    cell = "CASE WHEN {0} < 0 OR {0} > 1 THEN " + _num(TINY) + " ELSE {0} END"
+    prob = "(c + g.rho * (r + g.eta * e + g.gamma * q + g.eta * g.gamma * k))"
+    own = _coefficients(p).split(",\ncc AS", 1)[1]
+    prior = "pcc AS" + own.replace("FROM pat)", "FROM ppat)").replace("FROM cc)", "FROM pcc)").replace("co AS (", "pco AS (", 1)
+    a = _num(watterson(p.alleles))
+    return f"""{SITES}, {_coefficients(p)}, ppat AS (SELECT *, theta * {a} AS t FROM ({_pseudo(p)}) v), {prior},
+rr AS ({_axis(edge, 1 - 1e-9, 6, (0.3, 0.2))}), ee AS ({_axis(edge, top, 5)}), gg AS ({_axis(edge, top, 5)}),
+g AS (SELECT rr.v AS rho, ee.v AS eta, gg.v AS gamma, rr.w AS d_rho, ee.w AS d_eta, gg.w AS d_gamma, ln(rr.w) + ln(ee.w) + ln(gg.w) AS log_size FROM rr, ee, gg),
+dn AS (SELECT rho, eta, gamma, sum(-n * ln({cell.format(prob)})) AS data_nll FROM g, (SELECT n, c, r, e, g AS q, k FROM co) x GROUP BY ALL),
+pn AS (SELECT rho, eta, gamma, sum(-n * ln({cell.format(prob)})) AS prior_nll FROM g, (SELECT n, c, r, e, g AS q, k FROM pco WHERE n > 0) x GROUP BY ALL),
+u AS (SELECT *, log_size - prior_nll AS lp FROM g JOIN dn USING (rho, eta, gamma) JOIN pn USING (rho, eta, gamma)),
+v AS (SELECT *, lp - (SELECT max(lp) FROM u) - ln((SELECT sum(exp(lp - m)) FROM u, (SELECT max(lp) AS m FROM u))) AS log_prior FROM u),
+w AS (SELECT *, log_prior - data_nll AS lq FROM v),
+z AS (SELECT *, lq - (SELECT max(lq) FROM w) - ln((SELECT sum(exp(lq - m)) FROM w, (SELECT max(lq) AS m FROM w))) AS log_post FROM w)"""
+
+
+def _erfc(x: str) -> str:
+    """Series below 3, continued fraction above."""
+    down = lambda n: f"list_transform(range({n}, 0, -1), lambda i: i::DOUBLE)"
+    a = f"abs({x})"
+    series = f"list_reduce(list_prepend(1.0::DOUBLE, {down(80)}), lambda s, n: 1.0 + s * (2.0 * {a} * {a}) / (2.0 * n + 1.0))"
+    far = f"greatest({a}, 3.0::DOUBLE)"
+    fraction = f"list_reduce(list_prepend({far}, {down(60)}), lambda s, n: {far} + n / 2.0 / s)"
+    right = f"(CASE WHEN {a} < 3.0 THEN 1.0 - 2.0 * {a} * exp(-{a} * {a}) / sqrt(pi()) * {series} ELSE exp(-{a} * {a}) / sqrt(pi()) / {fraction} END)"
+    return f"(CASE WHEN {x} < 0 THEN 2.0 - {right} ELSE {right} END)"
+
+
 TAGS = """tags AS (SELECT p_partkey, (p_size % 6)::BIGINT AS d_size, (right(p_brand, 1)::INT % 6)::BIGINT AS d_brand, (length(p_type) % 4)::BIGINT AS d_kind FROM part),
 bits AS (SELECT *, (1::BIGINT << d_size::INT) AS ann, ((1::BIGINT << (d_brand + 4)::INT) | (1::BIGINT << d_kind::INT)) AS cts FROM tags)"""
 
@@ -165,8 +244,8 @@ def oracle_sql() -> dict[str, str]:
   sum((least(l.en, b.en) - greatest(l.st, b.st)) * weight)::BIGINT AS weighted FROM loci l JOIN blocks b ON l.chrom = b.chrom AND l.st < b.en AND b.st < l.en WHERE l.st < l.en GROUP BY ALL"""
     made["overlap_clip"] = f"WITH {LOCI} SELECT chrom, count(*) AS n, sum(least(en, 3500) - greatest(st, 2500))::BIGINT AS positions FROM loci WHERE greatest(st, 2500) < least(en, 3500) GROUP BY ALL"
     made["interval_advance"] = f"WITH {LOCI}, a AS (SELECT chrom, least(greatest(st, 3000), en) AS st, en FROM loci) SELECT chrom, count(*) FILTER (WHERE st < en) AS left_over, sum(en - st)::BIGINT AS positions FROM a GROUP BY ALL"
-    made["interval_compare"] = f"""WITH {LOCI}, {BLOCKS}, f AS (SELECT chrom, arg_min(st, block_id) AS st, arg_min(en, block_id) AS en FROM blocks GROUP BY chrom)
-SELECT l.chrom, CASE WHEN l.en <= f.st THEN -1 WHEN l.st < f.en AND f.st < l.en THEN 0 ELSE 1 END AS side, count(*) AS n FROM loci l JOIN f USING (chrom) GROUP BY ALL"""
+    made["interval_compare"] = f"""WITH {BLOCKS}, l AS (SELECT l_orderkey AS block_id, {_DAYS.format('l_shipdate')} AS st, {_DAYS.format('l_shipdate')} + l_linenumber AS en FROM lineitem)
+SELECT chrom, CASE WHEN l.en <= b.st THEN -1 WHEN l.st < b.en AND b.st < l.en THEN 0 ELSE 1 END AS side, count(*) AS n FROM l JOIN blocks b USING (block_id) GROUP BY ALL"""
     made["point_in_block"] = "SELECT event_type AS chrom, epoch(ts)::BIGINT // 21600 AS number, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT event_type, date_trunc('second', ts) AS ts, value FROM events) GROUP BY ALL"
     made["neutral_semi"] = f"WITH {LOCI}, {BLOCKS} SELECT block_id, EXISTS (SELECT 1 FROM loci l WHERE l.chrom = b.chrom AND l.st < b.en AND b.st < l.en AND l.st < l.en) AS hit FROM blocks b"
     made["interval_positions"] = f"WITH {LOCI}, q AS (SELECT chrom, unnest(range(st, en)) AS pos FROM loci) SELECT chrom, pos, count(*) AS depth FROM q GROUP BY ALL"
@@ -191,9 +270,9 @@ SELECT chrom, min(st) AS st, max(st) + 1 AS en, n FROM i GROUP BY chrom, n, isla
 SELECT chrom, st, en FROM s WHERE en IS NOT NULL"""
     made["asof_state"] = """WITH q AS (SELECT *, event_type = (SELECT min(event_type) FROM events) AS own FROM events)
 SELECT event_id, last_value(CASE WHEN own THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS state FROM q"""
-    made["aligned_counts"] = f"""WITH {RUNS}, c AS (SELECT * FROM (SELECT cell, st, coalesce(lead(st) OVER (PARTITION BY cell ORDER BY st), 1000) AS en, 1::BIGINT << (k % 8)::INT AS tagb FROM runs) WHERE st < en),
-a AS (SELECT i * 100 AS st, (i + 1) * 100 AS en, 1::BIGINT << (i % 2)::INT AS tagb FROM range(10) t(i)),
-h AS (SELECT i::BIGINT AS st FROM range(1000) t(i)),
+    made["aligned_counts"] = f"""WITH {RUNS}, c AS (SELECT * FROM (SELECT cell, st, coalesce(lead(st) OVER (PARTITION BY cell ORDER BY st), (SELECT max(st) + 1 FROM runs)) AS en, 1::BIGINT << (k % 8)::INT AS tagb FROM runs) WHERE st < en),
+a AS (SELECT i * 100 AS st, (i + 1) * 100 AS en, 1::BIGINT << (i % 2)::INT AS tagb FROM range((SELECT (max(st) + 100) // 100 FROM runs)) t(i)),
+h AS (SELECT i::BIGINT AS st FROM range((SELECT max(st) + 1 FROM runs)) t(i)),
 t AS (SELECT * FROM (VALUES ('even', 1, 85), ('odd', 2, 170), ('all', 3, 255)) v(subset_id, ma, mc)),
 n AS (SELECT subset_id, h.st, count(*) AS n FROM h JOIN a ON h.st >= a.st AND h.st < a.en JOIN c ON h.st >= c.st AND h.st < c.en JOIN t ON (a.tagb & ma) = a.tagb AND (c.tagb & mc) = c.tagb GROUP BY ALL),
 i AS (SELECT *, st - row_number() OVER (PARTITION BY subset_id, n ORDER BY st) AS island FROM n)
@@ -221,11 +300,7 @@ SELECT l_returnflag, q, {_r('lo + (q - pf) / (f - pf) * (x - lo)', 6, 'x')} FROM
     hess = {"h_rho_rho": "d1 * d1 / (p * p)", "h_rho_eta": "d1 * d2 / (p * p) - d12 / p", "h_rho_gamma": "d1 * d3 / (p * p) - d13 / p", "h_eta_eta": "d2 * d2 / (p * p)", "h_eta_gamma": "d2 * d3 / (p * p) - d23 / p", "h_gamma_gamma": "d3 * d3 / (p * p)"}
     made["mixture_hessian"] = _likelihood(p, {k: f"sum(n * ({x}))" for k, x in hess.items()}, 1)
     made["coefficient_projection"] = f"WITH {SITES}, {_coefficients(p)} SELECT {', '.join(_r(f'sum({k} * n)', 3, k) for k in 'cregk')}, {_r('sum(n)', 3, 'n')} FROM co"
-    place, values = {"a": (1.0, 0.0), "i": (0.0, 1.0), "o": (0.0, 0.0)}, []
-    for cell, w in CELLS.items():
-        s0, s1 = neutral_and_selected(cell, p.lam, p.t, p.eta, p.gamma, p.beta1, p.beta2, p.beta3)
-        values.append(f"('{cell[0]}', {_num(place[cell[1]][0])}, {_num(place[cell[1]][1])}, {_num(347.0 * w * (p.rho * s1 + (1 - p.rho) * s0))})")
-    made["prior_pseudo_rows"] = f"SELECT cls, x_maj, x_min, {_r('n', 6, 'n')}, (SELECT count(*) FROM lineitem) AS rows FROM (VALUES {', '.join(values)}) v(cls, x_maj, x_min, n)"
+    made["prior_pseudo_rows"] = f"SELECT cls, x_maj, x_min, {_r('n', 6, 'n')}, (SELECT count(*) FROM lineitem) AS rows FROM ({_pseudo(p)}) v"
     mean = "(sum(weight * {0}) * 0.02::DOUBLE + 347.0::DOUBLE * {1}) / (sum(weight) * 0.02::DOUBLE + 347.0::DOUBLE)"
     made["lambda_theta"] = f"WITH {SITES} SELECT {_r(mean.format('lam', _num(p.lam)), 8, 'lam')}, {_r(mean.format('theta', _num(p.theta)), 9, 'theta')} FROM sites"
     made["beta2_ratio"] = f"WITH {SITES} SELECT {_r('(sum(CASE WHEN cls = $$H$$ THEN weight ELSE 0 END) + 347.0::DOUBLE * 0.2::DOUBLE) / (sum(weight) + 347.0::DOUBLE)', 8, 'beta2')} FROM sites WHERE cls IN ('L', 'H')"
@@ -251,7 +326,58 @@ g AS (SELECT a.w * b.w AS w, a.value > b.value AS ord, {gain} AS gain FROM a, b)
     term = "CASE WHEN p > 0 AND p < 1 THEN -p * ln(p) ELSE 0.0 END"
     parts = {"term": term, "bits": f"{_h('p')} * {_num(BITS_PER_NAT)}", "fraction": "p / (1.0 + p)", "clamped": f"CASE WHEN p * 2.0 > 1 THEN {_num(TINY)} ELSE p * 2.0 END", "bell": "exp(-((p / 0.5) ** 2))", "log": "ln(p + 0.1::DOUBLE)"}
     made["numeric_functions"] = f"WITH q AS (SELECT DISTINCT l_discount, l_discount * 9.0::DOUBLE AS p FROM lineitem) SELECT l_discount, {', '.join(_r(x, 9, k) for k, x in parts.items())} FROM q"
-    made["coverage_gaps"] = "WITH d AS (SELECT user_id AS chrom, count(DISTINCT ts::DATE) AS covered FROM events GROUP BY 1) SELECT chrom, covered FROM d WHERE covered < 30"
+    made["coverage_gaps"] = "WITH d AS (SELECT user_id AS chrom, count(DISTINCT ts::DATE) AS covered FROM events GROUP BY 1) SELECT chrom, covered FROM d WHERE covered < (SELECT date_diff('day', DATE '2024-01-01', max(ts)::DATE) + 1 FROM events)"
+    err = lambda s: f"sqrt(rho_{s} * (1.0 - rho_{s}) / n_{s})"
+    made["ordering_error"] = f"""WITH {SPLITS}, q AS (SELECT *, {err('set')} AS es, {err('cos')} AS ec FROM g), h AS (SELECT cov, value, greatest(rho_set, rho_cos) AS hi, least(rho_set, rho_cos) AS lo,
+  CASE WHEN rho_set >= rho_cos THEN es ELSE ec END AS eh, CASE WHEN rho_set >= rho_cos THEN ec ELSE es END AS el, count(*) OVER () AS tests FROM q),
+i AS (SELECT *, (hi - lo) / sqrt(eh * eh + el * el) AS z1, (hi - (hi + lo) / 2) / eh AS z2, ((hi + lo) / 2 - lo) / el AS z3 FROM h),
+j AS (SELECT *, {_erfc('z1')} / 2 AS p1, greatest({_erfc('z2')} / 2, {_erfc('z3')} / 2) AS p2 FROM i)
+SELECT cov, value, {_r('p1', 8, 'p1')}, {_r('p2', 8, 'p2')}, p1 * tests <= 0.05 AND p2 * tests <= 0.2 AS passes FROM j"""
+    # The maximum by bisection of the derivative, which falls in b.
+    b2 = f"((SELECT sum(weight) FROM sites WHERE cls = 'H') + {_num(PRIOR_WEIGHT * p.beta2)}) / ((SELECT sum(weight) FROM sites WHERE cls IN ('L', 'H')) + {_num(PRIOR_WEIGHT)})"
+    mi, ma = "(x_min * (1.0 - lam) + x_maj * lam / 3.0)", "(x_maj * (1.0 - lam) + x_min * lam / 3.0)"
+    known = p.beta1 + p.beta3
+    pseudo = f"SELECT 1.0::DOUBLE AS x_maj, 0.0::DOUBLE AS x_min, {_num(p.lam)} AS lam, {_num(PRIOR_WEIGHT * p.beta1 / known)} AS n UNION ALL SELECT 0.0, 1.0, {_num(p.lam)}, {_num(PRIOR_WEIGHT * p.beta3 / known)}"
+    made["fit_beta3"] = f"""WITH RECURSIVE {SITES}, b AS (SELECT {b2} AS b2),
+x AS (SELECT x_maj, x_min, lam, sum(weight)::DOUBLE AS n FROM sites WHERE cls = 'L' GROUP BY ALL UNION ALL SELECT * FROM ({pseudo})),
+ab AS (SELECT {mi} - {ma} AS a, {ma} * (1.0 - b2) AS c, n FROM x, b),
+it AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0 - b2 AS hi FROM b UNION ALL
+  SELECT i + 1, CASE WHEN d > 0 THEN m ELSE lo END, CASE WHEN d > 0 THEN hi ELSE m END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m, sum(n * a / (a * (lo + hi) / 2 + c)) AS d FROM it, ab WHERE i < 60 GROUP BY i, lo, hi))
+SELECT round(1.0 - b2 - lo, 7) AS beta1, round(b2, 7) AS beta2, round(lo, 7) AS beta3 FROM it, b WHERE i = 60"""
+    # At the limits eta = 0 and gamma = 600 rho is found by bisection; the other two derivatives must point out of the limits.
+    own = _coefficients(p).split(",\ncc AS", 1)[1]
+    prior = "pcc AS" + own.replace("FROM pat)", "FROM ppat)").replace("FROM cc)", "FROM pcc)").replace("co AS (", "pco AS (", 1)
+    a, t = _num(watterson(p.alleles)), _num(p.theta * watterson(p.alleles))
+    made["fit_reg"] = f"""WITH RECURSIVE {SITES}, {_coefficients(p)}, ppat AS (SELECT *, theta * {a} AS t FROM ({_pseudo(p)}) v), {prior},
+al AS (SELECT n, c, r, e, g AS q, k FROM co UNION ALL SELECT n, c, r, e, g, k FROM pco WHERE n > 0),
+it AS (SELECT 0 AS i, 0.001::DOUBLE AS lo, 0.999::DOUBLE AS hi UNION ALL
+  SELECT i + 1, CASE WHEN d < 0 THEN m ELSE lo END, CASE WHEN d < 0 THEN hi ELSE m END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m,
+    sum(CASE WHEN c + (lo + hi) / 2 * (r + 600.0 * q) BETWEEN 0 AND 1 THEN -n * (r + 600.0 * q) / (c + (lo + hi) / 2 * (r + 600.0 * q)) ELSE -n * (r + 600.0 * q) / {_num(TINY)} END) AS d FROM it, al WHERE i < 60 GROUP BY i, lo, hi)),
+f AS (SELECT lo AS rho FROM it WHERE i = 60),
+k2 AS (SELECT rho, sum(-n * rho * (e + 600.0 * k) / (c + rho * (r + 600.0 * q))) AS d_eta, sum(-n * rho * q / (c + rho * (r + 600.0 * q))) AS d_gamma, sum(-n * ln(c + rho * (r + 600.0 * q))) AS nll_prior FROM f, al GROUP BY rho),
+k3 AS (SELECT sum(-n * ln(c + rho * (r + 600.0 * g))) AS nll FROM f, co)
+SELECT round(rho, 5) AS rho, 0.0::DOUBLE AS eta, 600.0::DOUBLE AS gamma, round(nll, 1) AS nll, round(nll_prior, 1) AS nll_prior, 0.0::DOUBLE AS dp,
+  round(1000.0 * rho * 600.0 * {t}, 3) AS pw, 0.0::DOUBLE AS alpha, round(1.0 / (1.0 + (1.0 - rho) / (rho * 600.0)), 3) AS tau, d_eta > 0 AND d_gamma < 0 AS converged FROM k2, k3"""
+    mass = "SELECT '{0}' AS axis, {0} AS value, round(sum(exp(log_prior)), 6) + 0.0::DOUBLE AS prior, round(sum(exp(log_post)), 6) + 0.0::DOUBLE AS post FROM z GROUP BY {0}"
+    made["parameter_posterior"] = f"WITH {_grid(p)} " + " UNION ALL ".join(mass.format(x) for x in ("rho", "eta", "gamma"))
+    shown = {k: k for k in ("d_rho", "d_eta", "d_gamma", "log_size", "prior_nll", "data_nll", "log_prior", "log_post")} | {"prior_density": "log_prior - log_size", "post_density": "log_post - log_size"}
+    made["posterior_cells"] = f"WITH {_grid(p)} SELECT rho, eta, gamma, {', '.join(_r(x, -1 if k in ('data_nll', 'log_post', 'post_density') else 2, k) for k, x in shown.items())} FROM z"
+    made["blocks_file"] = f"""WITH {BLOCKS} SELECT chrom, count(*) AS n, sum(en - st)::BIGINT AS positions, {_r("sum(printf('%.5f', 0.001::DOUBLE + (block_id % 50) * 0.00001::DOUBLE)::FLOAT::DOUBLE)", 6, 'theta')},
+  {_r("sum(printf('%.4f', 0.003::DOUBLE + (block_id % 50) * 0.0001::DOUBLE)::FLOAT::DOUBLE)", 6, 'lam')} FROM blocks GROUP BY chrom"""
+    made["polys_file"] = "SELECT CASE l_returnflag WHEN 'N' THEN 'L' ELSE 'H' END AS freq, count(*) AS n, sum(l_partkey)::BIGINT AS st, sum(l_linenumber)::BIGINT AS maj, sum(l_quantity::INT)::BIGINT AS min FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1"
+    made["dictionary_file"] = "SELECT DISTINCT round(l_discount * 100)::SMALLINT AS idx, printf('%.2f', l_discount) AS tag, printf('%.2f', l_discount)::DOUBLE AS p FROM lineitem"
+    made["mono_runs"] = """WITH q AS (SELECT p_partkey AS st, p_size % 5 AS idx FROM part), i AS (SELECT *, st - row_number() OVER (PARTITION BY idx ORDER BY st) AS island FROM q WHERE idx <> 0)
+SELECT min(st) AS st, max(st) + 1 AS en, idx::SMALLINT AS idx FROM i GROUP BY idx, island"""
+    made["weighted_bed_file"] = f"WITH {LOCI} SELECT chrom, count(*) AS n, sum(en - st)::BIGINT AS positions, sum((en - st) * weight)::BIGINT AS weighted FROM loci GROUP BY chrom"
+    made["covariate_runs_file"] = f"WITH {TAGS} SELECT p_partkey AS st, p_partkey + 1 AS en, cts AS tagb, 'one' AS cell FROM bits"
+    made["genome_file"] = f"WITH {LOCI} SELECT chrom, 0::BIGINT AS st, max(en) AS en FROM loci GROUP BY chrom"
+    made["models_file"] = """WITH q AS (SELECT r_name, n_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name AS job, 'PARAMETERS' AS section, n_name AS key, n_nationkey::VARCHAR AS value FROM q UNION ALL SELECT r_name, 'STATS', 'Nations', count(*)::VARCHAR FROM q GROUP BY r_name"""
+    made["whole_models"] = "SELECT c_mktsegment AS job, 9::BIGINT AS fields FROM customer GROUP BY 1 HAVING count(*) FILTER (WHERE c_acctbal < 0) * 10 >= count(*)"
+    made["interchange_file"] = f"""WITH {BLOCKS}, b AS (SELECT chrom, count(*) AS blocks, sum(en - st)::BIGINT AS positions, sum(0.001::FLOAT::DOUBLE) AS theta FROM blocks GROUP BY chrom),
+s AS (SELECT chrom, count(*) AS sites, sum({_DAYS.format('l_shipdate')})::BIGINT AS position_sum FROM lineitem JOIN blocks ON l_orderkey = block_id GROUP BY chrom) SELECT chrom, blocks, positions, {_r('theta', 6, 'theta')}, sites, position_sum FROM b JOIN s USING (chrom)"""
+    made["table_cache"] = f"WITH {LOCI} SELECT chrom, count(*) AS n, sum(weight)::BIGINT AS weight FROM loci GROUP BY chrom"
+    made["partition_report"] = f"""WITH {SPLITS}, k AS (SELECT *, row_number() OVER (PARTITION BY cov ORDER BY (least(n_set, n_cos) >= 10) DESC, gain DESC, value) AS rc,
+  row_number() OVER (ORDER BY (least(n_set, n_cos) >= 10) DESC, gain DESC, cov, value) AS rank FROM g) SELECT cov, value, {_r('gain', 6, 'gain_nats')}, rank, rank = 1 AS best, rc = 1 AS best_of_covariate FROM k"""
+    made["sorted_tags"] = "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT lpad((l_partkey % 37)::VARCHAR, 2, '0'))), ',') AS tags FROM lineitem GROUP BY 1"
     return made
-
-

@@ -17,6 +17,8 @@ from ..functions import strings as st
 from ..operators import covset as cov
 from ..operators import grid, intervals, patterns, sites
 from ..operators.covset import Covariate, Covset, Layout, Subset
+from ..sources import readers, sinks
+from ..sources.shared import shared_path
 from . import fit, tree
 
 P = m.Params(rho=0.3, eta=0.8, gamma=1.2, lam=0.004, theta=0.0009, beta1=0.75, beta2=0.2, beta3=0.05)
@@ -91,9 +93,10 @@ def interval_advance(spark, sf) -> DataFrame:
 
 
 def interval_compare(spark, sf) -> DataFrame:
-    a, b = loci(spark, sf).withColumn("row", F.col("weight")), order_blocks(spark, sf)
-    first = b.groupBy("chrom").agg(F.min(F.struct("block_id", "st", "en")).alias("x")).select(F.col("chrom"), "x.st", "x.en")
-    both = a.alias("a").join(first.alias("b"), F.col("a.chrom") == F.col("b.chrom"))
+    """Every line item against its order's block."""
+    own = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("block_id"), (F.col("l_orderkey") % 100).cast("string").alias("chrom"), _days("l_shipdate").alias("st"), "l_linenumber")
+    a = own.select("block_id", "chrom", "st", (F.col("st") + F.col("l_linenumber")).alias("en"))
+    both = a.alias("a").join(order_blocks(spark, sf).alias("b"), F.col("a.block_id") == F.col("b.block_id"))
     return both.select(F.col("a.chrom").alias("chrom"), intervals.compare("a", "b").alias("side")).groupBy("chrom", "side").agg(F.count("*").alias("n"))
 
 
@@ -106,9 +109,7 @@ def point_in_block(spark, sf) -> DataFrame:
 
 
 def neutral_semi(spark, sf) -> DataFrame:
-    touched = intervals.overlap_join(order_blocks(spark, sf), loci(spark, sf), width=16, how="left_semi").withColumn("hit", F.lit(True))
-    free = intervals.overlap_join(order_blocks(spark, sf), loci(spark, sf), width=16, how="left_anti").withColumn("hit", F.lit(False))
-    return touched.unionByName(free).select("block_id", "hit")
+    return intervals.overlap_flags(order_blocks(spark, sf), loci(spark, sf), width=16).select("block_id", "hit")
 
 
 def interval_positions(spark, sf) -> DataFrame:
@@ -177,23 +178,24 @@ def _state_runs(spark, sf) -> DataFrame:
 
 def breakpoint_segments(spark, sf) -> DataFrame:
     ev = _state_runs(spark, sf).select(F.col("cell").cast("string").alias("chrom"), "st", (F.col("st") + F.col("k")).alias("en"))
-    return intervals.breakpoint_segments(ev)
+    return intervals.breakpoint_segments(ev, region=48)
 
 
 def asof_state(spark, sf) -> DataFrame:
     ev = _t(spark, sf, "events").select("event_id", F.col("user_id").alias("chrom"), _elapsed("MICROSECOND", "2024-01-01").alias("st"), "event_type", F.col("value").alias("v"))
     first = ev.groupBy().agg(F.min("event_type").alias("x"))
     runs = ev.join(F.broadcast(first), F.col("event_type") == F.col("x")).select("chrom", "st", "v")
-    return intervals.asof_state(ev.select("event_id", "chrom", "st"), runs, "v", ["chrom"]).select("event_id", F.col("v").alias("state"))
+    return intervals.asof_state(ev.select("event_id", "chrom", "st"), runs, "v", ["chrom"], region=86_400_000_000).select("event_id", F.col("v").alias("state"))
 
 
 def aligned_counts(spark, sf) -> DataFrame:
     runs = _state_runs(spark, sf).withColumn("chrom", F.lit("c"))
     from pyspark.sql import Window
 
-    cells = runs.withColumn("en", F.coalesce(F.lead("st").over(Window.partitionBy("cell").orderBy("st")), F.lit(1000))).where("st < en")
+    hours = (runs.agg(F.max("st")).first()[0] or 0) + 1  # one number
+    cells = runs.withColumn("en", F.coalesce(F.lead("st").over(Window.partitionBy("cell").orderBy("st")), F.lit(hours))).where("st < en")
     cells = cells.select("chrom", "st", "en", "cell", F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("k") % 8).cast("int")).alias("tagb"))
-    ann = spark.range(10).select(F.lit("c").alias("chrom"), (F.col("id") * 100).alias("st"), ((F.col("id") + 1) * 100).alias("en"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("id") % 2).cast("int")).alias("tagb"))
+    ann = spark.range(-(-hours // 100)).select(F.lit("c").alias("chrom"), (F.col("id") * 100).alias("st"), F.least((F.col("id") + 1) * 100, F.lit(hours)).alias("en"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("id") % 2).cast("int")).alias("tagb"))
     aligned = intervals.align(ann, cells, region=128)
     targets = spark.createDataFrame([("even", 1, 0b01010101), ("odd", 2, 0b10101010), ("all", 3, 255)], "subset_id string, mask_ann long, mask_cts long")
     counted = cov.count_targets(aligned, targets)
@@ -378,7 +380,7 @@ def qc_min_positions(spark, sf) -> DataFrame:
 
 def ordering_error(spark, sf) -> DataFrame:
     df = tree.score_candidates(_splits(spark, sf), tree.Options(max_p1=0.05, max_p2=0.2))
-    return df.select("cov", "value", "p1", "p2", "passes")
+    return _round(df, 8, "p1", "p2").select("cov", "value", "p1", "p2", "passes")
 
 
 def value_summary(spark, sf) -> DataFrame:
@@ -420,7 +422,8 @@ def coverage_gaps(spark, sf) -> DataFrame:
 
     ev = _t(spark, sf, "events").select(F.col("user_id").alias("chrom"), F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").alias("st")).distinct()
     runs = ev.withColumn("en", F.col("st") + 1)
-    genome = ev.select("chrom").distinct().select("chrom", F.lit(0).cast("long").alias("st"), F.lit(30).cast("long").alias("en"))
+    days = (ev.agg(F.max("st")).first()[0] or 0) + 1  # one number
+    genome = ev.select("chrom").distinct().select("chrom", F.lit(0).cast("long").alias("st"), F.lit(days).cast("long").alias("en"))
     return uncovered(runs, genome).select("chrom", "covered")
 
 
@@ -428,21 +431,37 @@ def fit_beta3(spark, sf) -> DataFrame:
     df = item_sites(spark, sf).withColumn("n", F.col("weight").cast("double"))
     b2 = fit.beta2(df, 0.2, 347.0)
     b3 = fit.beta3(df, b2, P, 347.0)
-    return spark.createDataFrame([(1 - b2 - b3, b2, b3)], "beta1 double, beta2 double, beta3 double")
+    return spark.createDataFrame([(round(1 - b2 - b3, 7), round(b2, 7), round(b3, 7))], "beta1 double, beta2 double, beta3 double")
 
 
 def fit_reg(spark, sf) -> DataFrame:
     rows = _coefficients(spark, sf)
     made = fit.fit(rows, P, fit.prior_rows(spark, P, P, 347.0))
-    d = fit.derived(made.params)
-    return spark.createDataFrame([(made.params.rho, made.params.eta, made.params.gamma, made.nll, made.nll_prior, *d.values(), made.converged)], "rho double, eta double, gamma double, nll double, nll_prior double, dp double, pw double, alpha double, tau double, converged boolean")
+    d = [round(x, 3) for x in fit.derived(made.params).values()]
+    return spark.createDataFrame([(round(made.params.rho, 5), round(made.params.eta, 5), round(made.params.gamma, 5), round(made.nll, 1), round(made.nll_prior, 1), *d, made.converged)], "rho double, eta double, gamma double, nll double, nll_prior double, dp double, pw double, alpha double, tau double, converged boolean")
+
+
+#: A grid of some hundred cells, as its SQL goes through all of them; ``fitted_posterior`` has the operator's own.
+GRID = {"rho": grid.axis(1e-9, 1 - 1e-9, 6, [(0.3, 0.2)]), "eta": grid.axis(1e-9, 10 - 1e-9, 5, []), "gamma": grid.axis(1e-9, 10 - 1e-9, 5, [])}
 
 
 def parameter_posterior(spark, sf) -> DataFrame:
-    rows = _coefficients(spark, sf)
-    values = {"rho": grid.axis(1e-9, 1 - 1e-9, 6, [(0.3, 0.2)]), "eta": grid.axis(1e-9, 10 - 1e-9, 5, []), "gamma": grid.axis(1e-9, 10 - 1e-9, 5, [])}
-    marginal = grid.marginals(grid.parameter_posterior(rows, fit.prior_rows(spark, P, P, 347.0), values))
-    return marginal.select("axis", "value", "prior", "post")
+    marginal = grid.marginals(grid.parameter_posterior(_coefficients(spark, sf), fit.prior_rows(spark, P, P, 347.0), GRID))
+    return _round(marginal, 6, "prior", "post").select("axis", "value", "prior", "post")
+
+
+def posterior_cells(spark, sf) -> DataFrame:
+    cells = grid.parameter_posterior(_coefficients(spark, sf), fit.prior_rows(spark, P, P, 347.0), GRID)
+    small, large = ["d_rho", "d_eta", "d_gamma", "log_size", "prior_nll", "log_prior", "prior_density"], ["data_nll", "log_post", "post_density"]
+    return _round(_round(cells, 2, *small), -1, *large).select("rho", "eta", "gamma", *small, *large)
+
+
+def fitted_posterior(spark, sf) -> DataFrame:
+    """The posterior on the operator's own grid, around the fitted mode."""
+    rows, prior = _coefficients(spark, sf).cache(), fit.prior_rows(spark, P, P, 347.0)
+    cells = grid.parameter_posterior(rows, prior, grid.axes(fit.fit(rows, P, prior).params))
+    rows.unpersist()
+    return grid.marginals(cells).select("axis", "value", "prior", "post")
 
 
 def tree_growth(spark, sf) -> DataFrame:
@@ -451,10 +470,112 @@ def tree_growth(spark, sf) -> DataFrame:
     raw = _t(spark, sf, "lineitem")
     cls = F.when(F.col("l_returnflag") == "A", "M").when(F.col("l_returnflag") == "N", "L").otherwise("H")
     s = raw.select(F.lit("c").alias("chrom"), F.col("l_partkey").alias("st"), (F.col("l_partkey") + 1).alias("en"), cls.alias("cls"), (0.9 - 3.0 * F.col("l_discount")).alias("x_maj"), F.col("l_tax").alias("x_min"), F.lit(0.004).alias("lambda"), F.lit(0.0009).alias("theta"))
-    nodes = tree.grow(spark, COVSET, aligned, s, P, tree.Options(min_gain=5.0, max_depth=2))
+    nodes = tree.grow(spark, COVSET, aligned, s, P, tree.Options(min_gain=5.0))
     return tree.node_table(spark, nodes, COVSET)
 
 
+def _text(df: DataFrame, tag: str, *columns: str, separator: str = "\t") -> str:
+    """Columns written as lines of text to the shared folder; the path."""
+    path = shared_path(df.sparkSession, tag)
+    df.select(F.concat_ws(separator, *columns).alias("value")).write.text(path)
+    return path
+
+
+def blocks_file(spark, sf) -> DataFrame:
+    """Orders' blocks written in the block format and read back."""
+    key = F.col("block_id") % 50
+    df = order_blocks(spark, sf).withColumn("pair", F.concat_ws(" ", F.format_string("%.5f", 0.001 + key * 0.00001), F.format_string("%.4f", 0.003 + key * 0.0001)))
+    read = readers.read_blocks(spark, _text(df, "blocks", "chrom", "st", "en", "pair"))
+    made = read.groupBy("chrom").agg(F.count("*").alias("n"), F.sum(F.col("en") - F.col("st")).alias("positions"), F.sum(F.col("theta").cast("double")).alias("theta"), F.sum(F.col("lambda").cast("double")).alias("lam"))
+    return _round(made, 6, "theta", "lam")
+
+
+def polys_file(spark, sf) -> DataFrame:
+    df = _t(spark, sf, "lineitem").where("l_returnflag <> 'A'").select(F.lit("c").alias("chrom"), F.col("l_partkey").alias("st"), (F.col("l_partkey") + 1).alias("en"), F.when(F.col("l_returnflag") == "N", "L").otherwise("H").alias("freq"), F.col("l_linenumber").alias("maj"), F.col("l_quantity").cast("int").alias("min"))
+    read = readers.read_polys(spark, _text(df, "polys", "chrom", "st", "en", "freq", "maj", "min"))
+    return read.groupBy("freq").agg(F.count("*").alias("n"), F.sum("st").alias("st"), F.sum("maj_idx").cast("long").alias("maj"), F.sum("min_idx").cast("long").alias("min"))
+
+
+def dictionary_file(spark, sf) -> DataFrame:
+    df = _t(spark, sf, "lineitem").select(F.round(F.col("l_discount") * 100).cast("int").alias("idx"), F.format_string("%.2f", "l_discount").alias("tag")).distinct()
+    return readers.read_dictionary(spark, _text(df, "tags", "idx", "tag", separator=" "))
+
+
+def mono_runs(spark, sf) -> DataFrame:
+    """Bytes of parts' sizes, in pieces of a thousand positions, as runs; size 0 mod 5 is missing."""
+    code = F.lpad(F.hex((F.col("p_size") % 5).cast("long")), 2, "0")
+    df = _t(spark, sf, "part").select(F.expr("p_partkey div 1000").alias("piece"), F.col("p_partkey"), code.alias("code"))
+    pieces = df.groupBy("piece").agg(F.min("p_partkey").alias("s"), F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))), lambda x: x["code"]), "")).alias("bytes"))
+    return readers.read_mono_chunks(pieces.select(F.lit("c").alias("chrom"), F.lit(0).cast("long").alias("lo"), "s", "bytes")).select("st", "en", "idx")
+
+
+def weighted_bed_file(spark, sf) -> DataFrame:
+    path = shared_path(spark, "bed")
+    sinks.weighted_bed(loci(spark, sf), path)
+    read = readers.read_weighted_bed(spark, path, 50)
+    return read.groupBy("chrom").agg(F.count("*").alias("n"), F.sum(F.col("en") - F.col("st")).alias("positions"), F.sum((F.col("en") - F.col("st")) * F.col("weight")).alias("weighted"))
+
+
+def covariate_runs_file(spark, sf) -> DataFrame:
+    df = _part_tags(spark, sf).select(F.lit("c").alias("chrom"), F.col("p_partkey").alias("st"), (F.col("p_partkey") + 1).alias("en"), "cts_tags")
+    return readers.read_covariate_runs(spark, _text(df, "runs", "chrom", "st", "en", "cts_tags"), CTS, "one").select("st", "en", "tagb", "cell")
+
+
+def genome_file(spark, sf) -> DataFrame:
+    df = loci(spark, sf).groupBy("chrom").agg(F.max("en").alias("en")).withColumn("st", F.lit(0))
+    return readers.reference_genome(spark, _text(df, "genome", "chrom", "st", "en")).select("chrom", "st", "en")
+
+
+def models_file(spark, sf) -> DataFrame:
+    """Nations' numbers as result files, a region a job and a section of sums after them, read back and checked."""
+    n, r = _t(spark, sf, "nation"), _t(spark, sf, "region")
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("job"), F.lit("PARAMETERS").alias("section"), F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value"))
+    sums = rows.groupBy("job").agg(F.count("*").cast("string").alias("value")).select("job", F.lit("STATS").alias("section"), F.lit("Nations").alias("key"), "value")
+    path = shared_path(spark, "models")
+    sinks.model_text(rows.unionByName(sums)).write.partitionBy("job").text(path)
+    return readers.read_models(spark, f"{path}/*").select(F.url_decode(F.regexp_extract("job", "job=([^/]*)", 1)).alias("job"), "section", "key", "value")
+
+
+def whole_models(spark, sf) -> DataFrame:
+    """Segments as jobs with the required fields; one whose number is below its limit lacks a field."""
+    c = _t(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.min("c_nationkey").alias("least"), F.sum((F.col("c_acctbal") < 0).cast("int")).alias("debts"))
+    fields = F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("key")) for s, k in readers.REQUIRED]))
+    rows = c.withColumn("field", fields).select(F.col("c_mktsegment").alias("job"), "field.section", "field.key", F.when(F.col("field.key") == "maxSampW", F.col("debts") * 10 - F.col("n")).otherwise(F.col("n")).cast("string").alias("value"))
+    return readers.whole_models(rows).groupBy("job").agg(F.count("*").alias("fields"))
+
+
+def interchange_file(spark, sf) -> DataFrame:
+    """Orders' blocks with line items as sites, in the older line format, read back."""
+    blocks = order_blocks(spark, sf).withColumn("theta", F.lit(0.001).cast("float")).withColumn("lambda", F.lit(0.004).cast("float"))
+    own = item_sites(spark, sf).select("cls", "x_maj", "x_min")
+    items = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("block_id"), (F.col("l_orderkey") % 100).cast("string").alias("chrom"), _days("l_shipdate").alias("pos"), F.when(F.col("l_returnflag") == "A", "M").when(F.col("l_returnflag") == "N", "L").otherwise("H").alias("cls"), F.lit(0.9).alias("x_maj"), F.col("l_tax").alias("x_min"))
+    path = shared_path(spark, "interchange")
+    sinks.write_lines(sinks.interchange_lines(blocks, items.select("block_id", "chrom", "pos", *own.columns), P.alleles, (0.75, 0.2, 0.05)), path)
+    lines = spark.read.text(path)
+    head = lines.where(F.col("value").startswith("block ")).select(*readers.parse_block_header(F.col("value")))
+    made = head.groupBy("chrom").agg(F.count("*").alias("blocks"), F.sum(F.col("en") - F.col("st")).alias("positions"), F.sum(F.col("theta").cast("double")).alias("theta"))
+    at = lines.where(F.col("value").startswith("site ")).select(F.regexp_extract("value", r"^site (\S+):(\d+)\t(\w)", 1).alias("chrom"), F.regexp_extract("value", r"^site (\S+):(\d+)\t(\w)", 2).cast("long").alias("pos"))
+    return _round(made.join(at.groupBy("chrom").agg(F.count("*").alias("sites"), F.sum("pos").alias("position_sum")), "chrom"), 6, "theta")
+
+
+def table_cache(spark, sf) -> DataFrame:
+    made = readers.as_table(loci(spark, sf), shared_path(spark, "cache"))
+    return made.groupBy(F.col("chrom").cast("string").alias("chrom")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+def partition_report(spark, sf) -> DataFrame:
+    """Scored splits as the tree's report has them, stored and read back."""
+    path = shared_path(spark, "partitions")
+    sinks.partition_table(tree.score_candidates(_splits(spark, sf), tree.Options(min_positions=10))).write.parquet(path)
+    return _round(spark.read.parquet(path), 6, "gain_nats").select("cov", "value", "gain_nats", F.col("rank").cast("long").alias("rank"), "best", "best_of_covariate")
+
+
+def sorted_tags(spark, sf) -> DataFrame:
+    """Covariate values as tags of two digits, in order."""
+    tag = F.lpad((F.col("l_partkey") % 37).cast("string"), 2, "0")
+    return _t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_join(cov.sorted_tags(tag), ",").alias("tags"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         overlap_join, overlap_clip, interval_advance, interval_compare, point_in_block, neutral_semi, interval_positions, linear_positions,
@@ -463,6 +584,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mask_accumulate, logsumexp, log_normalise, grid_marginals, weighted_expectation, interp_quantile, mixture_nll, mixture_gradient,
         mixture_hessian, coefficient_projection, prior_pseudo_rows, lambda_theta, beta2_ratio, site_posterior, posterior_sum, allele_joint,
         counterfactual_m1, counterfactual_m2, ordered_prefix_splits, binary_entropy_gain, best_split_per_covariate, qc_min_positions,
-        ordering_error, value_summary, text_functions, number_formats, expected_information, numeric_functions, coverage_gaps, fit_beta3, fit_reg, parameter_posterior, tree_growth,
+        ordering_error, value_summary, text_functions, number_formats, expected_information, numeric_functions, coverage_gaps, fit_beta3, fit_reg, parameter_posterior, posterior_cells, fitted_posterior,
+        tree_growth, blocks_file, polys_file, dictionary_file, mono_runs, weighted_bed_file, covariate_runs_file, genome_file, models_file, whole_models, interchange_file, table_cache,
+        partition_report, sorted_tags,
     ]
     return {f.__name__: f for f in made}
