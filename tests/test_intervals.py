@@ -84,6 +84,50 @@ def test_alignment(spark):
         assert sum(r.en - r.st for r in got) == 300
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flags_keep_equal_rows(spark):
+    left = [("a", 0, 5, 1), ("a", 0, 5, 1), ("a", 5, 9, None), ("a", 3, 3, 0), (None, 1, 2, 3), ("a", None, 4, 0)]
+    right = spark.createDataFrame([("a", 4, 5, 0), ("a", 1, 2, 0), ("b", 0, 99, 0)], SPEC)
+    got = intervals.overlap_flags(spark.createDataFrame(left, SPEC), right, 2)
+    assert plan_of(got).count("Scan ExistingRDD") == 2
+    assert Counter(map(tuple, got.collect())) == Counter((*r, r[:3] == ("a", 0, 5)) for r in left)
+
+
+def test_states_and_segments_by_region(spark):
+    """Regions change no result, and no window holds all positions of a key."""
+    rng = random.Random(11)
+    runs = sorted({(rng.choice("ab"), rng.randrange(-40, 400)): rng.choice([None, 1, 2, 3]) for _ in range(60)}.items())
+    runs = spark.createDataFrame([(k, st, v) for (k, st), v in runs], "chrom string, st long, v long")
+    points = spark.createDataFrame([(i, rng.choice("abc"), rng.randrange(-60, 420)) for i in range(150)], "i long, chrom string, st long")
+    want = sorted((r.i, r.v) for r in intervals.asof_state(points, runs, "v", ["chrom"]).collect())
+    bounds = runs.select("chrom", "st", (F.col("st") + 7).alias("en"))
+    segments = sorted(map(tuple, intervals.breakpoint_segments(bounds).select("chrom", "st", "en").collect()))
+    for region in (1, 16, 1000):
+        assert sorted((r.i, r.v) for r in intervals.asof_state(points, runs, "v", ["chrom"], region=region).collect()) == want
+        assert sorted(map(tuple, intervals.breakpoint_segments(bounds, region=region).select("chrom", "st", "en").collect())) == segments
+
+
+def test_coalescing_orders_only_borders_over_regions(spark):
+    df = spark.createDataFrame([("a", p, p + 1, p // 3 % 2 + 1) for p in range(300)], SPEC)
+    inner = intervals._islands(df.withColumn("_region", F.expr("st div 50")), "v", ["chrom", "_region"])
+    got = intervals.coalesce_runs(df, "v", region=50)
+    assert inner.count() > got.count() == 100
+    windows = [line for line in plan_of(got).splitlines() if "+- Window" in line or ":- Window" in line]
+    assert windows and sum("_region" not in line.split("], [")[1] for line in windows) <= 2  # only the glue leaves regions
+
+
+def test_from_linear_is_an_equi_join(spark):
+    genome = spark.createDataFrame([("chr1", 0, 30), ("chr2", 0, 50)], "chrom string, st long, en long")
+    df = spark.createDataFrame([(i,) for i in range(90)], "linear long")
+    for width in (7, 1 << 24):
+        got = intervals.from_linear(df, genome, width)
+        assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
+        assert sorted((r.linear, r.chrom, r.st) for r in got.collect()) == [(i, "chr1" if i < 30 else "chr2", i if i < 30 else i - 30) for i in range(80)]
+
+
 def test_linear_positions(spark):
     genome = spark.createDataFrame([("chr2", 0, 50), ("chr10", 0, 70), ("chr1", 0, 30)], "chrom string, st long, en long")
     df = spark.createDataFrame([("chr10", 5), ("chr2", 5), ("chr1", 5)], "chrom string, st long")

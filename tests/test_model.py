@@ -127,6 +127,28 @@ def test_site_posteriors_sum_to_one(spark):
     assert abs(sum(total) - 1) < 1e-9
 
 
+def test_class_changes_by_hand(spark):
+    """At 108 chromosomes a low site becomes high once in 15, a high one low once in 37."""
+    p = m.Params(rho=0.3, eta=0.8, gamma=1.2, lam=0.004, theta=0.001, beta1=0.7, beta2=0.2, beta3=0.1)
+    one = spark.createDataFrame([(c, 0.004, 0.001, 0.9, 0.05) for c in "LH"], "cls string, lambda double, theta double, x_maj double, x_min double")
+    got = {r.cls: r for r in sites.counterfactuals(one, p, 2).collect()}
+    t = 0.001 * sum(1 / k for k in range(1, 109))  # Watterson's sum of 109
+    third = 0.004 / 3
+    low = 0.7 * 0.7 * t / 3 * (0.1 * third + 0.9 * 0.996)
+    high = 0.7 * 0.1 * t / 3 * (0.95 * third + 0.05 * 0.996)
+    selected = 0.3 * 1.2 * t / 3 * 0.9 * (1 - 0.8 * 0.004)
+    share = selected / (low + high + selected)
+    assert abs(got["L"].xi_high - 1 / 15) < 1e-15 and abs(got["L"].xi_sel_low - 14 / 15 * share) < 1e-12
+    assert abs(got["H"].xa_high - 36 / 37) < 1e-15 and abs(got["H"].xa_sel_low - share / 37) < 1e-12
+
+
+def test_counterfactuals_keep_rows(spark):
+    rows = [(i, c, None if i == 3 else 0.004, 0.001, 0.9, 0.05) for i, c in enumerate("MLHLLM")]
+    df = spark.createDataFrame(rows, "i int, cls string, lambda double, theta double, x_maj double, x_min double")
+    got = sites.counterfactuals(df, FITTED).orderBy("i").collect()
+    assert [(r.i, r.cls) for r in got] == [(r[0], r[1]) for r in rows] and got[0].p_selected == got[5].p_selected
+
+
 def test_posterior_grid(spark):
     rows = fit.coefficient_rows(patterns(spark), FITTED)
     prior = fit.prior_rows(spark, FITTED, PRIOR, 347.0)
@@ -168,6 +190,13 @@ def test_numeric_functions(spark):
     logs = spark.createDataFrame([("a", -1000.0), ("a", -1001.0), ("b", 2.0)], "k string, v double")
     assert {x.k: round(x.lse, 9) for x in num.log_sum_exp(logs, "v", ["k"]).collect()} == {"a": round(-1000 + math.log(1 + math.exp(-1)), 9), "b": 2.0}
     assert abs(num.log_normalise(logs, "v").agg(F.sum(F.exp("v"))).first()[0] - 1) < 1e-12
+    many = [x / 16 for x in range(-160, 480)] + [float("inf"), float("-inf")]
+    made = spark.createDataFrame([(x,) for x in many], "x double").select("x", num.erfc(F.col("x")).alias("e")).collect()
+    assert all(abs(x.e - math.erfc(x.x)) < 1e-15 and (x.x < 3 or abs(x.e - math.erfc(x.x)) <= 1e-12 * math.erfc(x.x)) for x in made)
+    assert math.isnan(spark.sql("SELECT double('NaN') AS x").select(num.erfc(F.col("x"))).first()[0]) and spark.sql("SELECT double(NULL) AS x").select(num.erfc(F.col("x"))).first()[0] is None
+    assert spark.range(1).select(num.ordering_error(F.lit(2.0), F.lit(1.0), F.lit(0.0), F.lit(0.0))).first()[0] is None
+    square = np.array([[2.0, 1.0, 0.0], [1.0, 3.0, 1.0], [0.5, 1.0, 4.0]])
+    assert np.allclose(num.adjugate3(square), np.linalg.inv(square) * np.linalg.det(square)) and (num.adjugate3(np.zeros((3, 3))) == 0).all()
     assert num.watterson(4) == 1 + 1 / 2 + 1 / 3 and num.inverse3(np.zeros((3, 3))) is None
 
 

@@ -119,6 +119,27 @@ def test_candidate_scores(spark):
     assert tree.expected_gain(100, 0.6, 0.01, 100, 0.3, 0.01, 200)[1] > 0
 
 
+def test_expected_gains_in_tasks(spark):
+    rows = [("n", "a", [1], [2], 100.0, 0.5, 40.0, 60.0, 0.6, 0.3, e, 0.05, 40.0, 50.0) for e in (0.05, None, 0.0)]
+    spec = "node_id string, cov string, set_values array<int>, coset_values array<int>, parent_nll double, parent_rho double, n_set double, n_cos double, rho_set double, rho_cos double, err_set double, err_cos double, nll_set double, nll_cos double"
+    got = tree.score_candidates(spark.createDataFrame(rows, spec), tree.Options(min_directed_bits=0.1)).collect()
+    want = tree.expected_gain(40.0, 0.6, 0.05, 60.0, 0.3, 0.05)
+    for r in got:
+        assert r.passes == (r.err_set == 0.05)
+        assert (r.expected_bits, r.directed_bits) == ((None, None) if r.err_set != 0.05 else (r.expected_bits, r.directed_bits))
+        assert r.err_set != 0.05 or (abs(r.expected_bits - want[0]) < 1e-9 and abs(r.directed_bits - want[1]) < 1e-9)
+
+
+def test_reports_of_growth(spark, tiny):
+    aligned, sites = planted(spark, tiny)
+    kept = {}
+    tree.grow(spark, tiny, aligned, sites, TRUTH, tree.Options(min_gain=25.0), levels=1, kept=kept)
+    report = sinks.partition_table(kept["partitions"][0]).collect()
+    assert sum(r.best for r in report) == 1 and sum(r.best_of_covariate for r in report) == 3
+    assert {(r.cov, r.value) for r in kept["singles"][0].collect()} == {("kind", 1), ("kind", 2)}
+    assert {r["cov"]: r.positions for r in tree.value_summary(kept["singles"][0]).collect()}["kind"] > 0
+
+
 def write(path, text):
     path.write_text(text)
     return str(path)
@@ -212,6 +233,25 @@ def test_readers(spark, tmp_path, tiny):
     assert set(CELLS) == set(class_table(TRUTH))
 
 
+def test_bytes_beyond_two_gigabytes(spark, tmp_path):
+    """A sparse file: offsets above 2^31 are read where they are."""
+    far = (1 << 31) + 1000
+    with open(tmp_path / "big.db", "wb") as f:
+        for at, codes in ((5, b"\1\1\2"), (far - 2, b"\3\3\3\3"), (far + 700, b"\4")):
+            f.seek(at)
+            f.write(codes)
+        f.truncate(far + 1000)
+    write(tmp_path / "big.chroms", f"chr1\t0\t{far}\nchr2\t0\t1000\n")
+    got = sorted(map(tuple, readers.read_mono(spark, str(tmp_path / "big"), chunk=1 << 26).collect()))
+    assert got == [("chr1", 5, 7, 1), ("chr1", 7, 8, 2), ("chr1", far - 2, far, 3), ("chr2", 0, 2, 3), ("chr2", 700, 701, 4)]
+
+
+def test_whole_result_files(spark):
+    rows = [(j, s, k, "-1" if (j, k) == ("b", "Eta") else "0.5 x") for j in "abc" for s, k in readers.REQUIRED if (j, k) != ("c", "Beta3")]
+    got = readers.whole_models(spark.createDataFrame(rows, "job string, section string, key string, value string"))
+    assert {r.job for r in got.collect()} == {"a"} and got.count() == 9
+
+
 def test_streaming_service(spark, database, tmp_path):
     db, _, _ = database
     inbox = tmp_path / "inbox"
@@ -239,5 +279,36 @@ def test_command_line(spark, database, tmp_path):
     out = tmp_path / "out"
     cli.main(["fit", str(tmp_path), bed, "-o", str(out), "--max-weight", "2", "--expect", "--resolution", "2", "--sites", "posterior", "--summary", "--interchange"])
     made = {p.name for p in out.iterdir()}
-    assert {"model", "model_text", "summary", "map", "posterior_marginals", "sites_posterior", "alleles_weighted", "interchange"} <= made
+    assert {"model", "model_text", "summary", "map", "posterior_marginals", "sites_posterior", "alleles_weighted", "interchange", "interchange_neutral"} <= made
+    model = spark.read.parquet(str(out / "model"))
+    assert readers.whole_models(model).count() == model.count()  # a result that the tree can read again
+    assert {r.section for r in model.select("section").distinct().collect()} == {"PARAMETERS", "UNCERTAINTY", "STATS", "STATSN", "NEUTRAL_MODEL", "ARGS", "PRIOR_MODEL", "PRIORN_MODEL"}
+    assert spark.read.parquet(str(out / "summary")).first().runtime > 0
+    cli.main(["convert", str(tmp_path), "-o", str(tmp_path / "tables")])
+    cli.main(["fit", str(tmp_path / "tables"), bed, "-o", str(tmp_path / "again"), "--max-weight", "2"])
+    first, again = (spark.read.parquet(str(p)).where("section = 'PARAMETERS' AND key IN ('Rho', 'Lambda')").select("key", F.col("value").cast("double")) for p in (out / "model", tmp_path / "again" / "model"))
+    assert abs(dict(again.collect())["Lambda"] - dict(first.collect())["Lambda"]) < 1e-12
     assert spark.read.parquet(str(out / "summary")).first()["mode"] == "Expectation"
+
+
+def test_tree_command_restarts(spark, database, tmp_path):
+    from intervale import cli
+
+    for name in ("db", "chroms", "tags"):
+        (tmp_path / f"mono.{name}").rename(tmp_path / f"monoDB.{name}")
+    (tmp_path / "polyn.bedg").write_text((tmp_path / "poly.bedg").read_text())
+    write(tmp_path / "set.txt", DEFINITION)
+    runs = tmp_path / "runs"
+    runs.mkdir()
+    write(runs / "ANN.bedg", "chr1\t0\t120\t1\nchr1\t120\t200\t2\nchr2\t0\t150\t2\n")
+    write(runs / "E1.bedg", "chr1\t0\t90\t101\nchr1\t90\t200\t302\nchr2\t0\t150\t201\n")
+    write(tmp_path / "g.bed", "chr1\t0\t200\nchr2\t0\t150\n")
+    base = ["tree", str(tmp_path / "set.txt"), str(tmp_path), str(runs), "--genome", str(tmp_path / "g.bed"), "--cells", "E1", "--min-gain", "-1000", "--max-depth", "2"]
+    cli.main([*base, "-o", str(tmp_path / "one"), "--levels", "1", "--expected"])
+    first = spark.read.parquet(str(tmp_path / "one" / "nodes"))
+    assert {r.status for r in first.collect()} == {"split", "pending"}
+    report = spark.read.parquet(str(tmp_path / "one" / "partitions"))
+    assert report.where("best").count() == 1 and "expected_bits" in report.columns
+    assert spark.read.parquet(str(tmp_path / "one" / "singles")).count() > 0
+    cli.main([*base, "-o", str(tmp_path / "two"), "--restart", str(tmp_path / "one" / "nodes")])
+    assert {r.status for r in spark.read.parquet(str(tmp_path / "two" / "nodes")).collect()} <= {"split", "leaf"}
