@@ -1,14 +1,22 @@
 """The pipeline's stages, and the guard that lets the subpackage go."""
 
+import hashlib
 import random
 import re
+import struct
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
+import xxhash
 from intervale.llm import queries
 from intervale.llm.common import materialize
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .conftest import DOCS, rows
+from .test_dedup_mix_ann import lines_by_hand, water_fill, xxh
+from .test_text_models import toxicity_by_hand
 
 
 def test_stages(spark, smallest):
@@ -111,3 +119,78 @@ def test_texts_that_share_an_id_stay(spark):
     assert found[0] == found[1]
     # What a group keeps has one of its texts; a null id stays.
     assert sorted((r[0] or 0, r[1].lower()) for r in found[0]) == sorted([(7, one), (7, two), (9, three), (0, three)])
+
+
+def corpus(rng):
+    """Plain, toxic, copied, nearly copied and boilerplate documents: (doc_id, text, source), and labels."""
+    texts, labels = [], {}
+    for i in range(90):
+        words = [f"calm{rng.randrange(60)}" for _ in range(rng.randrange(12, 30))]
+        if i % 6 == 0:
+            words[5:5] = [f"vile{rng.randrange(5)}" for _ in range(4)]
+        texts.append(" ".join(words))
+        if i % 4:
+            labels[i] = int(i % 6 == 0)
+    long = [f"tale{i}" for i in range(150)]
+    texts += [" ".join(long), " ".join(long).upper(), edited(rng, long, 1), edited(rng, long, 2), edited(rng, long, 60)]
+    texts += [texts[1], texts[2], texts[2]] + [None, ""]
+    texts = [t if k % 3 or t is None else f"{t}\nsubscribe to our letter\nown line {k}" for k, t in enumerate(texts)]
+    return [(i, t, ("a", "b", "c", "d", None)[i % 5]) for i, t in enumerate(texts)], labels
+
+
+def mixed_by_hand(docs):
+    """The mix in whole documents: each source's words, shuffled by hash, up to its target, twice at most."""
+    sources = sorted({s for _, _, s in docs if s is not None}, key=lambda s: s.encode()) + ([None] if any(s is None for _, _, s in docs) else [])
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    goal = water_fill([sum(size(t) for _, t, s in docs if s == n) for n in sources])
+
+    def mark(doc_id, text):
+        h = 42
+        for part in (struct.pack("<q", doc_id), struct.pack("<q", xxh(text)), struct.pack("<i", 1)):
+            h = xxhash.xxh64_intdigest(part, h)
+        return h - 2**64 if h >= 2**63 else h
+
+    taken = Counter()
+    for n, t in zip(sources, goal):
+        stream = sorted((mark(i, text), i, size(text)) for i, text, s in docs if s == n and size(text))
+        at, words = 0, round(t)
+        for _ in range(2):
+            for _, i, k in stream:
+                taken[i] += 2 * (min(at + k, words) - at) >= k
+                at += k
+    return taken
+
+
+def test_run_against_brute_force(spark, tmp_path, tokenizers):
+    docs, labels = corpus(random.Random(21))
+    made = [(i, t, "en", s, len(t or "")) for i, t, s in docs]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    scores, _ = toxicity_by_hand([t for _, t, _ in docs], labels)
+    clean = [d for d, x in zip(docs, scores) if x < 0.7]
+    assert 5 < len(docs) - len(clean) < 20
+    lined = [(i, t, s) for (i, _, s), t in zip(clean, lines_by_hand(clean))]
+    assert sum("subscribe" in (t or "") for _, t, _ in lined) == 1
+    roots = copies_by_hand([t for _, t, _ in lined])
+    unique = [d for k, d in enumerate(lined) if roots[k] == k]
+    assert len(lined) - len(unique) > 4
+    taken = mixed_by_hand(unique)
+    assert set(taken.values()) == {0, 1, 2}
+    library, want = Tokenizer.from_file(tokenizers("word_bpe_49k.json")), Counter()
+    for i, t, _ in unique:
+        want[i, hashlib.sha256(np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()] = taken[i]
+    got = Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == +want
+
+
+def test_the_mix_comes_in_the_order_of_the_schedule(spark, smallest):
+    docs = spark.read.parquet(f"{smallest}/documents.parquet").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    words = {r.doc_id: (r.source, len((r.text or "").split())) for r in docs.collect()}
+    ordered = [words[r.doc_id] for r in corpus_pipeline.mix_sources(spark, docs, smallest).collect()]
+    whole, total, longest = defaultdict(int), sum(n for _, n in ordered), max(n for _, n in words.values())
+    for s, n in ordered:
+        whole[s] += n
+    met, near = defaultdict(int), 0
+    for s, n in ordered:  # the share of every source is near its own at every place
+        met[s], near = met[s] + n, near + n
+        assert all(abs(met[k] - near * v / total) < 3 * longest + 3 * 1024 for k, v in whole.items())
