@@ -5,12 +5,17 @@ cosine. Equal vectors share one entry that lists the few least ids, which is all
 result can name. Entries are dealt to shards by a vantage-point tree fitted on a
 bounded sample, and every shard holds a vantage-point tree of its own. A query first
 searches the shard it falls in, which gives a bound on its k-th distance; then it
-goes, in blocks, to every shard that the triangle inequality cannot rule out.
+goes to every shard that the triangle inequality cannot rule out.
 
 ``factor`` relaxes the pruning: a branch is skipped when its least possible distance,
 times ``factor``, exceeds the k-th distance so far. One restores exact search; more
 skips branches that might hold a neighbour nearer by less than that ratio. Scores
-are recomputed in double precision on the original vectors.
+are recomputed in double precision on the original vectors. ``visited`` tells how much
+the pruning leaves.
+
+A shard's entries are split into parts of bounded size, and the queries sent to it into
+blocks; a task holds one part and one block. A part is copied once for QUERY_BLOCK
+queries that come to it, so what is copied never outgrows what is sent.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers
 take no part, as query or candidate; vectors of another length than the query are no
@@ -24,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 K, FACTOR, QUERY_EVERY = 5, 1.0, 50
-#: Vectors that fit the shard tree, entries a shard should hold, and shards at most.
+#: Vectors that fit the shard trees, entries a shard should hold and a part holds, and shards of a tree at most.
 TREE_SAMPLE, SHARD_SIZE, MAX_SHARDS = 8192, 8192, 2048
 LEAF, QUERY_BLOCK = 256, 50_000
 _SLACK = 1e-6  # above the rounding of chords in double precision
@@ -166,29 +172,71 @@ def _lookup(k: int, factor: float):
     return run
 
 
-def _deal(tree, name: str):
+class Forest:
+    """A shard tree for each length of vectors; shards are numbered through."""
+
+    def __init__(self, sample: list[list[float]], sizes: dict[int, int]):
+        by_length: dict[int, list] = {}
+        for v in sample:
+            by_length.setdefault(len(v), []).append(v)
+        self.trees: dict[int, tuple[Tree, int]] = {}
+        self.shards = 0
+        for length, n in sorted(sizes.items()):
+            if points := by_length.get(length):
+                wanted = min(MAX_SHARDS, -(-n // SHARD_SIZE))
+                tree = Tree(_unit(np.array(points, float)), max(1, len(points) // wanted))
+                self.trees[length] = tree, self.shards
+                self.shards += len(tree.leaves)
+            else:  # the sample missed a rare length: one shard, below the others
+                self.shards += 1
+
+    def home(self, length: int, unit: np.ndarray) -> np.ndarray:
+        if length not in self.trees:
+            return np.full(len(unit), -length, np.int32)
+        tree, first = self.trees[length]
+        return tree.home(unit) + np.int32(first)
+
+    def reach(self, length: int, unit: np.ndarray, bound: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+        if length in self.trees:
+            tree, first = self.trees[length]
+            for leaf, at in tree.reach(unit, bound, factor):
+                yield first + leaf, at
+
+
+def _lengths(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Lengths of a batch's vectors, and the places of each."""
+    n = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for length in np.unique(n).tolist():
+        yield length, np.flatnonzero(n == length)
+
+
+def _deal(forest, name: str):
+    """Put each row (``name``, v) into its shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard = tree.value.home(_unit(_matrix(batch.column(1)))) if batch.num_rows else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *batch.columns], ["shard", name, "v"])
+            for length, at in _lengths(batch.column(1)):
+                part = batch.take(pa.array(at))
+                shard = forest.value.home(length, _unit(_matrix(part.column(1))))
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *part.columns], ["shard", name, "v"])
 
     return run
 
 
-def _visit(tree, factor: float):
+def _visit(forest, factor: float):
     """Send each query to the shards that its bound leaves open, but its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            queries, bound = _unit(_matrix(batch.column(2))), batch.column(3).to_numpy(zero_copy_only=False)
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            for shard, at in tree.value.reach(queries, bound, factor):
-                at = at[own[at] != shard]
-                if len(at):
-                    sent = batch.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), *sent.columns[1:]], ["shard", "query_id", "v", "bound"])
+        for whole in batches:
+            for length, rows in _lengths(whole.column(2)):
+                batch = whole.take(pa.array(rows))
+                queries, bound = _unit(_matrix(batch.column(2))), batch.column(3).to_numpy(zero_copy_only=False)
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                for shard, at in forest.value.reach(length, queries, bound, factor):
+                    at = at[own[at] != shard]
+                    if len(at):
+                        sent = batch.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), *sent.columns[1:]], ["shard", "query_id", "v", "bound"])
 
     return run
 
@@ -198,35 +246,50 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_length(rows: DataFrame, n: int, k: int, every: int, factor: float) -> DataFrame:
-    """Neighbours among ``rows`` (vec_id, v), all of one length."""
-    spark = rows.sparkSession
-    least = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1)
-    entries = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
-    sample = entries.orderBy(F.xxhash64("v")).select("v").limit(TREE_SAMPLE).toArrow()
-    points = _unit(_matrix(sample.column("v")))
-    shards = min(MAX_SHARDS, max(1, -(-n // SHARD_SIZE)))
-    tree = spark.sparkContext.broadcast(Tree(points, max(1, len(points) // shards)))
-    dealt = materialize(entries.select("ids", "v").mapInArrow(_deal(tree, "ids"), "shard int, ids array<bigint>, v array<double>"), "dealt")
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(_deal(tree, "query_id"), "shard int, query_id long, v array<double>")
-    asked = materialize(asked.withColumn("bound", F.lit(2.1)), "asked")
-    # Queries come in blocks of bounded size, and each block meets the whole shard.
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    copies = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    result = "query_id long, vec_id long, score double"
-
-    def meet(queries: DataFrame) -> DataFrame:
-        placed = queries.select("*", block)
-        return copies.groupBy("shard", "block").cogroup(placed.groupBy("shard", "block")).applyInArrow(_lookup(k, factor), result)
-
-    at_home = materialize(meet(asked), "home")
-    kth = _best(at_home, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-    kth = kth.where(F.col("n") == k).select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("kth"))).alias("near"))
-    bound = asked.drop("bound").join(kth, "query_id", "left").select("shard", "query_id", "v", F.coalesce("near", F.lit(2.1)).alias("bound"))
-    away = bound.mapInArrow(_visit(tree, factor), "shard int, query_id long, v array<double>, bound double")
-    return _best(at_home.unionByName(meet(away)), k)
+_SENT = "shard int, query_id long, v array<double>, bound double"
+
+
+class _Search:
+    """The entries of a table in their shards, and its queries."""
+
+    def __init__(self, vectors: DataFrame, k: int, every: int, factor: float):
+        self.k, self.factor, self.spark = k, factor, vectors.sparkSession
+        rows = materialize(usable(vectors).distinct(), "vectors")
+        least = Window.partitionBy("v").orderBy("vec_id")
+        few = rows.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1)
+        entries = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
+        sizes = {r.length: r["count"] for r in entries.groupBy(F.size("v").alias("length")).count().collect()}  # one row a vector length
+        sample = [r.v for r in entries.orderBy(F.xxhash64("v")).select("v").limit(TREE_SAMPLE).collect()]
+        self.forest = Forest(sample, sizes)
+        self.tree = self.spark.sparkContext.broadcast(self.forest)
+        self.dealt = materialize(entries.select("ids", "v").mapInArrow(_deal(self.tree, "ids"), "shard int, ids array<bigint>, v array<double>"), "dealt")
+        self.parts = {r.shard: -(-r["count"] // (2 * SHARD_SIZE)) for r in self.dealt.groupBy("shard").count().collect()}  # one row a shard
+        asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(_deal(self.tree, "query_id"), "shard int, query_id long, v array<double>")
+        self.asked = materialize(asked.withColumn("bound", F.lit(2.1)), "asked")
+
+    def meet(self, sent: DataFrame) -> DataFrame:
+        """What queries ``sent`` (shard, query_id, v, bound) find: query_id, vec_id, score."""
+        sent = materialize(sent, "sent")
+        counts = sent.groupBy("shard").count().collect()  # one row a shard
+        plan = [(r.shard, self.parts[r.shard], -(-r["count"] // QUERY_BLOCK)) for r in counts if r.shard in self.parts]
+        plan = F.broadcast(self.spark.createDataFrame(plan, "shard int, parts int, blocks int"))
+        number = lambda *by, n: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        entries = self.dealt.join(plan, "shard").withColumn("part", number("v", n="parts")).withColumn("block", each("blocks")).drop("parts", "blocks")
+        queries = sent.join(plan, "shard").withColumn("block", number("query_id", "v", n="blocks")).withColumn("part", each("parts")).drop("parts", "blocks")
+        keys = ["shard", "part", "block"]
+        entries, queries = (df.select(*keys, *[c for c in df.columns if c not in keys]) for df in (entries, queries))
+        return entries.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_lookup(self.k, self.factor), "query_id long, vec_id long, score double")
+
+    def at_home(self) -> DataFrame:
+        return materialize(self.meet(self.asked), "home")
+
+    def away(self, at_home: DataFrame) -> DataFrame:
+        """Queries as they go to other shards, each with its bound."""
+        kth = _best(at_home, self.k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+        kth = kth.where(F.col("n") == self.k).select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("kth"))).alias("near"))
+        bound = self.asked.drop("bound").join(kth, "query_id", "left").select("shard", "query_id", "v", F.coalesce("near", F.lit(2.1)).alias("bound"))
+        return bound.mapInArrow(_visit(self.tree, self.factor), _SENT)
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, factor: float = FACTOR) -> DataFrame:
@@ -234,12 +297,13 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, factor: fl
 
     Queries are the rows whose vec_id is divisible by ``every``.
     """
-    rows = materialize(usable(vectors).distinct(), "vectors")
-    lengths = rows.groupBy(F.size("v").alias("length")).count().collect()  # one row a vector length
-    parts = [_search_length(rows.where(F.size("v") == r.length), r["count"], k, every, factor) for r in sorted(lengths)]
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    made = parts[0]
-    for p in parts[1:]:
-        made = made.unionByName(p)
-    return _best(made.drop("rank"), k) if len(parts) > 1 else made
+    search = _Search(vectors, k, every, factor)
+    home = search.at_home()
+    return _best(home.unionByName(search.meet(search.away(home))), k)
+
+
+def visited(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, factor: float = FACTOR) -> float:
+    """The share of (query, shard) pairs that the pruning leaves."""
+    search = _Search(vectors, k, every, factor)
+    pairs = search.asked.count() * search.forest.shards
+    return (search.asked.count() + search.away(search.at_home()).count()) / pairs if pairs else 0.0
