@@ -11,9 +11,13 @@ with location a + b ln n, and a segment's evidence is how far it lies above that
 location, in scales. The sum of the segments' evidence over SIGNIFICANT becomes a
 probability by a logistic curve fitted on the training texts.
 
-The model is fitted on at most ``max_per_class`` labelled rows of each label, the
-least by hash of doc_id, and keeps at most ``max_words`` words and as many prefixes;
-so what reaches the driver and the tasks has a bound. Scoring reads whole texts.
+The model is fitted on at most ``max_per_class`` labelled rows of each label, the least
+by hash of doc_id, which bounds what reaches the driver and the tasks: of all words and
+prefixes of these texts those that tell the labels apart, and two numbers a text. Words
+are counted in three of four texts, and the law and the curve are fitted on the fourth,
+whose words the scores do not know; sets with fewer than FEW texts of a label on either
+side are used whole for both. Scoring reads whole texts. ``passages`` returns the toxic
+passages themselves.
 
 Defined cases: a null or empty text has no segment and gets the score of no evidence;
 repeated rows keep a row each; without toxic or without clean training rows every
@@ -34,8 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Labelled rows of each label, and kept words, that bound the model.
-MAX_PER_CLASS, MAX_WORDS = 20_000, 50_000
+#: Labelled rows of each label that bound the model.
+MAX_PER_CLASS = 20_000
+#: One of PARTS texts calibrates, if it and the others have FEW texts of each label.
+PARTS, FEW = 4, 50
 #: Weight of a parent in a child's prior, in texts; drift; limit of a word's score.
 PRIOR_TEXTS, DRIFT, LIMIT = 4.0, 1.0, 9.0
 PREFIXES = (5, 4, 3)
@@ -108,10 +114,15 @@ def segments(text: str | None, scores: Scores) -> tuple[int, list[tuple[int, int
     return len(words), maximal_segments(np.fromiter(map(scores.__getitem__, words), np.float64, len(words)))
 
 
-def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> float:
+def significance(n: int, found: list[tuple[int, int, float]], model: Model) -> list[float]:
     """Segments' heights above the clean law's location, in scales, over SIGNIFICANT."""
     place = model.location[0] + model.location[1] * np.log(max(n, 1))
-    return float(sum(max(0.0, (s - place) / model.scale - SIGNIFICANT) for _, _, s in found))
+    return [(s - place) / model.scale - SIGNIFICANT for _, _, s in found]
+
+
+def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> float:
+    """The sum over the segments that count."""
+    return float(sum(max(0.0, x) for x in significance(n, found, model)))
 
 
 def probability(x: float, model: Model) -> float:
@@ -165,28 +176,39 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def calibrate(model: Model, stats: list[tuple[int, list[float], int]]) -> Model:
-    """Fit the extreme-value law and the curve from (words, segment scores, label)."""
-    n = np.array([s[0] for s in stats], float)
-    best = np.array([max(s[1], default=0.0) for s in stats])
-    y = np.array([s[2] for s in stats], float)
-    model.location, model.scale = _gumbel(n[y == 0], best[y == 0])
-    x = np.array([evidence(k, [(0, 0, s) for s in found], model) for k, found, _ in stats])
-    model.curve = _logistic(np.log1p(x), y)
-    return model
-
+def _best_segments(model):
+    """Words and the best segment of each text, with its label."""
 
-def _stats(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model.value)
         for batch in batches:
             found = [segments(t.as_py(), scores) for t in batch.column(0)]
-            columns = [pa.array([n for n, _ in found]), pa.array([[s for _, _, s in f if s > 1.0] for _, f in found], pa.list_(pa.float64())), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, ["n", "segments", "toxic"])
+            columns = [pa.array([float(n) for n, _ in found]), pa.array([max((s for _, _, s in f), default=0.0) for _, f in found]), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "best", "toxic"])
+
+    return run
+
+
+def _evidence(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(model.value)
+        for batch in batches:
+            columns = [pa.array([evidence(*segments(t.as_py(), scores), model.value) for t in batch.column(0)], pa.float64()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, ["x", "toxic"])
 
     return run
 
 
+def calibrate(model: Model, texts: DataFrame) -> Model:
+    """Fit the extreme-value law on clean ``texts`` (text, toxic), and the curve on all; two numbers a text reach the driver."""
+    context = texts.sparkSession.sparkContext
+    rows = texts.mapInArrow(_best_segments(context.broadcast(model)), "n double, best double, toxic int").where("toxic = 0").toArrow().to_pandas()
+    model.location, model.scale = _gumbel(rows.n.to_numpy(), rows.best.to_numpy())
+    rows = texts.mapInArrow(_evidence(context.broadcast(model)), "x double, toxic int").toArrow().to_pandas()
+    model.curve = _logistic(np.log1p(rows.x.to_numpy()), rows.toxic.to_numpy(float))
+    return model
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with each word and prefix, per task, by label."""
     counts: dict[tuple[str, int], Counter] = {}
@@ -210,7 +232,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_words: int = MAX_WORDS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     spark = docs.sparkSession
     rows = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -218,23 +240,26 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     for label in (0, 1):
         part = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    training = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic")
-    sizes = {r.toxic: r["count"] for r in training.groupBy("toxic").count().collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    own = (F.pmod(F.xxhash64("text", F.lit(PARTS)), F.lit(PARTS)) == 0).alias("own")
+    training = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", own), "toxic")
+    sizes = {(r.toxic, r.own): r["count"] for r in training.groupBy("toxic", "own").count().collect()}
+    toxic, clean = (sizes.get((x, True), 0) + sizes.get((x, False), 0) for x in (1, 0))
     if not toxic or not clean:
         base = 0.0 if not toxic else 1.0
         return Model(base, curve=(-40.0 if not toxic else 40.0, 0.0))
-    counts = training.mapInArrow(_count, "kind string, token string, toxic int, n long").groupBy("kind", "token")
+    counted, fitted = training, training
+    if min(sizes.get((x, y), 0) for x in (0, 1) for y in (True, False)) >= FEW:
+        counted, fitted = training.where("NOT own"), training.where("own")
+        toxic, clean = sizes[1, False], sizes[0, False]
+    counts = counted.select("text", "toxic").mapInArrow(_count, "kind string, token string, toxic int, n long").groupBy("kind", "token")
     counts = counts.agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("t"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("c"))
-    # Rank by how surely a token tells the labels apart, and keep a bounded number.
+    # Tokens that tell the labels apart; the others get their prefix's score or none.
     rate = toxic / (toxic + clean)
     z = F.abs(F.col("t") - rate * (F.col("t") + F.col("c"))) / F.sqrt((F.col("t") + F.col("c")) * rate * (1 - rate))
-    ranked = counts.where("t + c >= 2").withColumn("z", z)
-    top = {k: ranked.where((F.col("kind") == k) & (F.col("z") > 1.5)).orderBy(F.desc("z"), "token").limit(max_words).collect() for k in "wp"}
-    model = log_odds(*({r.token: (r.t, r.c) for r in top[k]} for k in "wp"), toxic, clean)
-    held = spark.sparkContext.broadcast(model)
-    stats = training.mapInArrow(_stats(held), "n long, segments array<double>, toxic int").collect()
-    return calibrate(model, [(r.n, r.segments, r.toxic) for r in stats])
+    told = counts.where("t + c >= 2").where(z > 1.5).toArrow().to_pandas()
+    part = {k: told[told.kind == k] for k in "wp"}
+    model = log_odds(*({w: (t, c) for w, t, c in zip(p.token, p.t.tolist(), p.c.tolist())} for p in (part["w"], part["p"])), toxic, clean)
+    return calibrate(model, fitted.select("text", "toxic"))
 
 
 def _score(model):
@@ -273,3 +298,36 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+_PASSAGES = "doc_id long, start long, end long, score double, evidence double, passage string"
+
+
+def passages(docs: DataFrame, model: Model) -> DataFrame:
+    """Every significant passage of ``docs`` (doc_id, text): doc_id, start, end, score, evidence, passage.
+
+    Places are in code points of the lower-cased text. A text's score is the curve at
+    the sum of its passages' evidence.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        scores = Scores(m)
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                n, found = segments(text.as_py(), scores)
+                heights = significance(n, found, m)
+                if any(x > 0 for x in heights):
+                    low = text.as_py().lower()
+                    places = [w.span() for w in _WORD.finditer(low)]
+                    for (i, j, s), x in zip(found, heights):
+                        if x > 0:
+                            start, end = places[i][0], places[j - 1][1]
+                            out.append((doc_id, start, end, s, x, low[start:end]))
+            columns = list(zip(*out)) or [()] * 6
+            types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in _PASSAGES.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _PASSAGES)
