@@ -9,8 +9,9 @@ splitting goes on down to small sets, whose pairs are compared. A set that no sh
 divides (a dense ball) is searched by listing each member's neighbours instead, which
 stays linear. A shard returns its links as a forest, and components join the forests.
 
-The shard tree is fitted on ``TREE_SAMPLE`` fingerprints, the least by hash; all
-fingerprints pass through it.
+The shard tree is fitted on the least fingerprints by hash, SAMPLED a shard and TREE_SAMPLE
+(8 MB) at most; all fingerprints pass through it. Beyond MAX_SHARDS x SHARD_SIZE distinct
+fingerprints shards grow, at 8 bytes a fingerprint and copy.
 
 Defined cases: a text without words (null, empty) has fingerprint zero and is linked
 like any other; equal texts have equal fingerprints; repeated rows each keep a row;
@@ -32,7 +33,9 @@ from .components import connected
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
 #: Fingerprints that fit the shard tree, and how many a shard should hold.
-TREE_SAMPLE, SHARD_SIZE, MAX_SHARDS = 16_384, 20_000, 4096
+TREE_SAMPLE, SHARD_SIZE, MAX_SHARDS = 1 << 20, 20_000, 16_384
+#: Fingerprints of the sample to a shard.
+SAMPLED = 64
 #: Sets of at most LEAF are compared pair by pair; denser sets above DENSE by listing neighbours.
 LEAF, DENSE = 256, 4096
 _CHUNK = 50_000
@@ -210,10 +213,10 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     """Links (a, b) that connect what pairs of ``distinct`` (fp) within ``max_bits`` connect."""
     spark = distinct.sparkSession
     n = distinct.count()
-    sample = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()]
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_SIZE))
     shards = max(1, min(MAX_SHARDS, wanted, n // LEAF))
-    tree = spark.sparkContext.broadcast(ShardTree(np.array(sample, np.int64).view(np.uint64), shards, max_bits))
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(min(TREE_SAMPLE, max(16_384, SAMPLED * shards))).toArrow()
+    tree = spark.sparkContext.broadcast(ShardTree(sample.column("fp").to_numpy().view(np.uint64), shards, max_bits))
     dealt = distinct.mapInArrow(_route(tree), "shard int, fp long")
     return dealt.groupBy("shard").applyInArrow(_links(max_bits), "a long, b long")
 
