@@ -56,7 +56,8 @@ def beta3(neutral: DataFrame, b2: float, prior: Params, prior_weight: float, sta
     third = F.col("lambda") / 3.0
     minor = F.col("x_min") * (1.0 - F.col("lambda")) + F.col("x_maj") * third
     major = F.col("x_maj") * (1.0 - F.col("lambda")) + F.col("x_min") * third
-    rows = neutral.where("cls = 'L'").select((minor - major).alias("A"), (major * (1.0 - b2)).alias("B"), "n").cache()
+    rows = neutral.where("cls = 'L'").select((minor - major).alias("A"), (major * (1.0 - b2)).alias("B"), "n")
+    rows = rows.groupBy("A", "B").agg(F.sum("n").alias("n")).cache()
     pb = prior.normalised()
     known = pb.beta1 + pb.beta3
     pseudo = []

@@ -321,7 +321,8 @@ def allele_joint(spark, sf) -> DataFrame:
 
 
 def _counterfactual(spark, sf, mode: int) -> DataFrame:
-    df = sites.counterfactuals(item_sites(spark, sf), P, mode)
+    shown = ["cls", "x_maj", "x_min", "lambda", "theta", "l_discount", "l_tax", "l_linenumber"]
+    df = sites.counterfactuals(item_sites(spark, sf).select(*shown).distinct(), P, mode)
     made = {f"{a}_selected": m.selected_mass(f"{a}_") for a in ("xa", "xi", "xo")} | {f"{a}_high": F.col(f"{a}_high") for a in ("xa", "xi", "xo")}
     keys = ["cls", "l_discount", "l_tax", "l_linenumber"]
     return _round(df.select(*keys, *[x.alias(n) for n, x in made.items()]), 8, *made).distinct()
@@ -470,7 +471,7 @@ def tree_growth(spark, sf) -> DataFrame:
     raw = _t(spark, sf, "lineitem")
     cls = F.when(F.col("l_returnflag") == "A", "M").when(F.col("l_returnflag") == "N", "L").otherwise("H")
     s = raw.select(F.lit("c").alias("chrom"), F.col("l_partkey").alias("st"), (F.col("l_partkey") + 1).alias("en"), cls.alias("cls"), (0.9 - 3.0 * F.col("l_discount")).alias("x_maj"), F.col("l_tax").alias("x_min"), F.lit(0.004).alias("lambda"), F.lit(0.0009).alias("theta"))
-    nodes = tree.grow(spark, COVSET, aligned, s, P, tree.Options(min_gain=5.0))
+    nodes = tree.grow(spark, COVSET, aligned, s, P, tree.Options(min_gain=2500.0))
     return tree.node_table(spark, nodes, COVSET)
 
 
