@@ -25,7 +25,9 @@ def _before(totals: DataFrame, group: list[str], chunk: str, chunks: int) -> Dat
     if chunks <= FAN:
         outer = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
         return totals.withColumn("_before", F.coalesce(F.sum("_total").over(outer), F.lit(0)))
-    return two_level_sum(totals.withColumn("_span", F.expr(f"{chunk} div {FAN}")), group, "_span", [chunk], "_total", "_before", -(-chunks // FAN)).drop("_span")
+    span = f"_{chunk}"  # a name of its own at every level
+    spans = totals.withColumn(span, F.expr(f"{chunk} div {FAN}"))
+    return two_level_sum(spans, group, span, [chunk], "_total", "_before", -(-chunks // FAN)).drop(span)
 
 
 def two_level_sum(df: DataFrame, group: list[str], chunk: str, order: list, value: str, out: str, chunks: int = FAN) -> DataFrame:
