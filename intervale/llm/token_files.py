@@ -53,7 +53,7 @@ SEGMENT_IDS = 1 << 20
 #: Rows of a writing task, where the cluster's shuffle partitions would be fewer.
 TASK_ROWS = 50_000
 #: Bytes of text that are cut at once, and pieces and words that a worker remembers before it starts anew.
-_CHUNK, _MEMO = 12_000_000, 1_500_000
+_CHUNK, _MEMO = 8_000_000, 1_300_000
 _FILE = "shard int, segment int, offset long, n_ids long, payload binary"
 _READ = "doc_id long, start long, n_tokens long, shard int, segment int, at long, ids binary"
 #: Code points beyond Latin, and those that are joined or split by; pieces with one go to the library whole.
@@ -123,7 +123,7 @@ class Encoder:
         self.pieces: dict[str, int] = {}
         self.heads: dict[str, int] = {}
         self.count = self.used = 0
-        self.start, self.size, self.ids = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), np.empty(1 << 18, np.uint32)
+        self.start, self.size, self.ids = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32), np.empty(1 << 18, np.uint32)
         self.words: dict[str, int] = {}
 
     def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -186,8 +186,7 @@ class Encoder:
     def _gathered(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, one after the other, and how many each has."""
         size = self.size[number]
-        end = np.cumsum(size)
-        at = np.repeat((self.start[number] - end + size).astype(np.int32), size)
+        at = np.repeat(self.start[number] - np.cumsum(size, dtype=np.int32) + size, size)
         at += np.arange(len(at), dtype=np.int32)
         return self.ids[at], size
 
@@ -221,7 +220,7 @@ class Encoder:
             self.heads.update(zip(new, self._library(new).tolist()))
         at[first] = [self.heads[h] for h in heads]
         ids, size = self._gathered(at)
-        return ids, np.add.reduceat(size, first)
+        return ids, np.add.reduceat(size, first, dtype=np.int64)
 
     def __call__(self, text: str) -> bytes:
         return self.encode(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
