@@ -438,7 +438,7 @@ def fit_beta3(spark, sf) -> DataFrame:
 def fit_reg(spark, sf) -> DataFrame:
     rows = _coefficients(spark, sf)
     made = fit.fit(rows, P, fit.prior_rows(spark, P, P, 347.0))
-    d = [round(x, 3) for x in fit.derived(made.params).values()]
+    d = [round(x, n) for x, n in zip(fit.derived(made.params).values(), (1, 1, 3, 3))]
     return spark.createDataFrame([(round(made.params.rho, 5), round(made.params.eta, 5), round(made.params.gamma, 5), round(made.nll, 1), round(made.nll_prior, 1), *d, made.converged)], "rho double, eta double, gamma double, nll double, nll_prior double, dp double, pw double, alpha double, tau double, converged boolean")
 
 
@@ -538,10 +538,10 @@ def models_file(spark, sf) -> DataFrame:
 
 
 def whole_models(spark, sf) -> DataFrame:
-    """Segments as jobs with the required fields; one whose number is below its limit lacks a field."""
-    c = _t(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.min("c_nationkey").alias("least"), F.sum((F.col("c_acctbal") < 0).cast("int")).alias("debts"))
+    """Nations' segments as jobs with the required fields; of those with an odd number of customers one is negative."""
+    c = _t(spark, sf, "customer").groupBy(F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("job")).agg(F.count("*").alias("n"))
     fields = F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("key")) for s, k in readers.REQUIRED]))
-    rows = c.withColumn("field", fields).select(F.col("c_mktsegment").alias("job"), "field.section", "field.key", F.when(F.col("field.key") == "maxSampW", F.col("debts") * 10 - F.col("n")).otherwise(F.col("n")).cast("string").alias("value"))
+    rows = c.withColumn("field", fields).select("job", "field.section", "field.key", F.when((F.col("field.key") == "maxSampW") & (F.col("n") % 2 == 1), -1).otherwise(F.col("n")).cast("string").alias("value"))
     return readers.whole_models(rows).groupBy("job").agg(F.count("*").alias("fields"))
 
 
