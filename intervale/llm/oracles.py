@@ -34,6 +34,47 @@ WITH u AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP12_CHOSEN_PATH = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i : i + 4], ' '))) END AS found FROM w
+), t AS (
+  SELECT doc_id, len(found) AS n, unnest(found) AS token FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.token = b.token AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))
+), c AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT c.node, p.b FROM c JOIN p ON p.a = c.seen
+)
+SELECT s.doc_id, len(s.found)::BIGINT AS n_shingles, min(c.seen) AS component_id, s.doc_id = min(c.seen) AS kept
+FROM s JOIN c ON c.node = s.doc_id GROUP BY s.doc_id, s.found
+"""
+
+OP13_RANKED_SEARCH = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), g AS (
+  SELECT count(*) AS total, sum(len(w))::BIGINT AS length FROM d WHERE len(w) > 0
+), q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), t AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term
+), f AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * total + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), g
+), i AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * total) // length))) AS part FROM t JOIN f USING (term), g
+), s AS (
+  SELECT item_id, doc_id, sum(times * part)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+) WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_LINE_DEDUP, "op10_nearest": OP10_NEAREST}
+    return {"op9_line_dedup": OP9_LINE_DEDUP, "op10_nearest": OP10_NEAREST, "op12_chosen_path": OP12_CHOSEN_PATH, "op13_ranked_search": OP13_RANKED_SEARCH}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from . import ann, bpe, langid, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_files, toxicity
+from . import ann, bpe, chosen_path, langid, line_dedup, mixing, quality_classifier, quality_rules, ranked_search, simhash, token_files, toxicity, whitening
 from .common import table
 
 
@@ -61,6 +61,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,5 +80,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_bpe, op2_language_id, op3_importance_resampling, op4_tokeniser_fertility, op5_token_files, op6_mixing, op7_simhash, op8_toxicity, op9_line_dedup, op10_nearest, pipeline]
+    made = [op1_bpe, op2_language_id, op3_importance_resampling, op4_tokeniser_fertility, op5_token_files, op6_mixing, op7_simhash, op8_toxicity, op9_line_dedup, op10_nearest, op11_whitening, op12_chosen_path, op13_ranked_search, pipeline]
     return {f.__name__: f for f in made}
