@@ -11,10 +11,11 @@ part. Trees are repeated until the chance q^trees of a miss at the threshold is
 
 A node is compared exhaustively once few of its pairs are open: a pair whose entries are
 connected already is not. Larger nodes first meet their hub, the entry with the most
-common minwise values, and what is verified there joins; then they branch on. Nodes that
-are still large at DEPTH are compared in blocks, so nothing is capped. Pairs pass a filter
-of sizes and sketches, and all links are confirmed on the full sets: first a spanning
-forest of each node, then the pairs that this left apart.
+common minwise values, and what is verified there joins; then they branch on. Nodes whose
+entries are so close to each other that a branching would not leave fewer pairs, and those
+that are still large at DEPTH, are compared in blocks, so nothing is capped. Pairs pass a
+filter of sizes and sketches, and all links are confirmed on the full sets: first those of
+a forest that spans each node, then the pairs that this left apart.
 
 Defined cases: words are lower-cased in ASCII and cut at ASCII white space; a text of
 fewer words is one shingle; texts without words (null, empty) are linked with nothing
@@ -44,6 +45,8 @@ LEAST, RECALL = (17, 20), 0.99999
 PLACES, LEVEL, HUB = 128, 16, 16
 #: Entries outside a node's largest class up to which it is compared, entries of a block, depth of a tree.
 OPEN, BLOCK, DEPTH = 256, 2048, 24
+#: Average share of minwise values from which a node is dense; entries up to which dense nodes are compared.
+CLOSE, DENSE = 0.4, 50_000
 #: Rows of a bucket of nodes; places of the filter of texts; words a worker remembers; texts of a slice.
 BUCKET, TEXTS, _MEMO, _SLICE = 20_000, 1 << 22, 100_000, 1000
 
@@ -164,8 +167,11 @@ def _children(depth: int, trees: int):
     return run
 
 
-def _compare(low: int, part: int, whole: int):
-    """Open pairs of a bucket's units whose sizes and sketches let them be similar enough."""
+def _compare(low: int, part: int, whole: int, forest: bool):
+    """Open pairs of a bucket's units whose sizes and sketches let them be similar enough.
+
+    With ``forest`` a pair that likelier ones connect already is left out.
+    """
 
     def run(bucket: pa.Table) -> pa.Table:
         unit = bucket.column("unit").to_numpy()
@@ -175,33 +181,46 @@ def _compare(low: int, part: int, whole: int):
         ids: dict[bytes, int] = {}
         root = np.fromiter((ids.setdefault(r, len(ids)) for r in bucket.column("root").to_pylist()), np.int64, len(n))
         minor, values = bucket.column("minor").to_numpy(zero_copy_only=False), _matrix(bucket.column("sketch"))
-        made: list[list] = [[], [], []]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in np.split(order, starts[1:]):
-            found, mine = [], values[at]
-            for i in at[minor[at]]:
-                able = (root[at] != root[i]) & (whole * np.minimum(n[at], n[i]) >= part * np.maximum(n[at], n[i]))
-                if able.any():
-                    same = (mine[able] == values[i]).sum(axis=1)
+            mine, found = values[at], []
+            for i in at[minor[at]].tolist():
+                able = at[(root[at] != root[i]) & (whole * np.minimum(n[at], n[i]) >= part * np.maximum(n[at], n[i])) & (~minor[at] | (at > i))]
+                if len(able):
+                    same = (mine[np.searchsorted(at, able)] == values[i]).sum(axis=1) if len(able) < len(at) else (mine == values[i]).sum(axis=1)
                     near = same >= low
-                    found += [(-s, min(keys[i], keys[j]), max(keys[i], keys[j])) for s, j in zip(same[near].tolist(), at[able][near].tolist())]
-            up: dict[bytes, bytes] = {}
-
-            def find(x: bytes) -> bytes:
-                while x in up:
-                    x = up[x]
-                return x
-
-            for s, a, b in sorted(set(found)):
-                x, y = find(a), find(b)
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                for out, v in zip(made, (b, a, x != y)):
-                    out.append(v)
-        return pa.table([pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary()), pa.array(made[2], pa.bool_())], ["a", "b", "first"])
+                    found.append((same[near], np.full(int(near.sum()), i), able[near]))
+            if found:
+                same, a, b = map(np.concatenate, zip(*found))
+                if forest:
+                    a, b = _spanning(same, a, b, root)
+                left.append(a)
+                right.append(b)
+        a, b = np.concatenate(left).tolist(), np.concatenate(right).tolist()
+        pairs = [(max(keys[i], keys[j]), min(keys[i], keys[j])) for i, j in zip(a, b)]
+        return pa.table([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _spanning(same: np.ndarray, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a forest over classes, the likeliest first."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    kept = []
+    for k in np.argsort(-same, kind="stable").tolist():
+        x, y = find(int(root[a[k]])), find(int(root[b[k]]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(k)
+    return a[kept], b[kept]
+
+
 def _chosen(places):
     """Sets of the texts whose hash has a place in the filter, so that no other text moves."""
 
@@ -229,7 +248,7 @@ class Join:
         self.marked = mark(docs)
         self.sets = materialize(self.marked.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]), "sets")
         self.found: list[DataFrame] = []
-        self.pairs: list[DataFrame] = []
+        self.aside: list[DataFrame] = []
         self.roots: DataFrame | None = None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -248,8 +267,11 @@ class Join:
 
     def add(self, pairs: DataFrame) -> None:
         """Verify ``pairs`` and join what they link."""
-        if not pairs.isEmpty():
-            self.found.append(self.verified(pairs))
+        if pairs.isEmpty():
+            return
+        made = self.verified(pairs)
+        if not made.isEmpty():
+            self.found.append(made)
             self.roots = connected(reduce(DataFrame.unionByName, self.found)).select(F.col("node").alias("key"), "root")
 
     def rooted(self, rows: DataFrame) -> DataFrame:
@@ -257,70 +279,76 @@ class Join:
             return rows.withColumn("root", F.col("key"))
         return rows.join(self.roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    def settle(self, rows: DataFrame, last: bool = False) -> DataFrame:
-        """Compare nodes of ``rows`` (node, key) with few open pairs; the rows of the others."""
+    def open_nodes(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (node, key) of the nodes with more than one class, with their classes and counts."""
         rows = self.rooted(rows)
         classes = rows.groupBy("node", "root").count()
         nodes = classes.groupBy("node").agg(F.sum("count").alias("size"), F.max("count").alias("most"), F.max_by("root", F.struct("count", "root")).alias("top"))
-        live = materialize(rows.join(nodes.where("size > most"), "node").withColumn("minor", F.expr("root <> top")), "nodes")
-        few = F.expr("size - most") <= OPEN
-        self.compare(live if last else live.where(few))
-        return live.where(~few).select("node", "key")
+        return rows.join(nodes.where("size > most"), "node").withColumn("minor", F.expr("root <> top"))
 
-    def compare(self, rows: DataFrame) -> None:
-        """Note the candidates among the minor rows of each node and all its rows.
+    def settle(self, rows: DataFrame, dense: DataFrame | None = None) -> DataFrame:
+        """Put aside the nodes of ``rows`` (node, key) that are to be compared; the rows of the others."""
+        live = self.open_nodes(rows)
+        live = live.withColumn("dense", F.lit(False)) if dense is None else live.join(dense, "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+        live = materialize(live.select("node", "key", ((F.col("size") - F.col("most") <= OPEN) | F.col("dense") & (F.col("size") <= DENSE)).alias("few")), "nodes")
+        self.aside.append(live.where("few").select("node", "key"))
+        return live.where("NOT few").select("node", "key")
 
-        A unit is a block of a node's rows with a part of its minor rows.
+    def compare(self, rows: DataFrame, forest: bool) -> DataFrame:
+        """Candidates (a, b) among the minor rows of each node and all its rows.
+
+        A unit is a block of a node's rows with a part of its minor rows. ``forest`` gives
+        pairs that connect what the candidates of a unit connect, else all are given.
         """
         number = lambda n: F.pmod(F.xxhash64("key"), n)
         each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        blocks, parts = F.ceil(F.col("size") / BLOCK), F.ceil(F.expr("size - most") / OPEN)
+        blocks, parts = F.ceil(F.col("size") / BLOCK), F.ceil(F.expr("size - most") / BLOCK)
         # A minor row goes to all blocks for its own part, and any row to its own block for all parts.
         own = rows.withColumns({"block": F.explode(each(blocks)), "part": number(parts)}).where("minor")
         rest = rows.withColumns({"block": number(blocks), "part": F.explode(each(parts)), "minor": F.lit(False)})
         rest = rest.where((F.expr("root") == F.col("top")) | (F.col("part") != number(parts)))
-        units = own.unionByName(rest).select(F.xxhash64("node", "block", "part").alias("unit"), "key", "root", "minor")
-        n = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET)
+        units = materialize(own.unionByName(rest).select(F.xxhash64("node", "block", "part").alias("unit"), "key", "root", "minor"), "units")
+        n = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), units.count() // BUCKET)
         full = units.join(self.sets, "key").withColumn("bucket", F.pmod("unit", F.lit(n)).cast("int"))
-        made = full.groupBy("bucket").applyInArrow(_compare(self.low, self.part, self.whole), "a binary, b binary, first boolean")
-        self.pairs.append(materialize(made.groupBy("a", "b").agg(F.max("first").alias("first")), "pairs"))
+        made = full.groupBy("bucket").applyInArrow(_compare(self.low, self.part, self.whole, forest), "a binary, b binary")
+        return materialize(made.distinct(), "pairs")
+
+    def meet_hubs(self, rows: DataFrame) -> DataFrame:
+        """Verify the pairs of each node's hub, the entry with most of the node's common values.
 
-    def meet_hubs(self, rows: DataFrame) -> None:
-        """Verify the pairs of each node's hub, the entry with most of the node's common values."""
+        Returns whether a node is ``dense``: its pairs share so many minwise values that a
+        branching would not leave fewer pairs.
+        """
         values = rows.join(self.sets, "key").select("node", "key", F.posexplode(F.slice("sketch", PLACES - HUB + 1, HUB)).alias("at", "value"))
-        common = values.groupBy("node", "at", "value").count().groupBy("node", "at").agg(F.max_by("value", F.struct("count", "value")).alias("value"))
+        values = materialize(values, "values")
+        counts = materialize(values.groupBy("node", "at", "value").count(), "counts")
+        common = counts.groupBy("node", "at").agg(F.max_by("value", F.struct("count", "value")).alias("value"))
         hubs = values.join(common, ["node", "at", "value"]).groupBy("node", "key").count().groupBy("node").agg(F.max_by("key", F.struct("count", "key")).alias("hub"))
-        met = self.rooted(rows).join(hubs, "node")
-        size = met.groupBy("node").count().withColumnRenamed("count", "size")
-        met = met.join(size, "node").withColumns({"minor": F.expr("key = hub"), "most": F.expr("size - 1"), "top": F.when(F.expr("key <> hub"), F.col("root"))})
-        self.compare(materialize(met.select("node", "key", "root", "size", "most", "top", "minor"), "hubs"))
-        self.add(self.pairs.pop().select("a", "b"))
+        size = rows.groupBy("node").agg(F.count("*").alias("size"))
+        met = self.rooted(rows).join(hubs.join(size, "node"), "node").withColumns({"minor": F.expr("key = hub"), "most": F.expr("size - 1"), "top": F.when(F.expr("key <> hub"), F.col("root"))})
+        self.add(self.compare(materialize(met.select("node", "key", "root", "size", "most", "top", "minor"), "hubs"), False))
+        shared = counts.groupBy("node").agg(F.sum(F.col("count") * F.col("count")).alias("shared"))
+        return shared.join(size, "node").select("node", (F.col("shared") >= CLOSE * HUB * F.col("size") * F.col("size")).alias("dense"))
 
     def branch(self, rows: DataFrame, depth: int) -> DataFrame:
-        made = rows.mapInArrow(_children(depth, self.trees), "node long, key binary")
-        return materialize(made, "children")
+        return materialize(rows.mapInArrow(_children(depth, self.trees), "node long, key binary"), "children")
 
-    def links(self) -> DataFrame:
+    def links(self) -> list[DataFrame]:
         """Links (a, b) of keys that connect what similar pairs connect."""
         rows = self.branch(self.sets, 0)
         for depth in range(1, DEPTH):
             rows = self.settle(rows)
             if rows.isEmpty():
                 break
-            self.meet_hubs(rows)
-            rows = self.settle(rows)
+            dense = self.meet_hubs(rows)
+            rows = self.settle(rows, dense)
             if rows.isEmpty():
                 break
             rows = self.branch(rows.join(self.sets, "key").select("node", "key", "sketch"), depth)
-        else:
-            self.settle(rows, last=True)
-        pairs = reduce(DataFrame.unionByName, self.pairs).groupBy("a", "b").agg(F.max("first").alias("first"))
-        pairs = materialize(pairs, "candidates")
-        self.add(pairs.where("first").select("a", "b"))
-        if self.roots is not None:
-            sides = [self.roots.select(F.col("key").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"]
-            apart = pairs.where("NOT first").join(sides[0], "a", "left").join(sides[1], "b", "left")
-            self.add(materialize(apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "apart"))
+        self.aside.append(rows)
+        every = reduce(DataFrame.unionByName, self.aside)
+        for forest in (True, False):
+            self.add(self.compare(materialize(self.open_nodes(every), "open"), forest))
         return self.found
 
     def classes(self) -> DataFrame:

@@ -82,7 +82,7 @@ def test_chosen_path_branches_large_nodes(spark, monkeypatch):
     calls = []
     branch = chosen_path.Join.branch
     monkeypatch.setattr(chosen_path.Join, "branch", lambda self, rows, depth: calls.append(depth) or branch(self, rows, depth))
-    for setting in ({"OPEN": 40, "BLOCK": 16}, {"OPEN": 12, "BLOCK": 8, "DEPTH": 2}):
+    for setting in ({"OPEN": 40, "BLOCK": 16}, {"OPEN": 12, "DENSE": 60, "DEPTH": 3}):
         for name, value in setting.items():
             monkeypatch.setattr(chosen_path, name, value)
         got = joined(spark, texts)
@@ -242,8 +242,7 @@ def test_search_prunes_topics(spark, monkeypatch):
     asked = [(i, " ".join(texts[i].split()[:8])) for i in range(0, 64)]
     search = ranked_search.Search(ranked_search.Index(docs), spark.createDataFrame(asked, "item_id long, text string"))
     assert sorted(map(tuple, search.run().collect())) == ranked_by_hand(list(enumerate(texts)), asked)
-    everywhere = 64 * search.index.rows.count()
-    assert search.reach.count() < 0.4 * everywhere and search.visited() < 0.9
+    assert search.reach.count() < 0.1 * 64 * search.index.rows.count()
 
 
 def test_search_of_repeated_and_null_ids(spark):
@@ -254,13 +253,14 @@ def test_search_of_repeated_and_null_ids(spark):
 
 
 def test_bisection_parts_two_topics():
-    words = np.array([w for d in range(40) for w in ([0, 1, 2] if d % 2 else [3, 4, 5])])
+    topic = np.random.default_rng(1).permutation(np.arange(40) % 2)
+    words = np.array([w for t in topic for w in ([0, 1, 2] if t else [3, 4, 5])])
     ends = np.arange(0, len(words) + 1, 3)
     right, a, b = ranked_search.bisect(ends, words, 6)
-    assert len({bool(right[d]) for d in range(0, 40, 2)}) == 1 and right[0] != right[1]
+    assert len(set(right[topic == 0])) == 1 == len(set(right[topic == 1]))
     assert sorted([a[0], b[0]]) == [0, 20]
     order = ranked_search.reordered(ends, words)
-    assert sorted(order.tolist()) == list(range(40)) and len({d % 2 for d in order[:20].tolist()}) == 1
+    assert sorted(order.tolist()) == list(range(40)) and len(set(topic[order[:20]])) == 1
 
 
 def test_search_against_sql(spark, smallest):
