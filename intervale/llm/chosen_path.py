@@ -116,57 +116,72 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, _SLICE) for i in range(0, batch.num_rows, _SLICE))
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_128_digest
-
-    words = _Words()
-    for batch in (part for whole in batches for part in _slices(whole)):
-        keys, sizes, sketches = [], [], []
-        for text in batch.column(2):
-            found = shingles(text.as_py(), words)
-            keys.append(xxh3_128_digest(found.tobytes()))
-            sizes.append(len(found))
-            sketches.append(sketch(found))
-        columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), _lists(sketches, np.int32)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "key", "n", "sketch"])
-
-
-def mark(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with each text's set: its name, size and sketch."""
+def _mark(trees: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        words, first = _Words(), np.arange(2 * trees)
+        for batch in (part for whole in batches for part in _slices(whole)):
+            names, sizes, sketches, nodes = [], [], [], []
+            for text in batch.column(2):
+                found = shingles(text.as_py(), words)
+                names.append(xxh3_128_digest(found.tobytes()))
+                sizes.append(len(found))
+                values = sketch(found)
+                nodes.append(_child(first.astype(np.uint64), first, values[first].astype(np.uint64), 0))
+                sketches.append(values.astype(np.uint16))
+            columns = [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), _lists(sketches, np.int16), _lists(nodes)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "name", "n", "sketch", "nodes"])
+
+    return run
+
+
+def mark(docs: DataFrame, trees: int) -> DataFrame:
+    """``docs`` (doc_id, text) with each text's set: its name, size, sketch and nodes of the first level."""
     rows = docs.select("doc_id", content().alias("content"), "text")
-    return materialize(rows.mapInArrow(_mark, "doc_id long, content long, key binary, n int, sketch array<int>"), "marked")
+    return materialize(rows.mapInArrow(_mark(trees), "doc_id long, content long, name binary, n int, sketch array<short>, nodes array<bigint>"), "marked")
 
 
 def _matrix(column) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return a.flatten().to_numpy(zero_copy_only=False).reshape(-1, PLACES)
+    return a.flatten().to_numpy(zero_copy_only=False).reshape(-1, PLACES)  # of 16 bits
+
 
+def _child(node: np.ndarray, place: np.ndarray, value: np.ndarray, depth: int) -> np.ndarray:
+    """Names the children of nodes by the chosen places and the tokens there."""
+    name = (node + np.uint64(depth + 1)) * _MIX
+    for part in (place.astype(np.uint64), value):
+        name = (name ^ (name >> np.uint64(31)) ^ part) * np.uint64(0xD6E8FEB86659FD93)
+    return name ^ (name >> np.uint64(32))
 
-def _children(depth: int, trees: int):
-    """Children of nodes: two places of the level, chosen by the node, name them by their tokens."""
+
+def _children(depth: int):
+    """Children of nodes below the first level: two places of the level's own, chosen by the node."""
     first = (depth * LEVEL) % PLACES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, values = batch.column("key"), _matrix(batch.column("sketch")).view(np.uint32).astype(np.uint64)
-            if depth == 0:
-                picks = [(np.full(len(values), at, np.uint64), np.full(len(values), at, np.int64)) for at in range(2 * trees)]
-            else:
-                node = batch.column("node").to_numpy().view(np.uint64)
-                mixed = (node ^ (node >> np.uint64(29))) * _MIX
-                one = (mixed >> np.uint64(40)) % np.uint64(LEVEL)
-                two = (one + np.uint64(1) + (mixed >> np.uint64(50)) % np.uint64(LEVEL - 1)) % np.uint64(LEVEL)
-                picks = [(node, at.astype(np.int64)) for at in (one, two)]
-            for node, at in picks:
-                name = (node + np.uint64(depth + 1)) * _MIX
-                for part in (at.astype(np.uint64), values[np.arange(len(values)), first + at]):
-                    name = (name ^ (name >> np.uint64(31)) ^ part) * np.uint64(0xD6E8FEB86659FD93)
-                name ^= name >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), key], ["node", "key"])
+            values = _matrix(batch.column("sketch")).view(np.uint16).astype(np.uint64)
+            node = batch.column("node").to_numpy().view(np.uint64)
+            mixed = (node ^ (node >> np.uint64(29))) * _MIX
+            one = (mixed >> np.uint64(40)) % np.uint64(LEVEL)
+            two = (one + np.uint64(1) + (mixed >> np.uint64(50)) % np.uint64(LEVEL - 1)) % np.uint64(LEVEL)
+            for at in (one.astype(np.int64), two.astype(np.int64)):
+                made = _child(node, at, values[np.arange(len(values)), first + at], depth)
+                yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), batch.column("key")], ["node", "key"])
 
     return run
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each of the HUB last values occurs in a node, by batch."""
+    for batch in batches:
+        node, values = batch.column("node").to_numpy(), _matrix(batch.column("sketch"))[:, -HUB:].astype(np.int64) & 0xFFFF
+        coded = (np.arange(HUB) << 16 | values).ravel()
+        pairs, n = np.unique(np.stack([np.repeat(node, HUB), coded]), axis=1, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], ["node", "coded", "n"])
+
+
 def _compare(low: int, part: int, whole: int, forest: bool):
     """Open pairs of a bucket's units whose sizes and sketches let them be similar enough.
 
@@ -177,9 +192,7 @@ def _compare(low: int, part: int, whole: int, forest: bool):
         unit = bucket.column("unit").to_numpy()
         order = np.argsort(unit, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(unit[order]) != 0])
-        keys, n = bucket.column("key").to_pylist(), bucket.column("n").to_numpy().astype(np.int64)
-        ids: dict[bytes, int] = {}
-        root = np.fromiter((ids.setdefault(r, len(ids)) for r in bucket.column("root").to_pylist()), np.int64, len(n))
+        keys, root, n = (bucket.column(c).to_numpy().astype(np.int64) for c in ("key", "root", "n"))
         minor, values = bucket.column("minor").to_numpy(zero_copy_only=False), _matrix(bucket.column("sketch"))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in np.split(order, starts[1:]):
@@ -192,19 +205,19 @@ def _compare(low: int, part: int, whole: int, forest: bool):
                     found.append((same[near], np.full(int(near.sum()), i), able[near]))
             if found:
                 same, a, b = map(np.concatenate, zip(*found))
-                if forest:
-                    a, b = _spanning(same, a, b, root)
-                left.append(a)
-                right.append(b)
-        a, b = np.concatenate(left).tolist(), np.concatenate(right).tolist()
-        pairs = [(max(keys[i], keys[j]), min(keys[i], keys[j])) for i, j in zip(a, b)]
-        return pa.table([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+                a, b = np.where(keys[a] > keys[b], a, b), np.where(keys[a] > keys[b], b, a)
+                if forest:  # equal pairs of other units are taken in the same order
+                    order = np.lexsort((keys[b], keys[a], -same))
+                    a, b = _spanning(a[order], b[order], root)
+                left.append(keys[a])
+                right.append(keys[b])
+        return pa.table([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
     return run
 
 
-def _spanning(same: np.ndarray, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a forest over classes, the likeliest first."""
+def _spanning(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a forest over classes, the first ones first."""
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -213,8 +226,8 @@ def _spanning(same: np.ndarray, a: np.ndarray, b: np.ndarray, root: np.ndarray)
         return x
 
     kept = []
-    for k in np.argsort(-same, kind="stable").tolist():
-        x, y = find(int(root[a[k]])), find(int(root[b[k]]))
+    for k, (x, y) in enumerate(zip(root[a].tolist(), root[b].tolist())):
+        x, y = find(x), find(y)
         if x != y:
             up[max(x, y)] = min(x, y)
             kept.append(k)
@@ -225,12 +238,18 @@ def _chosen(places):
     """Sets of the texts whose hash has a place in the filter, so that no other text moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         words, seen = _Words(), set()
         for batch in (part for whole in batches for part in _slices(whole)):
-            names = batch.column(0).to_numpy()
-            at = [i for i in np.flatnonzero(places.value[names & (TEXTS - 1)]).tolist() if names[i] not in seen]
-            seen.update(names[at].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(names[at]), _lists([shingles(batch.column(1)[i].as_py(), words) for i in at])], ["content", "found"])
+            keys, sets = [], []
+            for i in np.flatnonzero(places.value[batch.column(0).to_numpy() & (TEXTS - 1)]).tolist():
+                text = batch.column(1)[i].as_py()
+                if (name := xxh3_128_digest((text or "").encode())) not in seen:  # a text once a task
+                    seen.add(name)
+                    sets.append(shingles(text, words))
+                    keys.append(xxh3_128_digest(sets[-1].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(sets)], ["name", "found"])
 
     return run
 
@@ -245,34 +264,44 @@ class Join:
         self.trees = trees or trees_for(s, recall)
         #: Six standard deviations below the values that sketches at the threshold share.
         self.low = max(1, math.floor(PLACES * s - 6 * math.sqrt(PLACES * s * (1 - s))))
-        self.marked = mark(docs)
-        self.sets = materialize(self.marked.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]), "sets")
-        self.found: list[DataFrame] = []
+        self.marked = mark(docs, self.trees)
+        distinct = self.marked.where("n > 0").select("name", "n", "sketch", "nodes").dropDuplicates(["name"])
+        self.sets = materialize(distinct.withColumn("key", F.monotonically_increasing_id()), "sets")  # numbered as stored
         self.aside: list[DataFrame] = []
         self.roots: DataFrame | None = None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        named = materialize(self.marked.select("key", "content").groupBy("key").agg(F.min("content").alias("content")).join(keys, "key"), "named")
+        names = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(self.sets.select("key", "name"), "key")
+        keys = materialize(names, "keys")
+        named = self.marked.select("name", "content").join(keys, "name", "left_semi")
         places = np.zeros(TEXTS, bool)
         places[named.select(F.col("content").bitwiseAND(TEXTS - 1).alias("at")).distinct().toArrow().column("at").to_numpy()] = True
         held = self.spark.sparkContext.broadcast(places)
-        found = self.docs.select(content().alias("content"), "text").mapInArrow(_chosen(held), "content long, found array<long>")
-        sets = materialize(found.join(named, "content").dropDuplicates(["key"]).select("key", "found"), "full")
+        found = self.docs.select(content().alias("content"), "text").mapInArrow(_chosen(held), "name binary, found array<long>")
+        sets = materialize(found.join(keys, "name").dropDuplicates(["key"]).select("key", "found"), "full")
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("found").alias(f"found_{side}")), side)
         both, common = F.size("found_a") + F.size("found_b"), F.size(F.array_intersect("found_a", "found_b"))
         return materialize(pairs.where(common * (self.part + self.whole) >= both * self.part).select("a", "b"), "links")
 
     def add(self, pairs: DataFrame) -> None:
-        """Verify ``pairs`` and join what they link."""
+        """Verify ``pairs`` and join the classes that they link."""
         if pairs.isEmpty():
             return
         made = self.verified(pairs)
-        if not made.isEmpty():
-            self.found.append(made)
-            self.roots = connected(reduce(DataFrame.unionByName, self.found)).select(F.col("node").alias("key"), "root")
+        if self.roots is None:
+            self.roots = connected(made).select(F.col("node").alias("key"), "root")
+            return
+        for side in "ab":
+            made = self.rooted(made.withColumnRenamed(side, "key")).select(F.col("root").alias(side), *[c for c in made.columns if c != side])
+        links = materialize(made.where("a <> b").distinct(), "between")
+        if links.isEmpty():
+            return
+        merged = connected(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        old = self.roots.join(merged, F.col("root") == F.col("was"), "left").select("key", F.coalesce("now", "root").alias("root"))
+        new = merged.join(self.roots, F.col("was") == F.col("key"), "left_anti").select(F.col("was").alias("key"), F.col("now").alias("root"))
+        self.roots = materialize(old.unionByName(new), "roots")
 
     def rooted(self, rows: DataFrame) -> DataFrame:
         if self.roots is None:
@@ -310,7 +339,7 @@ class Join:
         units = materialize(own.unionByName(rest).select(F.xxhash64("node", "block", "part").alias("unit"), "key", "root", "minor"), "units")
         n = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), units.count() // BUCKET)
         full = units.join(self.sets, "key").withColumn("bucket", F.pmod("unit", F.lit(n)).cast("int"))
-        made = full.groupBy("bucket").applyInArrow(_compare(self.low, self.part, self.whole, forest), "a binary, b binary")
+        made = full.groupBy("bucket").applyInArrow(_compare(self.low, self.part, self.whole, forest), "a long, b long")
         return materialize(made.distinct(), "pairs")
 
     def meet_hubs(self, rows: DataFrame) -> DataFrame:
@@ -319,11 +348,14 @@ class Join:
         Returns whether a node is ``dense``: its pairs share so many minwise values that a
         branching would not leave fewer pairs.
         """
-        values = rows.join(self.sets, "key").select("node", "key", F.posexplode(F.slice("sketch", PLACES - HUB + 1, HUB)).alias("at", "value"))
-        values = materialize(values, "values")
-        counts = materialize(values.groupBy("node", "at", "value").count(), "counts")
-        common = counts.groupBy("node", "at").agg(F.max_by("value", F.struct("count", "value")).alias("value"))
-        hubs = values.join(common, ["node", "at", "value"]).groupBy("node", "key").count().groupBy("node").agg(F.max_by("key", F.struct("count", "key")).alias("hub"))
+        values = materialize(rows.join(self.sets, "key").select("node", "key", "sketch"), "values")
+        counts = values.mapInArrow(_counts, "node long, coded long, n long").groupBy("node", "coded").agg(F.sum("n").alias("count"))
+        counts = materialize(counts.withColumn("at", F.expr("shiftright(coded, 16)")), "counts")
+        common = counts.groupBy("node", "at").agg(F.max_by(F.expr("coded & 65535").cast("int"), F.struct("count", "coded")).alias("value"))
+        common = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("modes"))  # HUB values a node
+        mine = F.slice("sketch", PLACES - HUB + 1, HUB)
+        share = F.aggregate(F.zip_with(mine, "modes", lambda x, m: F.when(x.cast("int").bitwiseAND(65535) == m["value"], 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
+        hubs = values.join(common, "node").groupBy("node").agg(F.max_by("key", F.struct(share.alias("share"), F.col("key"))).alias("hub"))
         size = rows.groupBy("node").agg(F.count("*").alias("size"))
         met = self.rooted(rows).join(hubs.join(size, "node"), "node").withColumns({"minor": F.expr("key = hub"), "most": F.expr("size - 1"), "top": F.when(F.expr("key <> hub"), F.col("root"))})
         self.add(self.compare(materialize(met.select("node", "key", "root", "size", "most", "top", "minor"), "hubs"), False))
@@ -331,11 +363,11 @@ class Join:
         return shared.join(size, "node").select("node", (F.col("shared") >= CLOSE * HUB * F.col("size") * F.col("size")).alias("dense"))
 
     def branch(self, rows: DataFrame, depth: int) -> DataFrame:
-        return materialize(rows.mapInArrow(_children(depth, self.trees), "node long, key binary"), "children")
+        return materialize(rows.mapInArrow(_children(depth), "node long, key long"), "children")
 
-    def links(self) -> list[DataFrame]:
-        """Links (a, b) of keys that connect what similar pairs connect."""
-        rows = self.branch(self.sets, 0)
+    def links(self) -> None:
+        """Connect the classes of all similar pairs."""
+        rows = materialize(self.sets.select("key", F.explode("nodes").alias("node")), "children")
         for depth in range(1, DEPTH):
             rows = self.settle(rows)
             if rows.isEmpty():
@@ -349,20 +381,18 @@ class Join:
         every = reduce(DataFrame.unionByName, self.aside)
         for forest in (True, False):
             self.add(self.compare(materialize(self.open_nodes(every), "open"), forest))
-        return self.found
 
     def classes(self) -> DataFrame:
-        """Rows of ``docs`` as (doc_id, content, key, n, root)."""
+        """Rows of ``docs`` as (doc_id, content, n, root); those without words have root -1."""
         self.links()
-        return materialize(self.rooted(self.marked.select("doc_id", "content", "key", "n")), "classes")
+        named = self.marked.select("doc_id", "content", "name", "n").join(self.rooted(self.sets.select("key", "name")).select("name", "root"), "name", "left")
+        return materialize(named.select("doc_id", "content", "n", F.coalesce("root", F.lit(-1).cast("long")).alias("root")), "classes")
 
 
-def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, recall: float = RECALL, empties: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, recall: float = RECALL) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, n_shingles, component_id, kept)."""
     rows = Join(docs, least, recall).classes()
     firsts = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = rows.join(firsts, "root")
-    if not empties:
-        joined = joined.withColumn("component_id", F.expr("if(n = 0, doc_id, component_id)"))
+    joined = rows.join(firsts, "root").withColumn("component_id", F.expr("if(n = 0, doc_id, component_id)"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", kept.alias("kept"))

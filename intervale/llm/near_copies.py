@@ -1,202 +1,52 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, for the pipeline.
-
-Op7's vantage-point search is exact within few bits; pairs of similarity 0.8 lie so many
-bits apart that no shell divides a corpus at that reach. Here candidates come from a
-prefix filter, which loses none: two sets of similarity 0.8 or more share a shingle among
-the first n - ceil(0.8 n) + 1 of each, in any common order. The order is rarest first, by
-counts in a share of the documents, so that common passages lead to few candidates; the
-counts have no bearing on the result. Every candidate is held against the full sets.
-
-The smaller set of a pair needs to be met by its first n - ceil(8 n / 9) + 1 shingles only,
-as two sets of similarity 0.8 have 8 / 9 of the smaller in common.
-
-Sets of a large group that shares a prefix shingle are first compared with two centres of
-the group, one of them the set with the most common prefix, which is likely the one that the
-others were made from. Of the pairs that are not yet joined, those go whose sizes or whose
-shingles' places leave too few shingles that could be common; the others are compared.
-
-Defined cases: words are lower-cased in ASCII and cut at ASCII white space, as in op7; a
-text of fewer words is one shingle; texts without words (null, empty) are copies of each
-other; an empty table gives no rows.
+"""Near copies on five-word shingles for the pipeline: SimHash first, then the chosen-path join.
+
+Operator 7's vantage-point search over fingerprints of five-word shingles gives the first
+candidates: texts of one fingerprint, and fingerprints within two bits. They are held
+against the full sets, and what is confirmed is one class from then on. Most pairs of
+similarity 0.8 lie more bits apart than any shell divides a corpus at, so the chosen-path
+join of operator 12 finds those that are left, at the same threshold and with the same
+confirmation. So no link below 0.8 is made, and a pair at 0.8 is missed with a chance of
+1 - RECALL at most.
+
+Defined cases: words are lower-cased in ASCII and cut at ASCII white space; a text of
+fewer words is one shingle; texts without words (null, empty) are copies of each other;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
+from .chosen_path import RECALL, SHINGLE, Join, content
 from .common import materialize
-from .components import connected
-
-SEED, SHINGLE = 42, 5
-#: The least similarity as a fraction, which keeps comparisons exact.
-PART, WHOLE = 4, 5
-#: One of SHARE documents is counted for the order, and the COMMON most frequent shingles are kept.
-SHARE, COMMON = 8, 50_000
-#: Groups of a shingle above this size are first compared with their centres; places of the filter of texts.
-LARGE, PLACES = 32, 1 << 22
-_MEMO, _SLICE = 100_000, 1000
-
-
-class _Words(dict):
-    """A word's hash, computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= _MEMO:
-            self.clear()
-        self[word] = made = xxh64_intdigest(word, SEED)
-        return made
-
-
-def shingles(text: str | None, words: _Words) -> np.ndarray:
-    """Distinct hashes of a text's shingles, in order."""
-    found = (text or "").encode().lower().split()
-    ids = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    size = min(SHINGLE, len(ids))
-    n = len(ids) - size + 1 if size else 0
-    key = np.full(n, size, np.uint64)
-    for k in range(size):
-        key = (key ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
-    return np.unique(key)
-
-
-def prefix_size(n: int) -> int:
-    return n + (-PART * n // WHOLE) + 1 if n else 0
-
-
-def _lists(sets: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in small parts, which bounds a worker's memory."""
-    return (batch.slice(i, _SLICE) for i in range(0, batch.num_rows, _SLICE))
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
-    for batch in batches:
-        for part in _slices(batch):
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t.as_py(), words) for t in part.column(1)])], ["key", "found"])
-
-
-def _mark(common):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        words, (tokens, counts) = _Words(), common.value
-        for batch in (part for whole in batches for part in _slices(whole)):
-            keys, sizes, first = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), []
-            weight = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column(2)):
-                found = shingles(text.as_py(), words)
-                keys[i], sizes[i] = xxh64_intdigest(found.tobytes(), SEED), len(found)
-                often = np.zeros(len(found), np.int64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-                    often = np.where(tokens[at] == found, counts[at], 0)
-                order = np.argsort(often, kind="stable")[: prefix_size(len(found))]
-                first.append(found[order])
-                if len(order):
-                    weight[i] = often[order].mean()
-            columns = [batch.column(0), batch.column(1), pa.array(keys.view(np.int64)), pa.array(sizes), _lists(first), pa.array(weight)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "key", "n", "first", "weight"])
-
-    return run
-
-
-def content() -> Column:
-    """Names a text; rows of one text share it."""
-    return F.xxhash64("text")
-
-
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a share of the documents, in order, and their counts."""
-    part = docs.select(content().alias("key"), "text").where(F.pmod("key", F.lit(SHARE)) == 0)
-    counts = part.mapInArrow(_sets, "key long, found array<long>").select(F.explode("found").alias("token")).groupBy("token").count()
-    top = counts.where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
-    tokens = top.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], top.column("count").to_numpy()[order]
-
-
-def _fits(a: str, b: str) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return WHOLE * F.least(a, b) >= PART * F.greatest(a, b)
-
-
-def _chosen(places):
-    """Sets of the texts whose hash has a place in the filter, so that no other text moves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = _Words(), set()
-        for batch in (part for whole in batches for part in _slices(whole)):
-            names = batch.column(0).to_numpy()
-            at = [i for i in np.flatnonzero(places.value[names & (PLACES - 1)]).tolist() if names[i] not in seen]
-            seen.update(names[at].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(names[at]), _lists([shingles(batch.column(1)[i].as_py(), words) for i in at])], ["content", "found"])
-
-    return run
+__all__ = ["LEAST", "content", "near_copies"]
 
+#: The least similarity as a fraction, which keeps comparisons exact.
+LEAST = (4, 5)
 
-def _verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    named = materialize(marked.groupBy("key").agg(F.min("content").alias("content")).join(keys, "key"), "named")
-    places = np.zeros(PLACES, bool)
-    places[named.select(F.col("content").bitwiseAND(PLACES - 1).alias("at")).distinct().toArrow().column("at").to_numpy()] = True
-    held = docs.sparkSession.sparkContext.broadcast(places)
-    found = docs.select(content().alias("content"), "text").mapInArrow(_chosen(held), "content long, found array<long>")
-    sets = materialize(found.join(named, "content").dropDuplicates(["key"]).select("key", "found"), "sets")
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("found").alias(f"found_{side}")), side)
-    both, common = F.size("found_a") + F.size("found_b"), F.size(F.array_intersect("found_a", "found_b"))
-    return pairs.where(common * (PART + WHOLE) >= both * PART).select("a", "b")
 
+def fingerprint_pairs(docs: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints operator 7 links, as a forest.
 
-def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links (a, b) of keys that connect all pairs of similarity 0.8 or more, and no others."""
-    index = marked.dropDuplicates(["key"]).select("key", "n", "weight", F.posexplode("first").alias("at", "token"))
-    index = index.withColumn("early", F.col("at") <= F.floor(F.col("n") / (PART + WHOLE)))  # within what a smaller set needs
-    group = Window.partitionBy("token")
-    own = F.struct("key", "n")
-    marks = {"df": F.count("*").over(group), "any": F.max("early").over(group), "low": F.min(own).over(group), "hub": F.max(F.struct("weight", own.alias("own"))).over(group)["own"]}
-    shared = index.withColumns(marks).where("df > 1 AND any").drop("weight", "any")
-    shared = materialize(shared.withColumns({c: F.when(F.col("df") > LARGE, F.col(c)) for c in ("low", "hub")}).drop("df"), "shared")
-    pairs = shared.where("low IS NOT NULL").select(own.alias("x"), F.explode(F.array("low", "hub")).alias("y"))
-    pairs = pairs.where((F.col("x.key") != F.col("y.key")) & _fits("x.n", "y.n"))
-    centred = materialize(pairs.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct(), "centred")
-    near = materialize(_verified(centred, docs, marked), "near")
-    roots = connected(near).withColumnRenamed("node", "key")
-    rooted = shared.select("token", "key", "n", "at", "early").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = rooted.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group)}).where("least <> most").drop("least", "most")
-    x, y = mixed.alias("x"), mixed.where("early").alias("y")
-    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.key") < F.col("x.key")))
-    # Common shingles come before the shared one in both sets, or from it on.
-    most = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    enough = most * (PART + WHOLE) >= (F.col("x.n") + F.col("y.n")) * PART
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & smaller & _fits("x.n", "y.n") & enough)
-    counts = [F.count("*").alias("met"), F.max("x.at").alias("x_at"), F.max("y.at").alias("y_at"), F.min("x.n").alias("x_n"), F.min("y.n").alias("y_n")]
-    met = met.groupBy(F.col("x.key").alias("x"), F.col("y.key").alias("y")).agg(*counts)
-    # Up to the last shared one all common shingles are met; behind it lies the rest.
-    most = F.col("met") + F.least(F.expr("x_n - x_at - 1"), F.expr("y_n - y_at - 1"))
-    able = met.where(most * (PART + WHOLE) >= F.expr("x_n + y_n") * PART).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    rest = materialize(able.join(centred, ["a", "b"], "left_anti"), "rest")
-    return near.unionByName(_verified(rest, docs, marked))
+    Sets of one fingerprint pair with the least of them, and these as the search links them.
+    """
+    marks = simhash.fingerprints(docs.select(content().alias("doc_id"), "text"), size=SHINGLE).select(F.col("doc_id").alias("content"), "fp")
+    names = join.marked.groupBy("name").agg(F.min("content").alias("content")).join(join.sets.select("key", "name"), "name")
+    keyed = materialize(names.join(marks.groupBy("content").agg(F.min("fp").alias("fp")), "content").select("key", "fp"), "keyed")
+    first = materialize(keyed.groupBy("fp").agg(F.min("key").alias("first")), "firsts")
+    same = keyed.join(first, "fp").where("key <> first").select(F.col("key").alias("x"), F.col("first").alias("y"))
+    found = simhash.link_fingerprints(first.select("fp"))
+    for side, name in (("a", "x"), ("b", "y")):
+        found = found.join(first.select(F.col("fp").alias(side), F.col("first").alias(name)), side)
+    both = same.unionByName(found.select("x", "y"))
+    return materialize(both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "fingerprint_pairs")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, content, root): rows of one root are copies."""
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs))
-    rows = docs.select("doc_id", content().alias("content"), "text")
-    marked = materialize(rows.mapInArrow(_mark(common), "doc_id long, content long, key long, n int, first array<long>, weight double"), "marked")
-    roots = connected(links(docs, marked)).withColumnRenamed("node", "key")
-    return materialize(marked.select("doc_id", "content", "key").join(roots, "key", "left").select("doc_id", "content", F.coalesce("root", "key").alias("root")), "classes")
+    join = Join(docs, LEAST, RECALL)
+    join.add(fingerprint_pairs(docs, join))
+    return join.classes().select("doc_id", "content", "root")

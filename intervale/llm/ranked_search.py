@@ -1,7 +1,7 @@
 """Operator 13: ranked lexical search over a clustered index, documents reordered by
 recursive graph bisection.
 
-A bounded sample of documents is bisected again and again: each half keeps the documents
+A bounded sample of documents, with some terms of each, is bisected again and again: each half keeps the documents
 whose terms are frequent in it, by swapping those that gain most under the log-gap cost of
 the halves' term counts. The halves' counts form a tree; every document of the corpus goes
 down it by the same cost and ends in a leaf. Leaves are cut into clusters of bounded size,
@@ -40,8 +40,8 @@ from .common import materialize
 
 TERM_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K = 10
-#: Documents that fit the tree; documents and postings that a cluster should hold; leaves of the tree at most.
-TREE_SAMPLE, CLUSTER, POSTINGS, MAX_LEAVES = 4096, 512, 200_000, 64
+#: Documents that fit the tree, and terms of each; documents and postings that a cluster should hold; leaves of the tree at most.
+TREE_SAMPLE, SAMPLE_TERMS, CLUSTER, POSTINGS, MAX_LEAVES = 2048, 128, 512, 200_000, 64
 #: Rounds of swaps of a bisection; smallest set that is bisected; terms that tell halves apart, a node.
 ROUNDS, SMALLEST, NODE_TERMS = 8, 32, 4096
 #: Clusters that each query visits first.
@@ -224,7 +224,11 @@ class Index:
         rows = forward(docs)
         self.total, self.length, postings = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
         leaves = max(1, min(MAX_LEAVES, self.total // CLUSTER))
-        sample = [r.terms for r in rows.orderBy(F.xxhash64("doc_id", "n", "terms"), "doc_id").select(F.slice("terms", 1, 1024).alias("terms")).limit(TREE_SAMPLE).collect()]
+        # About twice the sample by hash, then the least hashes of it; of a document the terms of least hash.
+        mark = F.xxhash64("doc_id", "n", "terms")
+        told = F.slice(F.array_sort(F.transform("terms", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), 1, SAMPLE_TERMS)["t"]
+        few = rows.select("terms", mark.alias("mark")).where(F.pmod("mark", F.lit(max(1, self.total // (2 * TREE_SAMPLE)))) == 0)
+        sample = few.select("mark", told.alias("terms")).orderBy("mark", "terms").limit(TREE_SAMPLE).toArrow().column("terms").to_pylist()
         self.tree = Tree(sample, leaves)
         held = self.spark.sparkContext.broadcast(self.tree)
         routed = materialize(rows.mapInArrow(_route(held), f"leaf int, {'doc_id long, n long, terms array<string>, tfs array<int>'}"), "routed")

@@ -87,7 +87,7 @@ def test_chosen_path_branches_large_nodes(spark, monkeypatch):
             monkeypatch.setattr(chosen_path, name, value)
         got = joined(spark, texts)
         assert [got[i].component_id for i in range(len(texts))] == want
-    assert calls[:2] == [0, 1]
+    assert calls.count(1) == 2 and 2 in calls
 
 
 def test_chosen_path_repeats_and_nulls(spark):

@@ -194,3 +194,34 @@ def test_the_mix_comes_in_the_order_of_the_schedule(spark, smallest):
     for s, n in ordered:  # the share of every source is near its own at every place
         met[s], near = met[s] + n, near + n
         assert all(abs(met[k] - near * v / total) < 3 * longest + 3 * 1024 for k, v in whole.items())
+
+
+def test_the_order_of_the_mix_lasts_to_the_end(spark, tmp_path, monkeypatch):
+    """What the schedule puts first comes first in the files of ``run``."""
+    docs, labels = corpus(random.Random(22))
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    mixed = []
+
+    def keeps(spark, docs, sf_dir):
+        made = materialize(corpus_pipeline.mix_sources(spark, docs, sf_dir), "kept")
+        mixed.extend(r.doc_id for r in corpus_pipeline.placed(made).orderBy("place").collect())
+        return corpus_pipeline.mix_sources(spark, docs, sf_dir)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, keeps if n == "mixing" else f) for n, f in corpus_pipeline.STAGES])
+    made = corpus_pipeline.run(spark, str(tmp_path))
+    rows = [(r.place, r.doc_id) for r in made.collect()]
+    assert [p for p, _ in rows] == list(range(len(mixed))) and [i for _, i in rows] == mixed != sorted(mixed)
+
+
+def test_fingerprints_give_first_candidates(spark):
+    """Equal fingerprints of unlike texts make no link; near ones are confirmed on the sets."""
+    from intervale.llm import chosen_path, near_copies
+
+    long = [f"w{i}" for i in range(300)]
+    texts = [" ".join(long), " ".join([*long, "end"]), " ".join(["start", *long]), "other text of its own", "OTHER text of its own", None, ""]
+    docs = spark.createDataFrame(rows(texts), DOCS)
+    pairs = near_copies.fingerprint_pairs(docs, chosen_path.Join(docs, near_copies.LEAST))
+    assert 0 < pairs.count() <= 3
+    roots = {r.doc_id: r.root for r in near_copies.near_copies(docs).collect()}
+    assert roots[0] == roots[1] == roots[2] != roots[3] == roots[4] != roots[5] == roots[6]
