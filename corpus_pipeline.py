@@ -6,12 +6,13 @@ returns the columns of ``documents``, but for the last, which returns ids and te
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale import ship
 from intervale.llm import bpe, line_dedup, mixing, near_copies, toxicity
-from intervale.llm.common import shared_path, table
+from intervale.llm.common import materialize, shared_path, table
 from intervale.llm.queries import tokenizer_path
 
 
@@ -31,7 +32,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id stays.
 
-    Groups are what pairs with a five-word Jaccard similarity of 0.8 or more connect. Texts
+    Groups are what pairs with a five-word Jaccard similarity of 0.8 or more connect; SimHash
+    fingerprints give the first candidates, the chosen-path join the others. Texts
     that share a doc_id but no group stay both; of equal ids in a group, the least text hash
     and then the least row. Rows without a doc_id cannot be named and stay.
     """
@@ -55,9 +57,29 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(chosen, same).orderBy("_slot", "_at").select(*docs.columns)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``place``, the row's number in the order of its files and rows.
+
+    Files come by the number that their writer gave them. Rows that do not come straight
+    from Parquet files are stored, and numbered in the order of their partitions.
+    """
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return materialize(docs.withColumn("place", F.monotonically_increasing_id()), "placed")
+    number = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n")).withColumn("_number", number)
+    up = Window.orderBy("_number", "_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = materialize(files.select("_file", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before")), "files")
+    return rows.join(before, "_file").withColumn("place", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and their digests."""
-    return bpe.digests(bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json")))
+    """Token ids and their digests, in the order of the rows, which ``place`` numbers."""
+    rows = placed(docs).select("place", "doc_id", "text")
+    made = bpe.digests(bpe.encode_decode(rows.select(F.col("place").alias("doc_id"), "text"), tokenizer_path("word_bpe_49k.json")))
+    made = made.withColumnRenamed("doc_id", "place").join(rows.select("place", "doc_id"), "place")
+    return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "place").orderBy("place")
 
 
 STAGES = [
