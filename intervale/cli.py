@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ship
-from .operators.covset import Layout, parse_covset
+from .operators.covset import Layout, Subset, parse_covset
 from .operators.intervals import align
 from .plans import tree
 from .plans.engine import HG19, HG19_NEUTRAL, HG19_PRIOR_WEIGHT, Config, Database, Engine
+from .plans.growth_log import GrowthLog
 from .sources import readers, sinks
 
 
@@ -82,6 +83,8 @@ def arguments() -> argparse.ArgumentParser:
     t.add_argument("--chromosome", help="use one chromosome only")
     t.add_argument("--cells", nargs="+", required=True)
     t.add_argument("--levels", type=int, help="stop after so many levels; open nodes stay pending")
+    t.add_argument("--first-subset", metavar="TEMPLATE", help="grow from this subset of the genome, as in ANN:*:CTS:{rna;1,2}")
+    t.add_argument("--log", metavar="FOLDER", help="commit each level there, and go on from its last whole level")
     t.add_argument("--restart", metavar="NODES", help="go on from the pending nodes of a stored table")
     t.add_argument("--expected", action="store_true", help="score splits by expected gain too")
     c = kinds.add_parser("convert", help="turn a database's files into tables")
@@ -190,7 +193,11 @@ def grow(spark: SparkSession, a: argparse.Namespace) -> None:
     )
     before = tree.load_nodes(spark.read.parquet(a.restart), covset, HG19) if a.restart else None
     kept: dict[str, list[DataFrame]] = {}
-    nodes = tree.grow(spark, covset, align(ann, cells), engine.runs(whole), HG19, options, len(a.cells), before, a.levels, kept)
+    log = GrowthLog(spark, a.log) if a.log else None
+    first = Subset.parse(a.first_subset, covset) if a.first_subset else Subset()
+    nodes = tree.grow(spark, covset, align(ann, cells), engine.runs(whole), HG19, options, len(a.cells), before, a.levels, kept, first, log)
+    if log is not None:  # reports of levels that an earlier run has committed
+        kept = {name: [df.drop("level")] for name in kept if (df := log.read(name)) is not None}
     tree.node_table(spark, nodes, covset).write.mode("overwrite").parquet(f"{a.out}/nodes")
     for name, levels in kept.items():
         table = levels[0]

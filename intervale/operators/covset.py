@@ -199,3 +199,38 @@ def count_targets(aligned: DataFrame, targets: DataFrame) -> DataFrame:
     """
     hits = aligned.join(F.broadcast(targets), in_set(F.col("ann"), F.col("mask_ann")) & in_set(F.col("tagb"), F.col("mask_cts")))
     return hits.groupBy("subset_id", "chrom", "st", "en").agg(F.count("*").alias("n"))
+
+
+def row_values(covset: Covset, annotation: Layout, cells: Layout, ann: str = "ann", tagb: str = "tagb") -> Column:
+    """The covariates' values of a row of one-hot bits, as an array of (cov, value)."""
+    made = []
+    for layout, bits in ((annotation, F.col(ann)), (cells, F.col(tagb))):
+        for c in layout.covariates:
+            value = F.coalesce(*[F.when(bits.bitwiseAND(F.lit(1 << (i + layout.offsets[c.name]))) != 0, F.lit(i)) for i in range(c.top + 1)])
+            made.append(F.struct(F.lit(c.name).alias("cov"), value.alias("value")))
+    return F.array(*made)
+
+
+def count_values(aligned: DataFrame, nodes: DataFrame, covset: Covset, annotation: Layout, cells: Layout) -> DataFrame:
+    """Cells of each segment by node, covariate and single value: node_id, cov, value, chrom, st, en, n.
+
+    ``nodes`` (subset_id, mask_ann, mask_cts) are the open nodes of a level, which hold
+    no row in common. A row is looked at once for each covariate, however many sets of
+    values are to be tried: the counts of a set are sums of these.
+    """
+    hits = aligned.join(F.broadcast(nodes), in_set(F.col("ann"), F.col("mask_ann")) & in_set(F.col("tagb"), F.col("mask_cts")))
+    listed = hits.select(F.col("subset_id").alias("node_id"), "chrom", "st", "en", F.explode(row_values(covset, annotation, cells)).alias("v"))
+    return listed.groupBy("node_id", "v.cov", "v.value", "chrom", "st", "en").agg(F.count("*").alias("n"))
+
+
+def prefix_sums(values: DataFrame, ranks: DataFrame, measure: str, keys: list[str]) -> DataFrame:
+    """Sums over every cut of ordered values: node_id, cov, cut, side, ``keys``, ``measure``.
+
+    ``values`` has sums by (node_id, cov, value, ``keys``), ``ranks`` the order of each
+    covariate's values: node_id, cov, value, rank from 1 to ``top``. The set of a cut
+    (side s) holds the values up to it, the coset (side c) those after it.
+    """
+    ranked = values.join(F.broadcast(ranks), ["node_id", "cov", "value"])  # one row a value of an open node
+    cuts = ranked.where("top > 1").withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("top") - 1)))
+    sided = cuts.withColumn("side", F.when(F.col("rank") <= F.col("cut"), "s").otherwise("c"))
+    return sided.groupBy("node_id", "cov", "cut", "side", *keys).agg(F.sum(measure).alias(measure))

@@ -31,27 +31,88 @@ def _binned(df: DataFrame, width: int) -> DataFrame:
     return df.withColumn("_bin", F.explode(F.sequence(F.expr(f"st div {width}"), F.expr(f"(en - 1) div {width}"))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = 65_536, how: str = "inner") -> DataFrame:
+#: Bits of the narrowest bins' width, bits that each level adds, and the number of levels.
+BIN_BITS, LEVEL_BITS, BIN_LEVELS = 6, 3, 12
+
+
+def bin_level(length: Column) -> Column:
+    """The least level of bins as wide as the interval; such an interval touches two at most."""
+    level = F.lit(BIN_LEVELS - 1)
+    for j in reversed(range(BIN_LEVELS - 1)):
+        level = F.when(length <= F.lit(1 << (BIN_BITS + LEVEL_BITS * j)), j).otherwise(level)
+    return level
+
+
+def levels_of(df: DataFrame) -> list[int]:
+    """The levels that a table's intervals sit in, BIN_LEVELS numbers at most."""
+    return sorted(r[0] for r in df.where("st < en").select(bin_level(F.col("en") - F.col("st"))).distinct().collect())
+
+
+def _touched(level: int, code: int) -> Column:
+    """The bins of a level that an interval touches, each with the code of its kind of meeting."""
+    bits = BIN_BITS + LEVEL_BITS * level
+    return F.transform(F.sequence(F.expr(f"shiftright(st, {bits})"), F.expr(f"shiftright(en - 1, {bits})")), lambda b: F.struct(F.lit(code).alias("code"), b.cast("long").alias("bin")))
+
+
+def placed_bins(own: list[int], other: list[int], left: bool) -> Column:
+    """Where an interval meets those of the other side, as an array of (code, bin).
+
+    Two intervals meet at the level of the wider one. So an interval is in the bins of its
+    own level, for narrower ones, and in those that hold it at each wider level that the
+    other side has. Codes below BIN_LEVELS are meetings where the left one is not wider.
+    """
+    level, parts = bin_level(F.col("en") - F.col("st")), []
+    none = F.array().cast("array<struct<code:int,bin:bigint>>")
+    for j in range(BIN_LEVELS):
+        at_home = level == j
+        if left:
+            if j in other:  # the other is as wide or wider
+                parts.append(F.when(level <= j, _touched(j, j)).otherwise(none))
+            if j in own and any(k < j for k in other):
+                parts.append(F.when(at_home, _touched(j, BIN_LEVELS + j)).otherwise(none))
+        else:
+            if j in own and any(k <= j for k in other):
+                parts.append(F.when(at_home, _touched(j, j)).otherwise(none))
+            if j in other:
+                parts.append(F.when(level < j, _touched(j, BIN_LEVELS + j)).otherwise(none))
+    return F.concat(*parts) if parts else none
+
+
+_WHOLE = "st IS NOT NULL AND en IS NOT NULL AND st < en"
+#: The bin, at a meeting's level, of the position where two intervals begin to overlap.
+_FIRST = f"shiftright(greatest(st, r_st), {BIN_BITS} + {LEVEL_BITS} * pmod(_code, {BIN_LEVELS}))"
+
+
+def overlap_join(left: DataFrame, right: DataFrame, width: int | None = None, how: str = "inner", levels: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """Pairs of overlapping intervals, with columns of both and the shared part as st, en.
 
-    Both sides are cut into bins of ``width`` positions and joined on (chrom, bin),
-    so the work follows the overlaps and no task holds a chromosome. A pair is kept
-    in the first bin that both touch. Columns of ``right`` that clash get the prefix
-    ``r_``. ``left_semi`` and ``left_anti`` keep rows of ``left``.
+    Intervals sit in a tree of bins, each at the level that is as wide as it, and meet on
+    (chrom, level, bin) with those of its level and of the others; so a long interval is
+    not cut up, the plan is an equi-join, and the rows of the join follow the overlaps and
+    the levels. Which levels the sides have is looked up first, unless ``levels`` tells.
+    With ``width`` all bins have that width instead. A pair is kept in the first bin that
+    both touch. Columns of ``right`` that clash get the prefix ``r_``. ``left_semi`` and
+    ``left_anti`` keep rows of ``left``.
 
     Defined cases: empty intervals and null bounds match nothing; overlapping or
     repeated intervals pair each with each; unknown chromosomes match nothing.
     """
-    whole = F.col("st").isNotNull() & F.col("en").isNotNull() & (F.col("st") < F.col("en"))
-    names = {c: f"r_{c}" if c in left.columns else c for c in right.columns}
-    r = _binned(right.where(whole), width).select("_bin", *[F.col(c).alias(n) for c, n in names.items()])
     if how != "inner":
-        flagged = overlap_flags(left, right, width)
+        flagged = overlap_flags(left, right, width, levels)
         return flagged.where(F.col("hit") == (how == "left_semi")).drop("hit")
-    l = _binned(left.where(whole), width)  # noqa: E741
-    on = [l["_bin"] == r["_bin"], l["chrom"] == r["r_chrom"], l["st"] < r["r_en"], r["r_st"] < l["en"]]
-    pairs = l.join(r.withColumnRenamed("_bin", "_rbin"), on=[l["_bin"] == F.col("_rbin"), *[c for c in on[1:]]])
-    pairs = pairs.where(F.col("_bin") == F.expr(f"greatest(st, r_st) div {width}"))
+    names = {c: f"r_{c}" if c in left.columns else c for c in right.columns}
+    l, r = left.where(_WHOLE), right.where(_WHOLE)  # noqa: E741
+    if width:
+        l, r = _binned(l, width).withColumn("_code", F.lit(0)), _binned(r, width).withColumn("_code", F.lit(0))  # noqa: E741
+        first = f"greatest(st, r_st) div {width}"
+    else:
+        own, other = levels or (levels_of(l), levels_of(r))
+        place = lambda df, bins: df.withColumn("_at", F.explode(bins)).withColumns({"_code": F.col("_at.code"), "_bin": F.col("_at.bin")}).drop("_at")
+        l, r = place(l, placed_bins(own, other, True)), place(r, placed_bins(other, own, False))  # noqa: E741
+        first = _FIRST
+    r = r.select(F.col("_bin").alias("_rbin"), F.col("_code").alias("_rcode"), *[F.col(c).alias(n) for c, n in names.items()])
+    on = [l["_bin"] == F.col("_rbin"), l["_code"] == F.col("_rcode"), l["chrom"] == r["r_chrom"], l["st"] < r["r_en"], r["r_st"] < l["en"]]
+    pairs = l.join(r, on=on).where(F.col("_bin") == F.expr(first))
     others = [F.col(c) for c in left.columns if c not in ("st", "en")]
     return pairs.select(
         *others,
@@ -61,18 +122,23 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 65_536, how: st
     )
 
 
-def overlap_flags(left: DataFrame, right: DataFrame, width: int = 65_536) -> DataFrame:
+def overlap_flags(left: DataFrame, right: DataFrame, width: int | None = None, levels: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """Rows of ``left`` and whether any interval of ``right`` overlaps them, as ``hit``.
 
     Equal rows are counted first and given back in their number, so one join on bins and
     one aggregate per row answer for all; empty intervals and null bounds have no hit.
     """
-    whole = F.col("st").isNotNull() & F.col("en").isNotNull() & (F.col("st") < F.col("en"))
     rows = left.groupBy(*left.columns).agg(F.count("*").alias("_copies"))
-    bins = F.when(whole, F.sequence(F.expr(f"st div {width}"), F.expr(f"(en - 1) div {width}")))
-    cut = rows.withColumn("_bin", F.explode_outer(bins))
-    r = _binned(right.where(whole).select("chrom", "st", "en"), width).distinct().select(*[F.col(c).alias(f"_r_{c.strip('_')}") for c in ("chrom", "st", "en", "_bin")])
-    on = (F.col("_bin") == F.col("_r_bin")) & (F.col("chrom") == F.col("_r_chrom")) & (F.col("st") < F.col("_r_en")) & (F.col("_r_st") < F.col("en"))
+    r = right.where(_WHOLE).select("chrom", "st", "en")
+    if width:
+        uniform = F.transform(F.sequence(F.expr(f"st div {width}"), F.expr(f"(en - 1) div {width}")), lambda b: F.struct(F.lit(0).alias("code"), b.cast("long").alias("bin")))
+        bins = own_bins = uniform
+    else:
+        own, other = levels or (levels_of(left.where(_WHOLE)), levels_of(r))
+        bins, own_bins = placed_bins(own, other, True), placed_bins(other, own, False)
+    cut = rows.withColumn("_at", F.explode_outer(F.when(F.expr(_WHOLE), bins)))
+    r = r.withColumn("_at", F.explode(own_bins)).distinct().select(*[F.col(c).alias(f"_r_{c.strip('_')}") for c in ("chrom", "st", "en", "_at")])
+    on = (F.col("_at.bin") == F.col("_r_at.bin")) & (F.col("_at.code") == F.col("_r_at.code")) & (F.col("chrom") == F.col("_r_chrom")) & (F.col("st") < F.col("_r_en")) & (F.col("_r_st") < F.col("en"))
     found = cut.join(r, on, "left").groupBy(*left.columns, "_copies").agg(F.max(F.col("_r_st").isNotNull()).alias("hit"))
     return found.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copies")
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.model import Params
 from ..operators import grid as g
 from ..operators import patterns, sites
-from ..operators.intervals import locate, overlap_join, positions
+from ..operators.intervals import levels_of, locate, overlap_join, positions
+from ..sources.clustered import stretches, within
 from . import fit as f
 
 # Genome-wide prior means and their weight in pseudo-sites, for all sites and for neutral ones.
@@ -68,6 +69,13 @@ class Engine:
         self.db = db
         codes = db.dictionary.select("idx", "p")  # at most 256 codes
         self._codes = F.broadcast(codes)
+        self._found: dict[str, list[int]] = {}
+
+    def _levels(self, table: str) -> list[int]:
+        """The levels of bins that a table's intervals sit in, looked up once."""
+        if table not in self._found:
+            self._found[table] = levels_of(getattr(self.db, table))
+        return self._found[table]
 
     def _decoded(self, df: DataFrame) -> DataFrame:
         a = self._codes.select(F.col("idx").alias("maj_idx"), F.col("p").alias("x_maj"))
@@ -78,13 +86,17 @@ class Engine:
         """Runs of sites of one block, class and pattern under the loci.
 
         Columns: block_id, chrom, st, en, cls, maj_idx, min_idx, weight, len. A pair of
-        overlapping loci counts the sites that they share twice.
+        overlapping loci counts the sites that they share twice. A filter on the loci's
+        stretches goes to the scans, which skip what lies outside where tables are clustered.
         """
-        under = overlap_join(loci.select("chrom", "st", "en", "weight"), self.db.blocks.select("chrom", "st", "en", "block_id"))
+        held = within(stretches(loci))
+        levels = levels_of(loci)
+        under = overlap_join(loci.select("chrom", "st", "en", "weight"), self.db.blocks.where(held).select("chrom", "st", "en", "block_id"), levels=(levels, self._levels("blocks")))
         under = under.select("chrom", "st", "en", "weight", "block_id")
-        mono = overlap_join(under, self.db.mono.where("idx <> 0"))
+        shared = list(range(max(levels, default=0) + 1))  # what is cut out of loci is not longer than they are
+        mono = overlap_join(under, self.db.mono.where("idx <> 0").where(held), levels=(shared, self._levels("mono")))
         mono = mono.select("block_id", "chrom", "st", "en", F.lit("M").alias("cls"), F.col("idx").alias("maj_idx"), F.lit(None).cast("short").alias("min_idx"), "weight")
-        poly = overlap_join(under, self.db.polys)
+        poly = overlap_join(under, self.db.polys.where(held), levels=(shared, self._levels("polys")))
         poly = poly.select("block_id", "chrom", "st", "en", F.col("freq").alias("cls"), "maj_idx", "min_idx", "weight")
         return mono.unionByName(poly).withColumn("len", F.col("en") - F.col("st"))
 

@@ -20,6 +20,8 @@ NAMES = ("rho", "eta", "gamma")
 RHO_LIMITS, ETA_TOP, GAMMA_TOP, WIDEST = (0.001, 0.999), 2.0, 5.0, 600.0
 #: Up to this many coefficient rows (6 numbers each) the steps run on the driver; above it each step is a job.
 LOCAL_ROWS = 200_000
+#: Points of a bracket whose derivatives one job sums.
+BRACKET = 40
 
 
 @dataclass
@@ -50,8 +52,9 @@ def beta2(neutral: DataFrame, prior: float, prior_weight: float) -> float:
 def beta3(neutral: DataFrame, b2: float, prior: Params, prior_weight: float, start: float | None = None) -> float:
     """beta3 by maximum likelihood on neutral low-frequency patterns (x_maj, x_min, lambda, n).
 
-    The log-likelihood is a sum of n ln(A b + B), concave in b, so Newton steps kept
-    within a shrinking bracket find the maximum on [0, 1 - beta2].
+    The log-likelihood is a sum of n ln(A b + B), concave in b, so its derivative falls.
+    Each job takes the derivative at BRACKET points of the interval that holds its zero,
+    and the next interval is the one between two of them; ``start`` has no bearing.
     """
     third = F.col("lambda") / 3.0
     minor = F.col("x_min") * (1.0 - F.col("lambda")) + F.col("x_maj") * third
@@ -65,21 +68,15 @@ def beta3(neutral: DataFrame, b2: float, prior: Params, prior_weight: float, sta
         ma = x_maj * (1 - pb.lam) + x_min * pb.lam / 3
         pseudo.append((x_min * (1 - pb.lam) + x_maj * pb.lam / 3 - ma, ma * (1 - b2), prior_weight * share))
     low, high = 0.0, 1.0 - b2
-    b = min(max(start if start is not None else prior.beta3, 1e-6), high - 1e-6)
-    for _ in range(60):
-        p = F.greatest(F.col("A") * b + F.col("B"), F.lit(1e-300))
-        s = rows.agg(F.sum(F.col("n") * F.col("A") / p).alias("d"), F.sum(F.col("n") * F.pow(F.col("A") / p, 2)).alias("h")).first()
-        d = (s.d or 0.0) + sum(n * a / max(a * b + c, 1e-300) for a, c, n in pseudo)
-        h = (s.h or 0.0) + sum(n * (a / max(a * b + c, 1e-300)) ** 2 for a, c, n in pseudo)
-        low, high = (b, high) if d > 0 else (low, b)
-        step = b + d / h if h > 0 else (low + high) / 2
-        new = step if low < step < high else (low + high) / 2
-        if abs(new - b) < 1e-10:
-            b = new
-            break
-        b = new
+    while high - low > 1e-11:
+        points = np.linspace(low, high, BRACKET + 2)[1:-1].tolist()
+        sums = rows.agg(*[F.sum(F.col("n") * F.col("A") / F.greatest(F.col("A") * b + F.col("B"), F.lit(1e-300))).alias(f"d{i}") for i, b in enumerate(points)]).first()
+        slopes = [(sums[i] or 0.0) + sum(n * a / max(a * b + c, 1e-300) for a, c, n in pseudo) for i, b in enumerate(points)]
+        rising = sum(d > 0 for d in slopes)
+        edges = [low, *points, high]
+        low, high = edges[rising], edges[rising + 1]
     rows.unpersist()
-    return b
+    return (low + high) / 2
 
 
 def coefficient_rows(patterns: DataFrame, p: Params, keys: list[str] = [], scale: float = 1.0) -> DataFrame:  # noqa: B006

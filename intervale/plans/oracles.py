@@ -47,6 +47,15 @@ SITES = """sites AS (SELECT l_suppkey AS block_id, CASE l_returnflag WHEN 'A' TH
   0.001::DOUBLE + 0.00001::DOUBLE * l_linenumber AS theta, l_quantity::BIGINT AS weight, 1::BIGINT AS len, l_discount, l_tax, l_linenumber FROM lineitem)"""
 
 
+#: The model of the planted sites; their cells' shares, summed up, stand in the text.
+PLANTED = Params(0.3, 1.0, 1.0, 0.06, 0.03)
+PLANTED_SITES = """sites AS (SELECT left(cell, 1) AS cls, CASE right(cell, 1) WHEN 'a' THEN 1.0::DOUBLE - l_discount / 50 WHEN 'i' THEN 0.0::DOUBLE ELSE (l_tax + 0.01::DOUBLE) / 20 END AS x_maj,
+  CASE right(cell, 1) WHEN 'a' THEN 0.0::DOUBLE WHEN 'i' THEN 1.0::DOUBLE - l_discount / 50 ELSE (l_tax + 0.01::DOUBLE) / 20 END AS x_min,
+  0.048::DOUBLE + 0.003::DOUBLE * l_linenumber AS lam, 0.026::DOUBLE + 0.001::DOUBLE * l_linenumber AS theta, 1::BIGINT AS weight, 1::BIGINT AS len FROM (
+  SELECT *, CASE WHEN u < 0.80186 THEN 'Ma' WHEN u < 0.85139 THEN 'Mo' WHEN u < 0.97219 THEN 'La' WHEN u < 0.97806 THEN 'Li' WHEN u < 0.98108 THEN 'Lo' WHEN u < 0.99016 THEN 'Ha' WHEN u < 0.99924 THEN 'Hi' ELSE 'Ho' END AS cell
+  FROM (SELECT *, ((l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31 + l_suppkey * 17) % 100003) / 100003.0::DOUBLE AS u FROM lineitem)))"""
+
+
 def _num(x: float) -> str:
     return f"({x!r})::DOUBLE"
 
@@ -168,6 +177,39 @@ w AS (SELECT block_id, cls, {', '.join(f'{x} AS w_{k}' for k, x in cases.items()
 SELECT block_id, cls, {', '.join(_r(f'w_{k} / ({total})', 8, f'p_{k}') for k in cases)} FROM w"""
 
 
+def _prior_coefficients(p: Params) -> str:
+    """The pseudo-sites as coefficient rows, under pco."""
+    own = _coefficients(p).split(",\ncc AS", 1)[1]
+    return "pcc AS" + own.replace("FROM pat)", "FROM ppat)").replace("FROM cc)", "FROM pcc)").replace("co AS (", "pco AS (", 1)
+
+
+def _fit_interior(p: Params) -> str:
+    """Newton steps on the sums of gradient and Hessian, a step a row of the recursion; errors by the adjugate."""
+    a, t, lam = _num(watterson(p.alleles)), _num(p.theta * watterson(p.alleles)), _num(p.lam)
+    at = "(c + rho * (r + eta * e + gamma * q + eta * gamma * k))"
+    one, two, three = "(r + eta * e + gamma * q + eta * gamma * k)", "(rho * (e + gamma * k))", "(rho * (q + eta * k))"
+    pair = lambda x, y, own: f"sum(n * ({x} * {y} / ({at} * {at}) - ({own}) / {at}))"
+    sums = f"""sum(-n * {one} / {at}) AS d1, sum(-n * {two} / {at}) AS d2, sum(-n * {three} / {at}) AS d3, {pair(one, one, '0.0')} AS h11, {pair(one, two, 'e + gamma * k')} AS h12,
+    {pair(one, three, 'q + eta * k')} AS h13, {pair(two, two, '0.0')} AS h22, {pair(two, three, 'rho * k')} AS h23, {pair(three, three, '0.0')} AS h33"""
+    adjugate = {"11": "h22 * h33 - h23 * h23", "12": "h13 * h23 - h12 * h33", "13": "h12 * h23 - h13 * h22", "22": "h11 * h33 - h13 * h13", "23": "h12 * h13 - h11 * h23", "33": "h11 * h22 - h12 * h12"}
+    det = f"(h11 * ({adjugate['11']}) + h12 * ({adjugate['12']}) + h13 * ({adjugate['13']}))"
+    step = lambda i: " + ".join(f"({adjugate[''.join(sorted(f'{i}{j}'))]}) * d{j}" for j in (1, 2, 3))
+    v = ", ".join(f"({x}) / {det} AS v{k}" for k, x in adjugate.items())
+    root = lambda x, y, z: f"sqrt({x} * {x} * v11 + {y} * {y} * v22 + {z} * {z} * v33 + 2 * ({x} * {y} * v12 + {x} * {z} * v13 + {y} * {z} * v23))"
+    shown = {"rho": "rho", "eta": "eta", "gamma": "gamma", "rho_err": "sqrt(v11)", "eta_err": "sqrt(v22)", "gamma_err": "sqrt(v33)", "dp": "dp", "pw": "pw", "alpha": "alpha", "tau": "tau"}
+    shown |= {"dp_err": f"dp * {root('(1 / rho)', '(1 / eta)', '0.0')}", "pw_err": f"pw * {root('(1 / rho)', f'(-{lam} / (1 - eta * {lam}))', '(1 / gamma)')}"}
+    shown |= {"alpha_err": f"alpha * alpha * {root('(1 / (rho * rho * eta))', '((1 - rho) / (rho * eta * eta))', '0.0')}", "tau_err": f"tau * tau * {root('(1 / (rho * rho * gamma))', '0.0', '((1 - rho) / (rho * gamma * gamma))')}"}
+    shown |= {"nll": "nll", "nll_prior": "nll_prior"}
+    return f"""WITH RECURSIVE {PLANTED_SITES}, {_coefficients(p)}, ppat AS (SELECT *, theta * {a} AS t FROM ({_pseudo(p)}) v), {_prior_coefficients(p)},
+al AS (SELECT n, c, r, e, g AS q, k FROM co UNION ALL SELECT n, c, r, e, g, k FROM pco WHERE n > 0),
+it AS (SELECT 0 AS i, 0.4::DOUBLE AS rho, 0.8::DOUBLE AS eta, 0.9::DOUBLE AS gamma UNION ALL
+  SELECT i + 1, rho - ({step(1)}) / {det}, eta - ({step(2)}) / {det}, gamma - ({step(3)}) / {det} FROM (SELECT i, rho, eta, gamma, {sums} FROM it, al WHERE i < 25 GROUP BY i, rho, eta, gamma)),
+f AS (SELECT rho, eta, gamma FROM it WHERE i = 25), h AS (SELECT rho, eta, gamma, sum(-n * ln({at})) AS nll_prior, {sums} FROM f, al GROUP BY ALL),
+o AS (SELECT sum(-n * ln({at})) AS nll FROM f, (SELECT n, c, r, e, g AS q, k FROM co)),
+x AS (SELECT *, {v}, 1000 * rho * eta * {lam} AS dp, 1000 * rho * gamma * {t} * (1 - eta * {lam}) AS pw, 1 / (1 + (1 - rho) / (rho * eta)) AS alpha, 1 / (1 + (1 - rho) / (rho * gamma)) AS tau FROM h, o)
+SELECT {', '.join(_r(y, 3 if k[:2] in ('dp', 'pw', 'nl') else 5, k) for k, y in shown.items())}, greatest(abs(d1), abs(d2), abs(d3)) < 0.001 AND h11 > 0 AND {det} > 0 AS converged FROM x"""
+
+
 def _pseudo(p: Params) -> str:
     """The prior's pseudo-sites: cls, x_maj, x_min, lam, theta and n."""
     t = _num(p.theta * watterson(p.alleles))
@@ -186,19 +228,22 @@ def _axis(low: float, high: float, steps: int, focus: tuple[float, float] | None
     return f"SELECT v, CASE WHEN {near[0]} IS NULL THEN ({near[1]} - v) / 2 WHEN {near[1]} IS NULL THEN (v - {near[0]}) / 2 ELSE ({near[1]} - {near[0]}) / 2 END AS w FROM ({parts})"
 
 
-def _grid(p: Params) -> str:
-    """The posterior's cells: rho, eta, gamma, widths, data_nll, prior_nll, log_prior, log_post."""
+def _grid(p: Params, sites: str | None = None, axes: tuple[str, str, str] | None = None, scale: float = 1.0) -> str:
+    """The posterior's cells: rho, eta, gamma, widths, data_nll, prior_nll, log_prior, log_post.
+
+    A site and a pseudo-site count ``scale`` times.
+    """
     edge, top = 1e-9, 10 - 1e-9
+    axes = axes or (_axis(edge, 1 - 1e-9, 6, (0.3, 0.2)), _axis(edge, top, 5), _axis(edge, top, 5))
     cell = "CASE WHEN {0} < 0 OR {0} > 1 THEN " + _num(TINY) + " ELSE {0} END"
     prob = "(c + g.rho * (r + g.eta * e + g.gamma * q + g.eta * g.gamma * k))"
-    own = _coefficients(p).split(",\ncc AS", 1)[1]
-    prior = "pcc AS" + own.replace("FROM pat)", "FROM ppat)").replace("FROM cc)", "FROM pcc)").replace("co AS (", "pco AS (", 1)
+    prior = _prior_coefficients(p)
     a = _num(watterson(p.alleles))
-    return f"""{SITES}, {_coefficients(p)}, ppat AS (SELECT *, theta * {a} AS t FROM ({_pseudo(p)}) v), {prior},
-rr AS ({_axis(edge, 1 - 1e-9, 6, (0.3, 0.2))}), ee AS ({_axis(edge, top, 5)}), gg AS ({_axis(edge, top, 5)}),
+    return f"""{sites or SITES}, {_coefficients(p)}, ppat AS (SELECT *, theta * {a} AS t FROM ({_pseudo(p)}) v), {prior},
+rr AS ({axes[0]}), ee AS ({axes[1]}), gg AS ({axes[2]}),
 g AS (SELECT rr.v AS rho, ee.v AS eta, gg.v AS gamma, rr.w AS d_rho, ee.w AS d_eta, gg.w AS d_gamma, ln(rr.w) + ln(ee.w) + ln(gg.w) AS log_size FROM rr, ee, gg),
-dn AS (SELECT rho, eta, gamma, sum(-n * ln({cell.format(prob)})) AS data_nll FROM g, (SELECT n, c, r, e, g AS q, k FROM co) x GROUP BY ALL),
-pn AS (SELECT rho, eta, gamma, sum(-n * ln({cell.format(prob)})) AS prior_nll FROM g, (SELECT n, c, r, e, g AS q, k FROM pco WHERE n > 0) x GROUP BY ALL),
+dn AS (SELECT rho, eta, gamma, {scale!r} * sum(-n * ln({cell.format(prob)})) AS data_nll FROM g, (SELECT n, c, r, e, g AS q, k FROM co) x GROUP BY ALL),
+pn AS (SELECT rho, eta, gamma, {scale!r} * sum(-n * ln({cell.format(prob)})) AS prior_nll FROM g, (SELECT n, c, r, e, g AS q, k FROM pco WHERE n > 0) x GROUP BY ALL),
 u AS (SELECT *, log_size - prior_nll AS lp FROM g JOIN dn USING (rho, eta, gamma) JOIN pn USING (rho, eta, gamma)),
 v AS (SELECT *, lp - (SELECT max(lp) FROM u) - ln((SELECT sum(exp(lp - m)) FROM u, (SELECT max(lp) AS m FROM u))) AS log_prior FROM u),
 w AS (SELECT *, log_prior - data_nll AS lq FROM v),
@@ -242,6 +287,10 @@ def oracle_sql() -> dict[str, str]:
     p, made = P, {}
     made["overlap_join"] = f"""WITH {LOCI}, {BLOCKS} SELECT block_id, count(*) AS n, sum(least(l.en, b.en) - greatest(l.st, b.st))::BIGINT AS shared,
   sum((least(l.en, b.en) - greatest(l.st, b.st)) * weight)::BIGINT AS weighted FROM loci l JOIN blocks b ON l.chrom = b.chrom AND l.st < b.en AND b.st < l.en WHERE l.st < l.en GROUP BY ALL"""
+    made["mixed_lengths"] = f"""WITH l AS (SELECT (l_orderkey % 100)::VARCHAR AS chrom, {_DAYS.format('l_shipdate')} AS st, {_DAYS.format('l_shipdate')} + l_linenumber * CASE WHEN l_partkey % 10 = 0 THEN 400 ELSE 1 END AS en, l_quantity::INT AS weight FROM lineitem),
+b AS (SELECT (o_orderkey % 100)::VARCHAR AS chrom, {_DAYS.format('o_orderdate')} AS st, {_DAYS.format('o_orderdate')} + 1 + o_orderkey % 4 + CASE WHEN o_orderkey % 7 = 0 THEN 90 ELSE 0 END AS en, o_orderkey AS block_id FROM orders)
+SELECT block_id, count(*) AS n, sum(least(l.en, b.en) - greatest(l.st, b.st))::BIGINT AS shared, sum((least(l.en, b.en) - greatest(l.st, b.st)) * weight)::BIGINT AS weighted
+FROM l JOIN b ON l.chrom = b.chrom AND l.st < b.en AND b.st < l.en GROUP BY ALL"""
     made["overlap_clip"] = f"WITH {LOCI} SELECT chrom, count(*) AS n, sum(least(en, 3500) - greatest(st, 2500))::BIGINT AS positions FROM loci WHERE greatest(st, 2500) < least(en, 3500) GROUP BY ALL"
     made["interval_advance"] = f"WITH {LOCI}, a AS (SELECT chrom, least(greatest(st, 3000), en) AS st, en FROM loci) SELECT chrom, count(*) FILTER (WHERE st < en) AS left_over, sum(en - st)::BIGINT AS positions FROM a GROUP BY ALL"
     made["interval_compare"] = f"""WITH {BLOCKS}, l AS (SELECT l_orderkey AS block_id, {_DAYS.format('l_shipdate')} AS st, {_DAYS.format('l_shipdate')} + l_linenumber AS en FROM lineitem)
@@ -344,6 +393,8 @@ ab AS (SELECT {mi} - {ma} AS a, {ma} * (1.0 - b2) AS c, n FROM x, b),
 it AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0 - b2 AS hi FROM b UNION ALL
   SELECT i + 1, CASE WHEN d > 0 THEN m ELSE lo END, CASE WHEN d > 0 THEN hi ELSE m END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m, sum(n * a / (a * (lo + hi) / 2 + c)) AS d FROM it, ab WHERE i < 60 GROUP BY i, lo, hi))
 SELECT round(1.0 - b2 - lo, 7) AS beta1, round(b2, 7) AS beta2, round(lo, 7) AS beta3 FROM it, b WHERE i = 60"""
+    made["beta3_interior"] = made["fit_beta3"].replace(SITES, PLANTED_SITES).replace(_num(p.lam), _num(PLANTED.lam))
+    made["fit_interior"] = _fit_interior(PLANTED)
     # At the limits eta = 0 and gamma = 600 rho is found by bisection; the other two derivatives must point out of the limits.
     own = _coefficients(p).split(",\ncc AS", 1)[1]
     prior = "pcc AS" + own.replace("FROM pat)", "FROM ppat)").replace("FROM cc)", "FROM pcc)").replace("co AS (", "pco AS (", 1)
@@ -360,6 +411,8 @@ SELECT round(rho, 5) AS rho, 0.0::DOUBLE AS eta, 600.0::DOUBLE AS gamma, round(n
   round(1000.0 * rho * 600.0 * {t}, 1) AS pw, 0.0::DOUBLE AS alpha, round(1.0 / (1.0 + (1.0 - rho) / (rho * 600.0)), 3) AS tau, d_eta > 0 AND d_gamma < 0 AS converged FROM k2, k3"""
     mass = "SELECT '{0}' AS axis, {0} AS value, round(sum(exp(log_prior)), 6) + 0.0::DOUBLE AS prior, round(sum(exp(log_post)), 6) + 0.0::DOUBLE AS post FROM z GROUP BY {0}"
     made["parameter_posterior"] = f"WITH {_grid(p)} " + " UNION ALL ".join(mass.format(x) for x in ("rho", "eta", "gamma"))
+    axes = (_axis(1e-9, 1 - 1e-9, 10), _axis(1e-9, 2.0, 5), _axis(1e-9, 2.0, 5))
+    made["posterior_interior"] = f"WITH {_grid(PLANTED, PLANTED_SITES, axes, 0.02)} " + " UNION ALL ".join(mass.format(x) for x in ("rho", "eta", "gamma"))
     shown = {k: k for k in ("d_rho", "d_eta", "d_gamma", "log_size", "prior_nll", "data_nll", "log_prior", "log_post")} | {"prior_density": "log_prior - log_size", "post_density": "log_post - log_size"}
     made["posterior_cells"] = f"WITH {_grid(p)} SELECT rho, eta, gamma, {', '.join(_r(x, -1 if k in ('data_nll', 'log_post', 'post_density') else 2, k) for k, x in shown.items())} FROM z"
     made["blocks_file"] = f"""WITH {BLOCKS} SELECT chrom, count(*) AS n, sum(en - st)::BIGINT AS positions, {_r("sum(printf('%.5f', 0.001::DOUBLE + (block_id % 50) * 0.00001::DOUBLE)::FLOAT::DOUBLE)", 6, 'theta')},
@@ -380,4 +433,21 @@ s AS (SELECT chrom, count(*) AS sites, sum({_DAYS.format('l_shipdate')})::BIGINT
     made["partition_report"] = f"""WITH {SPLITS}, k AS (SELECT *, row_number() OVER (PARTITION BY cov ORDER BY (least(n_set, n_cos) >= 10) DESC, gain DESC, value) AS rc,
   row_number() OVER (ORDER BY (least(n_set, n_cos) >= 10) DESC, gain DESC, cov, value) AS rank FROM g) SELECT cov, value, {_r('gain', 6, 'gain_nats')}, rank, rank = 1 AS best, rc = 1 AS best_of_covariate FROM k"""
     made["sorted_tags"] = "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT lpad((l_partkey % 37)::VARCHAR, 2, '0'))), ',') AS tags FROM lineitem GROUP BY 1"
+    made["split_sums"] = """WITH p AS (SELECT p_partkey, p_size % 6 AS size, right(p_brand, 1)::INT % 6 AS brand, length(p_type) % 4 AS kind FROM part),
+i AS (SELECT *, CASE WHEN size BETWEEN 1 AND 2 THEN 'a' WHEN size BETWEEN 3 AND 5 THEN 'b' END AS node, CASE l_returnflag WHEN 'A' THEN 'M' WHEN 'N' THEN 'L' ELSE 'H' END AS cls FROM p JOIN lineitem ON l_partkey = p_partkey),
+v AS (SELECT node, cls, 'size' AS cov, size AS value, CASE node WHEN 'a' THEN size ELSE size - 2 END AS rank, CASE node WHEN 'a' THEN 2 ELSE 3 END AS top FROM i
+  UNION ALL SELECT node, cls, 'brand', brand, brand, 5 FROM i UNION ALL SELECT node, cls, 'kind', kind, kind, 3 FROM i),
+c AS (SELECT *, unnest(range(1, top)) AS cut FROM v WHERE node IS NOT NULL AND value > 0)
+SELECT concat_ws('/', node, cov, cut, CASE WHEN rank <= cut THEN 's' ELSE 'c' END) AS subset_id, cls, count(*) AS n FROM c GROUP BY ALL"""
+    made["byte_file"] = """WITH c AS (SELECT c_mktsegment AS chrom, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS pos, floor(abs(c_acctbal))::BIGINT % 4 AS idx FROM customer),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY chrom, idx ORDER BY pos) AS run FROM c),
+s AS (SELECT chrom, idx, min(pos) AS st, max(pos) + 1 AS en FROM r WHERE idx > 0 GROUP BY chrom, idx, run),
+k AS (SELECT chrom, idx, greatest(st, 64 * k) AS st, least(en, 64 * k + 64) AS en FROM (SELECT *, unnest(range(st // 64, (en - 1) // 64 + 1)) AS k FROM s)),
+f AS (SELECT *, st - sum(en - st) OVER (PARTITION BY chrom, idx ORDER BY st) + (en - st) AS grp FROM k WHERE chrom IN ('BUILDING', 'MACHINERY') AND en > 20 AND st < 5000),
+m AS (SELECT chrom, idx, min(st) AS st, max(en) AS en FROM f GROUP BY chrom, idx, grp)
+SELECT chrom, idx::INT AS idx, count(*) AS n, sum(st)::BIGINT AS st, sum(en)::BIGINT AS en FROM m WHERE idx > 1 GROUP BY ALL"""
+    made["clustered_table"] = f"""WITH {LOCI}, {BLOCKS} SELECT block_id, count(*) AS n, sum(weight)::BIGINT AS weight FROM loci l JOIN blocks b ON l.chrom = b.chrom AND l.st < b.en AND b.st < l.en
+WHERE block_id % 97 = 0 AND l.st < l.en GROUP BY ALL"""
+    made["growth_replay"] = """WITH e AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS status, sum(l_quantity) AS n FROM lineitem WHERE l_linenumber < 6 GROUP BY ALL)
+SELECT l_orderkey::VARCHAR AS node_id, arg_max(status, l_linenumber) AS status, round(arg_max(n, l_linenumber), 2) AS n FROM e GROUP BY l_orderkey"""
     return made

@@ -17,9 +17,11 @@ from ..functions import strings as st
 from ..operators import covset as cov
 from ..operators import grid, intervals, patterns, sites
 from ..operators.covset import Covariate, Covset, Layout, Subset
-from ..sources import readers, sinks
+from ..sources import clustered, readers, sinks
+from ..sources.byte_file import read_byte_file, write_byte_file
 from ..sources.shared import shared_path
 from . import fit, tree
+from .growth_log import GrowthLog
 
 P = m.Params(rho=0.3, eta=0.8, gamma=1.2, lam=0.004, theta=0.0009, beta1=0.75, beta2=0.2, beta3=0.05)
 COVSET = Covset("parts", "ann", "cts", (
@@ -82,6 +84,16 @@ def overlap_join(spark, sf) -> DataFrame:
     return pairs.groupBy("block_id").agg(F.count("*").alias("n"), F.sum(length).alias("shared"), F.sum(length * F.col("weight")).alias("weighted"))
 
 
+def mixed_lengths(spark, sf) -> DataFrame:
+    """Line items, each tenth of them years long, against orders' blocks, each seventh of them long."""
+    l = _t(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).cast("string").alias("chrom"), _days("l_shipdate").alias("st"), "l_linenumber", F.col("l_quantity").cast("int").alias("weight"), (F.col("l_partkey") % 10 == 0).alias("long"))  # noqa: E741
+    l = l.select("chrom", "st", (F.col("st") + F.col("l_linenumber") * F.when(F.col("long"), 400).otherwise(1)).cast("long").alias("en"), "weight")  # noqa: E741
+    b = order_blocks(spark, sf).withColumn("en", F.when(F.col("block_id") % 7 == 0, F.col("en") + 90).otherwise(F.col("en")))
+    pairs = intervals.overlap_join(l, b)
+    length = F.col("en") - F.col("st")
+    return pairs.groupBy("block_id").agg(F.count("*").alias("n"), F.sum(length).alias("shared"), F.sum(length * F.col("weight")).alias("weighted"))
+
+
 def overlap_clip(spark, sf) -> DataFrame:
     df = intervals.clip(loci(spark, sf).withColumn("lo", F.lit(2500)).withColumn("hi", F.lit(3500)), "lo", "hi")
     return df.groupBy("chrom").agg(F.count("*").alias("n"), F.sum(F.col("en") - F.col("st")).alias("positions"))
@@ -442,6 +454,64 @@ def fit_reg(spark, sf) -> DataFrame:
     return spark.createDataFrame([(round(made.params.rho, 5), round(made.params.eta, 5), round(made.params.gamma, 5), round(made.nll, 1), round(made.nll_prior, 1), *d, made.converged)], "rho double, eta double, gamma double, nll double, nll_prior double, dp double, pw double, alpha double, tau double, converged boolean")
 
 
+#: The model that planted sites are drawn from and fitted with, but for its rho, eta and gamma.
+PLANTED = m.Params(rho=0.3, eta=1.0, gamma=1.0, lam=0.06, theta=0.03, beta1=0.75, beta2=0.2, beta3=0.05)
+# Shares of the cells of the class table at rho 0.4, eta 0.8 and gamma 0.9, summed up.
+PLANTED_SHARES = (("Ma", 0.80186), ("Mo", 0.85139), ("La", 0.97219), ("Li", 0.97806), ("Lo", 0.98108), ("Ha", 0.99016), ("Hi", 0.99924), ("Ho", 1.0))
+
+
+def planted_sites(spark, sf) -> DataFrame:
+    """Line items as sites whose class and alleles are dealt by hash in the shares of a known model.
+
+    Discounts and taxes blur the alleles' priors, and line numbers move lambda and theta.
+    """
+    u = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % 100003) / 100003.0
+    cell = F.lit("Ho")
+    for name, top in reversed(PLANTED_SHARES[:-1]):
+        cell = F.when(u < top, name).otherwise(cell)
+    df = _t(spark, sf, "lineitem").withColumn("cell", cell)
+    place = F.substring("cell", 2, 1)
+    return df.select(
+        F.substring("cell", 1, 1).alias("cls"), F.when(place == "a", 1.0 - F.col("l_discount") / 50.0).when(place == "i", 0.0).otherwise((F.col("l_tax") + 0.01) / 20.0).alias("x_maj"),
+        F.when(place == "a", 0.0).when(place == "i", 1.0 - F.col("l_discount") / 50.0).otherwise((F.col("l_tax") + 0.01) / 20.0).alias("x_min"),
+        (0.048 + 0.003 * F.col("l_linenumber")).alias("lambda"), (0.026 + 0.001 * F.col("l_linenumber")).alias("theta"), F.lit(1).cast("long").alias("weight"), F.lit(1).cast("long").alias("len"),
+    )
+
+
+def _planted(spark, sf, scale: float = 1.0) -> DataFrame:
+    keys = ["cls", "x_maj", "x_min", "lambda", "theta"]
+    return fit.coefficient_rows(patterns.pattern_counts(planted_sites(spark, sf), keys), PLANTED, scale=scale)
+
+
+def fit_interior(spark, sf) -> DataFrame:
+    """A fit whose optimum lies inside all limits, with standard errors, derived values and theirs."""
+    made = fit.fit(_planted(spark, sf), PLANTED, fit.prior_rows(spark, PLANTED, PLANTED, 347.0))
+    derived, errors = fit.derived(made.params), fit.derived_errors(made.params, made.hessian)
+    row = {n: getattr(made.params, n) for n in fit.NAMES} | {f"{n}_err": made.errors[n] for n in fit.NAMES} | derived | {f"{k}_err": v for k, v in errors.items()} | {"nll": made.nll, "nll_prior": made.nll_prior}
+    spec = ", ".join(f"{k} double" for k in row)
+    out = spark.createDataFrame([tuple(row.values())], spec)
+    large = ["dp", "pw", "dp_err", "pw_err", "nll", "nll_prior"]
+    return _round(_round(out, 3, *large), 5, *[k for k in row if k not in large]).withColumn("converged", F.lit(made.converged))
+
+
+def beta3_interior(spark, sf) -> DataFrame:
+    df = planted_sites(spark, sf).withColumn("n", F.col("weight").cast("double"))
+    b2 = fit.beta2(df, 0.2, 347.0)
+    b3 = fit.beta3(df, b2, PLANTED, 347.0)
+    return spark.createDataFrame([(round(1 - b2 - b3, 7), round(b2, 7), round(b3, 7))], "beta1 double, beta2 double, beta3 double")
+
+
+#: Grid and weight of the planted sites' posterior; a site counts little, so that the mass lies on many values.
+PLANTED_GRID = {"rho": grid.axis(1e-9, 1 - 1e-9, 10, []), "eta": grid.axis(1e-9, 2.0, 5, []), "gamma": grid.axis(1e-9, 2.0, 5, [])}
+PLANTED_SCALE = 0.02
+
+
+def posterior_interior(spark, sf) -> DataFrame:
+    """Marginals of a posterior that leaves mass on many values."""
+    cells = grid.parameter_posterior(_planted(spark, sf, PLANTED_SCALE), fit.prior_rows(spark, PLANTED, PLANTED, 347.0 * PLANTED_SCALE), PLANTED_GRID)
+    return _round(grid.marginals(cells), 6, "prior", "post").select("axis", "value", "prior", "post")
+
+
 #: A grid of some hundred cells, as its SQL goes through all of them; ``fitted_posterior`` has the operator's own.
 GRID = {"rho": grid.axis(1e-9, 1 - 1e-9, 6, [(0.3, 0.2)]), "eta": grid.axis(1e-9, 10 - 1e-9, 5, []), "gamma": grid.axis(1e-9, 10 - 1e-9, 5, [])}
 
@@ -475,6 +545,38 @@ def tree_growth(spark, sf) -> DataFrame:
     return tree.node_table(spark, nodes, COVSET)
 
 
+def _part_runs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Parts as positions with covariates, and line items as sites on them."""
+    parts = _part_tags(spark, sf).select("p_partkey", ANN.encode(F.col("ann_tags")).alias("ann"), CTS.encode(F.col("cts_tags")).alias("tagb"))
+    aligned = parts.select(F.lit("c").alias("chrom"), F.col("p_partkey").alias("st"), (F.col("p_partkey") + 1).alias("en"), "ann", F.lit("one").alias("cell"), "tagb")
+    cls = F.when(F.col("l_returnflag") == "A", "M").when(F.col("l_returnflag") == "N", "L").otherwise("H")
+    items = _t(spark, sf, "lineitem").select(F.lit("c").alias("chrom"), F.col("l_partkey").alias("st"), (F.col("l_partkey") + 1).alias("en"), cls.alias("cls"), (0.9 - 3.0 * F.col("l_discount")).alias("x_maj"), F.col("l_tax").alias("x_min"), F.lit(0.004).alias("lambda"), F.lit(0.0009).alias("theta"))
+    return aligned, items
+
+
+def split_sums(spark, sf) -> DataFrame:
+    """Sites by class in every ordered set and coset of two nodes, summed from single values."""
+    aligned, items = _part_runs(spark, sf)
+    nodes = {"a": Subset().with_values("size", [1, 2]), "b": Subset().with_values("size", [3, 4, 5])}
+    values = tree.value_patterns(aligned, cov.target_table(spark, nodes, ANN, CTS), COVSET, items)
+    orders = {(n, c.name): [v for v in s.values(c) if v] for n, s in nodes.items() for c in COVSET.covariates}
+    return tree.split_patterns(spark, values, orders).groupBy("subset_id", "cls").agg(F.sum("n").cast("long").alias("n"))
+
+
+def growth_replay(spark, sf) -> DataFrame:
+    """Orders as nodes, line numbers as levels: the last state of each in the levels that were committed.
+
+    The sixth level is written but not committed, as by a run that died there.
+    """
+    rows = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("node_id"), "l_linenumber").agg(F.max("l_returnflag").alias("status"), F.sum("l_quantity").alias("n"))
+    log = GrowthLog(spark, shared_path(spark, "log"))
+    for level in range(1, 7):
+        log.stage(level, nodes=rows.where(F.col("l_linenumber") == level).drop("l_linenumber"))
+        if level < 6:
+            log.seal(level)
+    return log.replay().select("node_id", "status", F.round("n", 2).alias("n"))
+
+
 def _text(df: DataFrame, tag: str, *columns: str, separator: str = "\t") -> str:
     """Columns written as lines of text to the shared folder; the path."""
     path = shared_path(df.sparkSession, tag)
@@ -510,6 +612,28 @@ def mono_runs(spark, sf) -> DataFrame:
     return readers.read_mono_chunks(pieces.select(F.lit("c").alias("chrom"), F.lit(0).cast("long").alias("lo"), "s", "bytes")).select("st", "en", "idx")
 
 
+def byte_file(spark, sf) -> DataFrame:
+    """Customers' balances as codes of five chromosomes, written as a byte file and read under a filter."""
+    code = F.lpad(F.hex((F.floor(F.abs("c_acctbal")) % 4).cast("long")), 2, "0")
+    ranked = _t(spark, sf, "customer").select(F.col("c_mktsegment").alias("chrom"), F.col("c_custkey"), code.alias("code"))
+    pieces = ranked.groupBy("chrom", F.expr("c_custkey div 500").alias("number")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "code"))).alias("held"))
+    pieces = pieces.select("chrom", "number", F.unhex(F.array_join(F.transform("held", lambda x: x["code"]), "")).alias("bytes"))
+    base = shared_path(spark, "bytes")
+    chroms = [r.chrom for r in pieces.select("chrom").distinct().orderBy(F.desc("chrom")).collect()]  # five segments
+    write_byte_file(pieces, base, chroms)
+    rows = read_byte_file(spark, base, chunk=64).where(F.col("chrom").isin("BUILDING", "MACHINERY") & (F.col("en") > 20) & (F.col("st") < 5000))
+    return intervals.coalesce_runs(rows, "idx").where("idx > 1").groupBy("chrom", F.col("idx").cast("int").alias("idx")).agg(F.count("*").alias("n"), F.sum("st").alias("st"), F.sum("en").alias("en"))
+
+
+def clustered_table(spark, sf) -> DataFrame:
+    """Line items ordered by position; those that meet the blocks of a few orders, by a filter on stretches."""
+    path = shared_path(spark, "clustered")
+    clustered.write_clustered(loci(spark, sf), path)
+    few = order_blocks(spark, sf).where("block_id % 97 = 0")
+    rows = clustered.under(spark.read.parquet(path), few)
+    return intervals.overlap_join(rows, few).groupBy("block_id").agg(F.count("*").alias("n"), F.sum("weight").cast("long").alias("weight"))
+
+
 def weighted_bed_file(spark, sf) -> DataFrame:
     path = shared_path(spark, "bed")
     sinks.weighted_bed(loci(spark, sf), path)
@@ -579,7 +703,7 @@ def sorted_tags(spark, sf) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
-        overlap_join, overlap_clip, interval_advance, interval_compare, point_in_block, neutral_semi, interval_positions, linear_positions,
+        overlap_join, mixed_lengths, overlap_clip, interval_advance, interval_compare, point_in_block, neutral_semi, interval_positions, linear_positions,
         pattern_counts, pattern_expand, site_counters, interval_stats, pattern_totals, shrunk_mean, ratio_pseudocount, class_matrix,
         block_normalised_matrix, coalesce_runs, breakpoint_segments, asof_state, aligned_counts, onehot_encode, mask_filter, mask_targets,
         mask_accumulate, logsumexp, log_normalise, grid_marginals, weighted_expectation, interp_quantile, mixture_nll, mixture_gradient,
@@ -587,6 +711,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         counterfactual_m1, counterfactual_m2, ordered_prefix_splits, binary_entropy_gain, best_split_per_covariate, qc_min_positions,
         ordering_error, value_summary, text_functions, number_formats, expected_information, numeric_functions, coverage_gaps, fit_beta3, fit_reg, parameter_posterior, posterior_cells, fitted_posterior,
         tree_growth, blocks_file, polys_file, dictionary_file, mono_runs, weighted_bed_file, covariate_runs_file, genome_file, models_file, whole_models, interchange_file, table_cache,
-        partition_report, sorted_tags,
+        partition_report, sorted_tags, split_sums, growth_replay, byte_file, clustered_table, fit_interior, beta3_interior, posterior_interior,
     ]
     return {f.__name__: f for f in made}

@@ -1,7 +1,9 @@
 """Greedy decision tree over categorical covariates, a level at a time.
 
-All candidate splits of all nodes of a level are counted in one scan and fitted
-together; the driver holds one row a candidate.
+A level is counted in one scan, by node, covariate and single value; the patterns of every
+candidate set and coset are sums of these, so that the scan does not grow with the number
+of candidates. All candidates of a level are fitted together; the driver holds one row a
+candidate. With a log each level is committed as a whole, and growth goes on from it.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.model import Params
 from ..functions.numeric import BITS_PER_NAT, binary_entropy, ordering_error
-from ..operators.covset import Covset, Layout, Subset, count_targets, ordered_splits, target_table
+from ..operators.covset import Covset, Layout, Subset, count_targets, count_values, ordered_splits, prefix_sums, target_table
 from ..operators.intervals import coalesce_runs, overlap_join
+from ..sources.shared import materialize
 from .fit import coefficient_rows, fit_many, standard_errors
+from .growth_log import GrowthLog
 
 
 @dataclass(frozen=True)
@@ -62,6 +66,33 @@ def subset_sites(aligned: DataFrame, targets: DataFrame, sites: DataFrame) -> Da
     return joined.groupBy(*keys).agg(F.sum(F.col("weight") * (F.col("en") - F.col("st"))).cast("double").alias("n"))
 
 
+PATTERN = ["cls", "x_maj", "x_min", "lambda", "theta"]
+
+
+def value_patterns(aligned: DataFrame, nodes: DataFrame, covset: Covset, sites: DataFrame) -> DataFrame:
+    """Patterns by single value: node_id, cov, value, cls, x_maj, x_min, lambda, theta, n.
+
+    ``nodes`` as ``count_values`` takes them. Every row has one value of each covariate,
+    so the sum over any one covariate's values is the node's own.
+    """
+    counted = count_values(aligned, nodes, covset, Layout.of(covset.of(False)), Layout.of(covset.of(True)))
+    keys = ["node_id", "cov", "value"]
+    merged = coalesce_runs(counted, "n", [*keys, "chrom"], region=1_000_000).withColumnRenamed("n", "weight")
+    joined = overlap_join(merged, sites)
+    return joined.groupBy(*keys, *PATTERN).agg(F.sum(F.col("weight") * (F.col("en") - F.col("st"))).cast("double").alias("n"))
+
+
+def split_patterns(spark: SparkSession, values: DataFrame, orders: dict[tuple[str, str], list[int]]) -> DataFrame:
+    """Patterns of the sets and cosets of every cut: subset_id ``node/cov/cut/side`` and pattern.
+
+    ``orders`` has the values in order, by node and covariate.
+    """
+    rows = [(node, cov, v, i + 1, len(order)) for (node, cov), order in orders.items() for i, v in enumerate(order)]
+    ranks = spark.createDataFrame(rows, "node_id string, cov string, value int, rank int, top int")
+    sums = prefix_sums(values, ranks, "n", PATTERN)
+    return sums.select(F.concat_ws("/", "node_id", "cov", F.col("cut").cast("string"), "side").alias("subset_id"), *PATTERN, "n")
+
+
 def fit_subsets(patterns: DataFrame, starts: dict[str, Params], scale: float = 1.0) -> dict[str, dict]:
     """rho, eta, gamma, nll, errors and positions of every subset, fitted in step."""
     first = next(iter(starts.values()))
@@ -164,52 +195,69 @@ def _clean(p: Params, fitted: dict, options: Options) -> Params:
     return replace(made, **{k: round(getattr(made, k), 6) for k in ("rho", "eta", "gamma")}) if options.round_priors else made
 
 
-def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFrame, start: Params, options: Options = Options(), cells: int = 1, nodes: list[Node] | None = None, levels: int | None = None, kept: dict[str, list[DataFrame]] | None = None) -> list[Node]:  # noqa: B008
+def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFrame, start: Params, options: Options = Options(), cells: int = 1, nodes: list[Node] | None = None, levels: int | None = None, kept: dict[str, list[DataFrame]] | None = None, first: Subset = Subset(), log: GrowthLog | None = None) -> list[Node]:  # noqa: B008
     """Grow a tree; ``aligned`` and ``sites`` as ``align`` and ``subset_sites`` take them.
 
-    The root is fitted first, so that its likelihood is that of these data. With
-    ``levels`` growth stops after so many, and its open nodes stay ``pending``; given
-    as ``nodes`` (see ``load_nodes``), growth goes on from them. ``kept`` receives each
-    level's scored splits and the fits of single values, under partitions and singles.
+    The root, all positions or those of the subset ``first``, is fitted first, so that its
+    likelihood is that of these data. With ``levels`` growth stops after so many, and its
+    open nodes stay ``pending``; given as ``nodes`` (see ``load_nodes``), growth goes on
+    from them. ``kept`` receives each level's scored splits and the fits of single values,
+    under partitions and singles. With ``log`` each level is committed with its number,
+    and a log that holds levels already is gone on with, whatever ended its run.
     """
     ann, cts = Layout.of(covset.of(False)), Layout.of(covset.of(True))
-    aligned, scale = aligned.cache(), 1.0 / cells
+    aligned, sites, scale = materialize(aligned, "aligned"), materialize(sites, "sites"), 1.0 / cells
+    number = 0
+    if log is not None and (before := log.levels()):
+        nodes, number = load_nodes(log.replay(), covset, start), before[-1]
 
-    def fitted(subsets: dict[str, Subset], starts: dict[str, Params]) -> dict[str, dict]:
-        return fit_subsets(subset_sites(aligned, target_table(spark, subsets, ann, cts), sites), starts, scale)
+    def counted(level: list[Node]) -> DataFrame:
+        """Patterns of the level's nodes by single value: the level's one scan."""
+        members = target_table(spark, {n.node_id: n.subset for n in level}, ann, cts)
+        return materialize(value_patterns(aligned, members, covset, sites), "values")
 
+    values = None
     if nodes is None:
-        root = Node("0", None, options.max_depth, Subset(), start)
-        first = fitted({"0": root.subset}, {"0": start}).get("0")
-        if first is None:
+        root = Node("0", None, options.max_depth, first, start)
+        values = counted([root])
+        whole = values.where(F.col("cov") == covset.covariates[0].name).groupBy(*PATTERN).agg(F.sum("n").alias("n"))
+        found = fit_subsets(whole.withColumn("subset_id", F.lit("0")), {"0": start}, scale).get("0")
+        if found is None:
             return [replace(root, status="empty")]
-        root.params, root.nll = _clean(start, first, options), first["nll"]
+        root.params, root.nll = _clean(start, found, options), found["nll"]
         nodes = [root]
+        if log is not None:
+            log.commit(0, nodes=node_table(spark, nodes, covset))
     done, level = [n for n in nodes if n.status != "pending"], [n for n in nodes if n.status == "pending"]
     while level and levels != 0:
         levels = None if levels is None else levels - 1
-        loose = {(n.node_id, c.name, v): n.subset.with_values(c.name, [v]) for n in level for c in covset.covariates if not c.monotonic for v in n.subset.values(c) if v}
-        names = {f"{i}": k for i, k in enumerate(loose)}
-        by_id = {n.node_id: n for n in level}
-        singles = fitted({i: loose[k] for i, k in names.items()}, {i: by_id[k[0]].params for i, k in names.items()}) if loose else {}
-        rho = {names[i]: f["rho"] for i, f in singles.items()}
-        if kept is not None and singles:
-            made = [(*names[i], *(f[k] for k in ("n", "rho", "rho_err", "eta", "gamma", "nll"))) for i, f in singles.items()]
-            kept.setdefault("singles", []).append(spark.createDataFrame(made, "node_id string, cov string, value int, n double, rho double, rho_err double, eta double, gamma double, nll double"))
-        splits, subsets, starts = {}, {}, {}
+        number += 1
+        by_id, batch = {n.node_id: n for n in level}, {}
+        values = counted(level) if values is None else values
+        loose = [c.name for c in covset.covariates if not c.monotonic]
+        singles = {}
+        if loose:
+            own = values.where(F.col("cov").isin(loose) & (F.col("value") > 0))
+            names = {f"{n.node_id}/{c}/{v}": (n.node_id, c, v) for n in level for c in loose for v in n.subset.values(covset[c]) if v}
+            fits = fit_subsets(own.select(F.concat_ws("/", "node_id", "cov", F.col("value").cast("string")).alias("subset_id"), *PATTERN, "n"), {i: by_id[k[0]].params for i, k in names.items()}, scale) if names else {}
+            singles = {names[i]: f for i, f in fits.items()}
+        if singles:
+            made = [(*k, *(f[x] for x in ("n", "rho", "rho_err", "eta", "gamma", "nll"))) for k, f in singles.items()]
+            batch["singles"] = spark.createDataFrame(made, "node_id string, cov string, value int, n double, rho double, rho_err double, eta double, gamma double, nll double")
+        orders, splits = {}, {}
         for n in level:
             for c in covset.covariates:
-                scores = {v: rho.get((n.node_id, c.name, v), 0.0) for v in n.subset.values(c)}
-                for a, b in ordered_splits(n.subset, c, scores):
-                    key = f"{len(splits)}"
-                    splits[key] = (n, c.name, a, b)
-                    for side, values in (("s", a), ("c", b)):
-                        subsets[f"{key}{side}"] = n.subset.with_values(c.name, values)
-                        starts[f"{key}{side}"] = n.params
-        results = fitted(subsets, starts) if subsets else {}
+                scores = {v: singles[n.node_id, c.name, v]["rho"] if (n.node_id, c.name, v) in singles else 0.0 for v in n.subset.values(c)}
+                cuts = ordered_splits(n.subset, c, scores)
+                if cuts:
+                    order = [*cuts[0][0], *(v for (a, _), (b, _) in zip(cuts, cuts[1:]) for v in b if v not in a), *cuts[-1][1]]
+                    orders[n.node_id, c.name] = order
+                    splits |= {f"{n.node_id}/{c.name}/{i + 1}": (n, c.name, a, b) for i, (a, b) in enumerate(cuts)}
+        starts = {f"{key}/{side}": n.params for key, (n, *_) in splits.items() for side in "sc"}
+        results = fit_subsets(split_patterns(spark, values, orders), starts, scale) if starts else {}
         rows = []
         for key, (n, name, a, b) in splits.items():
-            s, c = results.get(f"{key}s"), results.get(f"{key}c")
+            s, c = results.get(f"{key}/s"), results.get(f"{key}/c")
             if s and c:
                 rows.append((n.node_id, key, name, list(a), list(b), n.nll, n.params.rho, *[float(x) if (x := side[k]) is not None else None for k in ("n", "rho", "rho_err", "nll") for side in (s, c)]))
         best = {}
@@ -218,32 +266,35 @@ def grow(spark: SparkSession, covset: Covset, aligned: DataFrame, sites: DataFra
             candidates = spark.createDataFrame(rows, spec)
             if options.expected or options.min_directed_bits is not None:
                 candidates = candidates.repartition(min(len(rows), spark.sparkContext.defaultParallelism))
-            scored = score_candidates(candidates, options)
-            if kept is not None:
-                kept.setdefault("partitions", []).append(scored)
-            best = {r.node_id: r for r in scored.where("rank = 1 AND passes").collect()}
-        following = []
+            batch["partitions"] = score_candidates(candidates, options)
+            best = {r.node_id: r for r in batch["partitions"].where("rank = 1 AND passes").collect()}
+        following, ended = [], []
         for n in level:
             r = best.get(n.node_id)
             n.status = "leaf"
-            done.append(n)
+            ended.append(n)
             if r is None or r.gain <= options.min_gain:
                 continue
             n.split = {"cov": r.cov, "set": list(r.set_values), "coset": list(r.coset_values), "gain_nats": r.gain_nats, "gain_bits": r.gain_bits, "entropy_bits": r.entropy_bits}
             n.status = "split"
             sides = [("s", r.set_values), ("c", r.coset_values)]
-            sides.sort(key=lambda x: -results[f"{r.key}{x[0]}"]["rho"])
-            for place, (side, values) in enumerate(sides):
-                got = results[f"{r.key}{side}"]
-                child = Node(f"{n.node_id}{'hl'[place]}", n.node_id, n.depth - 1, n.subset.with_values(r.cov, values), _clean(n.params, got, options), got["nll"])
+            sides.sort(key=lambda x: -results[f"{r.key}/{x[0]}"]["rho"])
+            for place, (side, own_values) in enumerate(sides):
+                got = results[f"{r.key}/{side}"]
+                child = Node(f"{n.node_id}{'hl'[place]}", n.node_id, n.depth - 1, n.subset.with_values(r.cov, own_values), _clean(n.params, got, options), got["nll"])
                 n.children.append(child.node_id)
                 if child.depth > 0 and child.subset.can_split(covset):
                     following.append(child)
                 else:
                     child.status = "leaf"
-                    done.append(child)
-        level = following
-    aligned.unpersist()
+                    ended.append(child)
+        if kept is not None:
+            for name, df in batch.items():
+                kept.setdefault(name, []).append(df)
+        if log is not None:
+            log.commit(number, nodes=node_table(spark, ended + following, covset), **batch)
+        done += ended
+        level, values = following, None
     return done + level
 
 

@@ -179,6 +179,7 @@ def parse_block_header(line):
 
 
 def as_table(df: DataFrame, path: str) -> DataFrame:
-    """Write once as Parquet by chromosome, and read from there: the engine's cache format."""
-    df.write.mode("overwrite").partitionBy("chrom").parquet(path)
+    """Write once as Parquet by chromosome, in order of position, and read from there: the engine's cache format."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, "chrom", "st").sortWithinPartitions("chrom", "st", "en").write.mode("overwrite").partitionBy("chrom").parquet(path)
     return df.sparkSession.read.parquet(path)
