@@ -47,6 +47,8 @@ PLACES, LEVEL, HUB = 128, 16, 16
 OPEN, BLOCK, DEPTH = 256, 2048, 24
 #: Average share of minwise values from which a node is dense; entries up to which dense nodes are compared.
 CLOSE, DENSE = 0.4, 50_000
+#: Links and pairs that a task takes at a time.
+TASK = 100_000
 #: Rows of a bucket of nodes; places of the filter of texts; words a worker remembers; texts of a slice.
 BUCKET, TEXTS, _MEMO, _SLICE = 20_000, 1 << 22, 100_000, 1000
 
@@ -270,10 +272,10 @@ class Join:
         self.aside: list[DataFrame] = []
         self.roots: DataFrame | None = None
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose full sets are similar enough."""
+    def verified(self, pairs: DataFrame, n: int) -> DataFrame:
+        """Those of ``n`` ``pairs`` (a, b) whose full sets are similar enough."""
         names = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(self.sets.select("key", "name"), "key")
-        keys = materialize(names, "keys")
+        keys = materialize(names.coalesce(-(-n // TASK)), "keys")
         named = self.marked.select("name", "content").join(keys, "name", "left_semi")
         places = np.zeros(TEXTS, bool)
         places[named.select(F.col("content").bitwiseAND(TEXTS - 1).alias("at")).distinct().toArrow().column("at").to_numpy()] = True
@@ -287,18 +289,20 @@ class Join:
 
     def add(self, pairs: DataFrame) -> None:
         """Verify ``pairs`` and join the classes that they link."""
-        if pairs.isEmpty():
+        if not (n := pairs.count()):
             return
-        made = self.verified(pairs)
-        if self.roots is None:
-            self.roots = connected(made).select(F.col("node").alias("key"), "root")
-            return
-        for side in "ab":
-            made = self.rooted(made.withColumnRenamed(side, "key")).select(F.col("root").alias(side), *[c for c in made.columns if c != side])
-        links = materialize(made.where("a <> b").distinct(), "between")
+        tasks, made = -(-n // TASK), self.verified(pairs, n)
+        if self.roots is not None:
+            for side in "ab":
+                made = self.rooted(made.withColumnRenamed(side, "key")).select(F.col("root").alias(side), *[c for c in made.columns if c != side])
+        links = materialize(made.where("a <> b").distinct().coalesce(tasks), "between")
         if links.isEmpty():
             return
-        merged = connected(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        merged = connected(links, task_rows=TASK).select(F.col("node").alias("was"), F.col("root").alias("now")).coalesce(tasks)
+        if self.roots is None:
+            self.roots = materialize(merged.select(F.col("was").alias("key"), F.col("now").alias("root")), "roots")
+            return
+        merged = materialize(merged, "merged")
         old = self.roots.join(merged, F.col("root") == F.col("was"), "left").select("key", F.coalesce("now", "root").alias("root"))
         new = merged.join(self.roots, F.col("was") == F.col("key"), "left_anti").select(F.col("was").alias("key"), F.col("now").alias("root"))
         self.roots = materialize(old.unionByName(new), "roots")
@@ -337,10 +341,11 @@ class Join:
         rest = rows.withColumns({"block": number(blocks), "part": F.explode(each(parts)), "minor": F.lit(False)})
         rest = rest.where((F.expr("root") == F.col("top")) | (F.col("part") != number(parts)))
         units = materialize(own.unionByName(rest).select(F.xxhash64("node", "block", "part").alias("unit"), "key", "root", "minor"), "units")
-        n = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), units.count() // BUCKET)
+        rows = units.count()
+        n = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), rows // BUCKET)
         full = units.join(self.sets, "key").withColumn("bucket", F.pmod("unit", F.lit(n)).cast("int"))
         made = full.groupBy("bucket").applyInArrow(_compare(self.low, self.part, self.whole, forest), "a long, b long")
-        return materialize(made.distinct(), "pairs")
+        return materialize(made.distinct().coalesce(max(1, -(-rows // TASK))), "pairs")
 
     def meet_hubs(self, rows: DataFrame) -> DataFrame:
         """Verify the pairs of each node's hub, the entry with most of the node's common values.

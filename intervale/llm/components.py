@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Tie neighbours of a node to the least node among it and them."""
+def _star(links: DataFrame, large: bool, tasks: int | None = None) -> DataFrame:
+    """Tie neighbours of a node to the least node among it and them, in ``tasks`` tasks if given."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     tied = both.join(least, "a")
@@ -21,18 +21,24 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         made = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         made = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return made.where("a <> b").distinct()
+    made = made.where("a <> b")
+    return made.coalesce(tasks).distinct().coalesce(tasks) if tasks else made.distinct()
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``links`` (a, b) as (node, root): the least node reachable; linked nodes only."""
+def connected(links: DataFrame, rounds: int = 60, task_rows: int | None = None) -> DataFrame:
+    """``links`` (a, b) as (node, root): the least node reachable; linked nodes only.
+
+    With ``task_rows`` a step runs in as many tasks as that many links each need, which
+    saves the start of tasks where links are few.
+    """
     links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     before = links.agg(F.count("*"), mark).first()
     for _ in range(rounds):
         if not before[0]:
             break
-        links = materialize(_star(_star(links, True), False), "links")
+        tasks = -(-before[0] // task_rows) if task_rows else None
+        links = materialize(_star(_star(links, True, tasks), False, tasks), "links")
         after = links.agg(F.count("*"), mark).first()
         if after == before:
             break
