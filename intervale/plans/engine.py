@@ -82,35 +82,35 @@ class Engine:
         i = self._codes.select(F.col("idx").alias("min_idx"), F.col("p").alias("x_min"))
         return df.join(F.broadcast(a), "maj_idx").join(F.broadcast(i), "min_idx", "left").withColumn("x_min", F.coalesce("x_min", F.lit(0.0)))
 
-    def sites(self, loci: DataFrame) -> DataFrame:
+    def sites(self, loci: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
         """Runs of sites of one block, class and pattern under the loci.
 
-        Columns: block_id, chrom, st, en, cls, maj_idx, min_idx, weight, len. A pair of
+        Columns: ``keys`` of the loci, block_id, chrom, st, en, cls, maj_idx, min_idx, weight, len. A pair of
         overlapping loci counts the sites that they share twice. A filter on the loci's
         stretches goes to the scans, which skip what lies outside where tables are clustered.
         """
         held = within(stretches(loci))
         levels = levels_of(loci)
-        under = overlap_join(loci.select("chrom", "st", "en", "weight"), self.db.blocks.where(held).select("chrom", "st", "en", "block_id"), levels=(levels, self._levels("blocks")))
-        under = under.select("chrom", "st", "en", "weight", "block_id")
+        under = overlap_join(loci.select(*keys, "chrom", "st", "en", "weight"), self.db.blocks.where(held).select("chrom", "st", "en", "block_id"), levels=(levels, self._levels("blocks")))
+        under = under.select(*keys, "chrom", "st", "en", "weight", "block_id")
         shared = list(range(max(levels, default=0) + 1))  # what is cut out of loci is not longer than they are
         mono = overlap_join(under, self.db.mono.where("idx <> 0").where(held), levels=(shared, self._levels("mono")))
-        mono = mono.select("block_id", "chrom", "st", "en", F.lit("M").alias("cls"), F.col("idx").alias("maj_idx"), F.lit(None).cast("short").alias("min_idx"), "weight")
+        mono = mono.select(*keys, "block_id", "chrom", "st", "en", F.lit("M").alias("cls"), F.col("idx").alias("maj_idx"), F.lit(None).cast("short").alias("min_idx"), "weight")
         poly = overlap_join(under, self.db.polys.where(held), levels=(shared, self._levels("polys")))
-        poly = poly.select("block_id", "chrom", "st", "en", F.col("freq").alias("cls"), "maj_idx", "min_idx", "weight")
+        poly = poly.select(*keys, "block_id", "chrom", "st", "en", F.col("freq").alias("cls"), "maj_idx", "min_idx", "weight")
         return mono.unionByName(poly).withColumn("len", F.col("en") - F.col("st"))
 
-    def neutral_sites(self, touched: DataFrame) -> DataFrame:
-        """Neutral polymorphisms of blocks that have data."""
+    def neutral_sites(self, touched: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+        """Neutral polymorphisms of blocks that have data, for each of the ``keys`` of ``touched``."""
         placed = locate(self.db.neutral.withColumn("pos", F.col("st")), self.db.blocks.select("chrom", "st", "en", "block_id"))
-        kept = placed.join(touched.select("block_id").distinct(), "block_id", "left_semi")
-        return kept.select("block_id", F.col("freq").alias("cls"), "maj_idx", "min_idx", F.lit(1).alias("weight"), F.lit(1).alias("len"))
+        kept = placed.join(touched.select(*keys, "block_id").distinct(), "block_id")
+        return kept.select(*keys, "block_id", F.col("freq").alias("cls"), "maj_idx", "min_idx", F.lit(1).alias("weight"), F.lit(1).alias("len"))
 
-    def pattern_rows(self, sites_: DataFrame) -> DataFrame:
-        """Pattern counts with decoded priors and their block's lambda and theta."""
-        counts = patterns.pattern_counts(sites_)
+    def pattern_rows(self, sites_: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+        """Pattern counts with decoded priors and their block's lambda and theta, by ``keys`` if given."""
+        counts = patterns.pattern_counts(sites_, [*keys, "block_id", "cls", "maj_idx", "min_idx"])
         rows = self._decoded(counts).join(self.db.blocks.select("block_id", "lambda", "theta"), "block_id")
-        return rows.select("block_id", "cls", "x_maj", "x_min", F.col("lambda").cast("double"), F.col("theta").cast("double"), "n")
+        return rows.select(*keys, "block_id", "cls", "x_maj", "x_min", F.col("lambda").cast("double"), F.col("theta").cast("double"), "n")
 
     def runs(self, loci: DataFrame) -> DataFrame:
         """Runs of sites with decoded priors and block values, as the tree takes them."""

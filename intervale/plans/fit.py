@@ -61,7 +61,7 @@ def beta3(neutral: DataFrame, b2: float, prior: Params, prior_weight: float, sta
     major = F.col("x_maj") * (1.0 - F.col("lambda")) + F.col("x_min") * third
     rows = neutral.where("cls = 'L'").select((minor - major).alias("A"), (major * (1.0 - b2)).alias("B"), "n")
     rows = rows.groupBy("A", "B").agg(F.sum("n").alias("n")).cache()
-    pb = prior.normalised()
+    spark, pb = neutral.sparkSession, prior.normalised()
     known = pb.beta1 + pb.beta3
     pseudo = []
     for x_maj, x_min, share in ((1.0, 0.0, pb.beta1 / known), (0.0, 1.0, pb.beta3 / known)):
@@ -70,8 +70,10 @@ def beta3(neutral: DataFrame, b2: float, prior: Params, prior_weight: float, sta
     low, high = 0.0, 1.0 - b2
     while high - low > 1e-11:
         points = np.linspace(low, high, BRACKET + 2)[1:-1].tolist()
-        sums = rows.agg(*[F.sum(F.col("n") * F.col("A") / F.greatest(F.col("A") * b + F.col("B"), F.lit(1e-300))).alias(f"d{i}") for i, b in enumerate(points)]).first()
-        slopes = [(sums[i] or 0.0) + sum(n * a / max(a * b + c, 1e-300) for a, c, n in pseudo) for i, b in enumerate(points)]
+        at = spark.createDataFrame(list(enumerate(points)), "i int, b double")
+        slope = F.sum(F.col("n") * F.col("A") / F.greatest(F.col("A") * F.col("b") + F.col("base"), F.lit(1e-300)))
+        sums = {r.i: r.d for r in rows.withColumnRenamed("B", "base").crossJoin(F.broadcast(at)).groupBy("i").agg(slope.alias("d")).collect()}  # BRACKET rows
+        slopes = [(sums.get(i) or 0.0) + sum(n * a / max(a * b + c, 1e-300) for a, c, n in pseudo) for i, b in enumerate(points)]
         rising = sum(d > 0 for d in slopes)
         edges = [low, *points, high]
         low, high = edges[rising], edges[rising + 1]

@@ -35,10 +35,10 @@ def _stats(counts: dict | None) -> dict:
     return {STATS.get(k, k): 0 if v is None else v for k, v in (counts or {}).items()}
 
 
-def model_rows(
-    spark: SparkSession, job: str, fit: Fit, stats: dict | None = None, neutral: dict | None = None, prior: Params | None = None, args: dict | None = None,
+def model_values(
+    job: str, fit: Fit, stats: dict | None = None, neutral: dict | None = None, prior: Params | None = None, args: dict | None = None,
     neutral_model: Params | None = None, neutral_prior: Params | None = None,
-) -> DataFrame:
+) -> list[tuple[str, str, str, str]]:
     """A fit in long form: job, section, key, value."""
     model = lambda p: {k: f"{v:.20f}" for k, v in _params(p).items()} if p else {}
     made = derived(fit.params)
@@ -53,8 +53,17 @@ def model_rows(
         "PRIOR_MODEL": model(prior),
         "PRIORN_MODEL": model(neutral_prior),
     }
-    rows = [(job, s, k, str(v)) for s, kv in sections.items() for k, v in kv.items()]
-    return spark.createDataFrame(rows, _RESULT)
+    return [(job, s, k, str(v)) for s, kv in sections.items() for k, v in kv.items()]
+
+
+def model_rows(spark: SparkSession, *fit, **more) -> DataFrame:
+    """``model_values`` of one fit as a DataFrame."""
+    return model_table(spark, model_values(*fit, **more))
+
+
+def model_table(spark: SparkSession, values: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Fits in long form, of one job or many."""
+    return spark.createDataFrame(values, _RESULT)
 
 
 def model_text(rows: DataFrame) -> DataFrame:
