@@ -24,14 +24,14 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, running_sums
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -157,9 +157,23 @@ def fertility(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.select("doc_id", "lang", "text").mapInArrow(_measure(model), _SCHEMA)
 
 
+def quartiles(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Exact quartiles of ``value`` by ``group``: (group, value_q1, value_q2, value_q3).
+
+    A quartile is the least value with a quarter, half or three quarters of the group's
+    rows up to it. Equal values are one row with their count, and the counts are summed in
+    order over ranges, so that no task holds a group and every run gives the same.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    summed = materialize(running_sums(counts, [group, value], before=F.col("n")), "ranks")
+    whole = summed.groupBy(group).agg(F.sum("n").alias("total"), F.min("before").alias("first"))
+    upto = F.col("before") - F.col("first") + F.col("n")
+    placed = summed.join(whole, group)
+    return placed.groupBy(group).agg(*[F.min(F.when(4 * upto >= k * F.col("total"), F.col(value))).alias(f"{value}_q{k}") for k in (1, 2, 3)])
+
+
 def _band(x: str) -> list[Column]:
-    q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
-    low, mid, high = q[0], q[1], q[2]
+    low, mid, high = (F.col(f"{x}_q{k}") for k in (1, 2, 3))
     top = F.lit(float("inf")) if x == "token_entropy" else F.greatest(high + REACH * (high - low), mid + FLOORS[x])
     return [mid.alias(f"{x}_mid"), F.least(low - REACH * (high - low), mid - FLOORS[x]).alias(f"{x}_low"), top.alias(f"{x}_high")]
 
@@ -169,7 +183,9 @@ def judge(docs: DataFrame, model_path: str) -> DataFrame:
     measured = materialize(fertility(docs, model_path), "fertility")
     most = F.log2(F.least(F.col("n_pieces"), F.lit(FULL)).cast("double"))
     scaled = measured.withColumn("token_entropy", F.col("token_entropy") - most)
-    bands = scaled.where("NOT base_failed").groupBy("grp").agg(*[b for x in FLOORS for b in _band(x)])
+    good = scaled.where("NOT base_failed")
+    found = reduce(lambda l, r: l.join(r, "grp", "full"), [quartiles(good, "grp", x) for x in FLOORS])
+    bands = materialize(found.select("grp", *[b for x in FLOORS for b in _band(x)]), "bands")
     # One language can hold most documents: its band is copied to SALTS keys, and they are dealt over these.
     salted = bands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     judged = scaled.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_pieces"), F.lit(SALTS)).cast("int")).join(salted, ["grp", "salt"], "left")

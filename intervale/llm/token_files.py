@@ -16,10 +16,12 @@ A block's width is the least that fits nine of ten of its differences. The rest
 keep their low bits in place and their high parts in the exception list. ``fetch``
 seeks by the block index: it decodes only the blocks that a range of ids touches.
 
-The library encodes everything. Text is cut before blanks, and each distinct piece is
-encoded once: where no token of a byte-level vocabulary holds a blank inside, every blank
-starts a token, so a cut there changes no id. Texts with one of the few tokens that do
-hold one go to the library whole. Tokenizers of other kinds are refused.
+Text is cut before blanks, and each distinct piece is encoded once by the library's own
+model step; words of Latin text are split by a copy of the tokenizer's published pattern,
+which tests hold against the library. Where no token of a byte-level vocabulary holds a
+blank inside, every blank starts a token, so a cut there changes no id. Texts with one of
+the few tokens that do hold one go to the library whole. Tokenizers of other kinds are
+refused.
 
 Defined cases: a null or empty text is just the end id; repeated rows are written
 each; the last block of a segment repeats its last id to fill up; empty input gives

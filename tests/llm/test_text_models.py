@@ -367,3 +367,14 @@ def test_toxicity_prefixes_carry_to_new_words():
     prefixes = {"vequt": (9, 0), "vequ": (27, 0), "veq": (27, 0), "ves": (5, 45), "calm": (10, 90)}
     scores = toxicity.Scores(toxicity.log_odds(words, prefixes, 100, 900))
     assert scores["vequxyz"] > 2 and scores["vest"] < 0 and scores["unknown"] == -toxicity.DRIFT
+
+
+def test_quartiles_do_not_depend_on_partitions(spark):
+    """Exact, and the same under three partitionings, over more values than a sketch would keep."""
+    rng = np.random.default_rng(9)
+    values = np.concatenate([rng.normal(4, 1, 29_000), np.full(1_000, 4.0)])
+    df = spark.createDataFrame([("en", float(v)) for v in values] + [("de", 1.0), ("de", 3.0), ("fr", None), (None, 2.0)], "grp string, x double")
+    found = [sorted(map(tuple, quality_rules.quartiles(df.repartition(n), "grp", "x").where("grp IS NOT NULL").collect())) for n in (1, 3, 16)]
+    ordered = np.sort(values)
+    want = [float(ordered[-(-k * len(ordered) // 4) - 1]) for k in (1, 2, 3)]
+    assert found[0] == found[1] == found[2] == [("de", 1.0, 1.0, 3.0), ("en", *want)]
