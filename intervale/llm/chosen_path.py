@@ -44,7 +44,7 @@ LEAST, RECALL = (17, 20), 0.99999
 #: Minwise values of a sketch; places that each level may choose from; places that tell a hub.
 PLACES, LEVEL, HUB = 128, 16, 16
 #: Entries outside a node's largest class up to which it is compared, entries of a block, depth of a tree.
-OPEN, BLOCK, DEPTH = 256, 2048, 24
+OPEN, BLOCK, DEPTH = 2048, 2048, 24
 #: Average share of minwise values from which a node is dense; entries up to which dense nodes are compared.
 CLOSE, DENSE = 0.4, 50_000
 #: Links and pairs that a task takes at a time.
