@@ -184,7 +184,7 @@ _INDEX = "cluster long, docs array<bigint>, terms array<string>, ends array<int>
 
 
 def _clusters(total: int, length: int):
-    """Invert a bucket of documents into the rows of its clusters."""
+    """Invert a cluster's documents into its row."""
 
     def row(cluster: int, docs: list[dict]) -> dict:
         names: dict[str, int] = {}
@@ -240,9 +240,8 @@ class Index:
             at += cuts.get(leaf, 1)
         plan = F.broadcast(self.spark.createDataFrame(first, "leaf int, first long, cuts long"))  # MAX_LEAVES rows
         number = F.col("first") + F.pmod(F.xxhash64("doc_id", "n", "terms"), F.col("cuts"))
-        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), at // 8)
-        dealt = routed.join(plan, "leaf").withColumn("cluster", number).withColumn("bucket", F.pmod("cluster", F.lit(buckets)).cast("int"))
-        made = dealt.select("bucket", "cluster", "doc_id", "n", "terms", "tfs").groupBy("bucket").applyInArrow(_clusters(self.total, max(1, self.length)), _INDEX)
+        dealt = routed.join(plan, "leaf").withColumn("cluster", number)
+        made = dealt.select("cluster", "doc_id", "n", "terms", "tfs").groupBy("cluster").applyInArrow(_clusters(self.total, max(1, self.length)), _INDEX)
         self.rows = materialize(made, "index")
 
     def bounds(self) -> DataFrame:
