@@ -42,6 +42,8 @@ TERM_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K = 10
 #: Documents that fit the tree, and terms of each; documents and postings that a cluster should hold; leaves of the tree at most.
 TREE_SAMPLE, SAMPLE_TERMS, CLUSTER, POSTINGS, MAX_LEAVES = 2048, 128, 512, 200_000, 64
+#: Distinct terms that a batch of the forward table holds before it is passed on.
+BATCH_TERMS = 200_000
 #: Rounds of swaps of a bisection; smallest set that is bisected; terms that tell halves apart, a node.
 ROUNDS, SMALLEST, NODE_TERMS = 8, 32, 4096
 #: Clusters that each query visits first.
@@ -57,27 +59,41 @@ def terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").translate(_UPPER))
 
 
-def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct terms and their counts."""
-    for whole in batches:
-        for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-            names, words, counts, ends, sizes = [], [], [], [0], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+_FORWARD = "leaf int, doc_id long, n long, terms array<string>, tfs array<int>"
+
+
+def _forward(tree):
+    """Each document's distinct terms, their counts, and its leaf of the broadcast ``tree`` (without one: 0)."""
+
+    def batch(rows: list[tuple[int | None, int, Counter]]) -> pa.RecordBatch:
+        words = [w for _, _, held in rows for w in held]
+        ends = np.r_[0, np.cumsum([len(held) for _, _, held in rows])].astype(np.int64)
+        leaves = tree.value.leaves(ends, words) if tree else np.zeros(len(rows), np.int32)
+        offsets = pa.array(ends, pa.int32())
+        counts = pa.array([c for _, _, held in rows for c in held.values()], pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(words, pa.string()), counts)]
+        names, sizes = (pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), names, sizes, *lists], ["leaf", "doc_id", "n", "terms", "tfs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for whole in batches:
+            for name, text in zip(whole.column(0).to_pylist(), whole.column(1)):
                 if found := terms(text.as_py()):
-                    held = Counter(found)
-                    words += held.keys()
-                    counts += held.values()
-                    names.append(name)
-                    sizes.append(len(found))
-                    ends.append(len(words))
-            offsets = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((words, pa.string()), (counts, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "n", "terms", "tfs"])
+                    rows.append((name, len(found), Counter(found)))
+                    size += len(rows[-1][2])
+                if size >= BATCH_TERMS:
+                    yield batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    return run
 
 
-def forward(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, n, terms, tfs), documents without terms left out."""
-    return materialize(docs.select("doc_id", "text").mapInArrow(_forward, "doc_id long, n long, terms array<string>, tfs array<int>"), "forward")
+def forward(docs: DataFrame, tree=None) -> DataFrame:
+    """``docs`` (doc_id, text) as (leaf, doc_id, n, terms, tfs), documents without terms left out."""
+    return docs.select("doc_id", "text").mapInArrow(_forward(tree), _FORWARD)
 
 
 def _cost(counts: np.ndarray, size: float) -> np.ndarray:
@@ -97,12 +113,15 @@ def bisect(ends: np.ndarray, words: np.ndarray, n_words: int) -> tuple[np.ndarra
     n = len(ends) - 1
     doc = np.repeat(np.arange(n), np.diff(ends))
     right = np.arange(n) >= n // 2
+    every = np.bincount(words, minlength=n_words)
     for _ in range(ROUNDS):
-        a, b = np.bincount(words[~right[doc]], minlength=n_words), np.bincount(words[right[doc]], minlength=n_words)
+        side = right[doc]
+        b = np.bincount(words[side], minlength=n_words)
+        a = every - b
         size_a, size_b = max(1, int((~right).sum())), max(1, int(right.sum()))
         now = _cost(a, size_a) + _cost(b, size_b)
         to_right, to_left = now - _cost(a - 1.0, size_a) - _cost(b + 1.0, size_b), now - _cost(a + 1.0, size_a) - _cost(b - 1.0, size_b)
-        gain = np.bincount(doc, np.where(right[doc], to_left[words], to_right[words]), minlength=n)
+        gain = np.bincount(doc, np.r_[to_right, to_left][words + side * n_words], minlength=n)
         left_at, right_at = np.flatnonzero(~right), np.flatnonzero(right)
         left_at, right_at = left_at[np.argsort(-gain[left_at], kind="stable")], right_at[np.argsort(-gain[right_at], kind="stable")]
         m = min(len(left_at), len(right_at))
@@ -111,7 +130,8 @@ def bisect(ends: np.ndarray, words: np.ndarray, n_words: int) -> tuple[np.ndarra
         if not m:
             break
         right[left_at[:m]], right[right_at[:m]] = True, False
-    return right, np.bincount(words[~right[doc]], minlength=n_words), np.bincount(words[right[doc]], minlength=n_words)
+    b = np.bincount(words[right[doc]], minlength=n_words)
+    return right, every - b, b
 
 
 def _taken(ends: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +164,8 @@ class Tree:
         names: dict[str, int] = {}
         ends = np.r_[0, np.cumsum([len(d) for d in docs])].astype(np.int64)
         words = np.fromiter((names.setdefault(w, len(names)) for d in docs for w in d), np.int64, int(ends[-1]))
-        self.names = list(names)
+        self.names = names
         self.root = self._grow(ends, words, leaves)
-        del self.names
 
     def _grow(self, ends: np.ndarray, words: np.ndarray, leaves: int):
         n = len(ends) - 1
@@ -159,25 +178,28 @@ class Tree:
         pull = (_cost(b + 1.0, size_b + 1) - _cost(b, size_b)) - (_cost(a + 1.0, size_a + 1) - _cost(a, size_a))
         told = np.argsort(-np.abs(pull) * (a + b), kind="stable")[:NODE_TERMS]
         unseen = float(_cost(np.ones(1), size_b + 1)[0] - _cost(np.ones(1), size_a + 1)[0])
-        held = {self.names[i]: float(pull[i]) for i in told.tolist() if a[i] + b[i]}
+        told = told[a[told] + b[told] > 0]
         left, other = (self._grow(*_taken(ends, words, np.flatnonzero(side)), part) for side, part in ((~right, leaves - leaves // 2), (right, leaves // 2)))
-        return held, unseen, left, other
-
-    def leaf(self, found: list[str]) -> int:
-        node = self.root
-        while not isinstance(node, int):
-            held, unseen, left, right = node
-            node = left if sum(held.get(w, unseen) for w in found) >= 0 else right
-        return node
-
-
-def _route(tree):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaves = [tree.value.leaf(found) for found in batch.column("terms").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), *batch.columns], ["leaf", *batch.schema.names])
-
-    return run
+        return told, pull[told], unseen, left, other
+
+    def leaves(self, ends: np.ndarray, words: list[str]) -> np.ndarray:
+        """The leaves of documents given as runs of ``words``, none of them empty."""
+        miss, at = len(self.names), self.names.get
+        found = np.fromiter((at(w, miss) for w in words), np.int64, len(words))
+        out = np.zeros(len(ends) - 1, np.int32)
+        todo = [(self.root, np.arange(len(out)))]
+        while todo:
+            node, docs = todo.pop()
+            if isinstance(node, int):
+                out[docs] = node
+            elif len(docs):
+                told, pull, unseen, left, right = node
+                pulls = np.full(miss + 1, unseen)
+                pulls[told] = pull
+                own, held = _taken(ends, found, docs)
+                stays = np.add.reduceat(pulls[held], own[:-1]) >= 0
+                todo += [(left, docs[stays]), (right, docs[~stays])]
+        return out
 
 
 _INDEX = "cluster long, docs array<bigint>, terms array<string>, ends array<int>, places array<int>, impacts array<bigint>, tops array<bigint>"
@@ -186,54 +208,51 @@ _INDEX = "cluster long, docs array<bigint>, terms array<string>, ends array<int>
 def _clusters(total: int, length: int):
     """Invert a cluster's documents into its row."""
 
-    def row(cluster: int, docs: list[dict]) -> dict:
-        names: dict[str, int] = {}
-        ends = np.r_[0, np.cumsum([len(d["terms"]) for d in docs])].astype(np.int64)
-        words = np.fromiter((names.setdefault(w, len(names)) for d in docs for w in d["terms"]), np.int64, int(ends[-1]))
-        order = reordered(ends, words)
+    def run(bucket: pa.Table) -> pa.Table:
+        cluster = bucket.column("cluster")[0].as_py()
+        named = list(zip(bucket.column("doc_id").to_pylist(), bucket.column("n").to_pylist()))
+        times = Counter(named)
+        first = sorted(range(len(named)), key=lambda i: (named[i][0] is None, named[i][0] or 0, named[i][1], bucket.column("terms")[i].as_py() if times[named[i]] > 1 else []))
+        found, tfs = (_whole(bucket.column(c)) for c in ("terms", "tfs"))
+        coded = found.flatten().dictionary_encode()
+        ends = np.r_[0, np.cumsum(found.value_lengths().to_numpy())].astype(np.int64)
+        words, tf = coded.indices.to_numpy().astype(np.int64), tfs.flatten().to_numpy().astype(np.int64)
+        first = np.array(first, np.int64)
+        order = first[reordered(*_taken(ends, words, first))]
         sizes = np.diff(ends)[order]
-        _, words = _taken(ends, words, order)
-        docs = [docs[i] for i in order.tolist()]
-        tf = np.fromiter((c for d in docs for c in d["tfs"]), np.int64, len(words))
-        m = np.array([100 - 75 + (75 * d["n"] * total) // length for d in docs], np.int64)
-        place = np.repeat(np.arange(len(docs)), sizes)
-        impact = (1_000_000_000 * tf) // (1000 * tf + 8 * m[place])
+        (_, words), (_, tf) = (_taken(ends, x, order) for x in (words, tf))
+        named = [named[i] for i in order.tolist()]
+        m = np.array([100 - 75 + (75 * n * total) // length for _, n in named], np.int64)
+        place = np.repeat(np.arange(len(named)), sizes)
         by_word = np.argsort(words, kind="stable")
-        counts = np.bincount(words, minlength=len(names))
-        stops = np.cumsum(counts)
-        listed = impact[by_word]
-        tops = np.maximum.reduceat(listed, np.r_[0, stops[:-1]])
-        return {"cluster": cluster, "docs": [d["doc_id"] for d in docs], "terms": list(names), "ends": stops.astype(np.int32), "places": place[by_word].astype(np.int32), "impacts": listed, "tops": tops}
-
-    def run(bucket: pa.Table) -> pa.Table:
-        by: dict[int, list[dict]] = {}
-        for d in bucket.select(["cluster", "doc_id", "n", "terms", "tfs"]).to_pylist():
-            by.setdefault(d.pop("cluster"), []).append(d)
-        rows = [row(c, sorted(docs, key=lambda d: (d["doc_id"] is None, d["doc_id"] or 0, d["n"], d["terms"]))) for c, docs in sorted(by.items())]
-        kinds = (("cluster", pa.int64()), ("docs", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("ends", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int64())), ("tops", pa.list_(pa.int64())))
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in kinds], [k for k, _ in kinds])
+        stops = np.cumsum(np.bincount(words, minlength=len(coded.dictionary)))
+        impacts = ((1_000_000_000 * tf) // (1000 * tf + 8 * m[place]))[by_word]
+        tops = np.maximum.reduceat(impacts, np.r_[0, stops[:-1]])
+        lists = {"docs": pa.array([name for name, _ in named], pa.int64()), "terms": coded.dictionary, "ends": pa.array(stops, pa.int32()), "places": pa.array(place[by_word], pa.int32()), "impacts": pa.array(impacts, pa.int64()), "tops": pa.array(tops, pa.int64())}
+        return pa.table([pa.array([cluster], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists.values())], ["cluster", *lists])
 
     return run
 
 
+def _whole(column: pa.ChunkedArray) -> pa.ListArray:
+    return pa.concat_arrays(column.chunks)
+
+
 class Index:
     """The clustered index of ``docs`` (doc_id, text)."""
 
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
-        rows = forward(docs)
-        self.total, self.length, postings = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-        leaves = max(1, min(MAX_LEAVES, self.total // CLUSTER))
+        count = docs.count()
         # About twice the sample by hash, then the least hashes of it; of a document the terms of least hash.
-        mark = F.xxhash64("doc_id", "n", "terms")
+        few = forward(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, count // (2 * TREE_SAMPLE)))) == 0))
         told = F.slice(F.array_sort(F.transform("terms", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), 1, SAMPLE_TERMS)["t"]
-        few = rows.select("terms", mark.alias("mark")).where(F.pmod("mark", F.lit(max(1, self.total // (2 * TREE_SAMPLE)))) == 0)
-        sample = few.select("mark", told.alias("terms")).orderBy("mark", "terms").limit(TREE_SAMPLE).toArrow().column("terms").to_pylist()
-        self.tree = Tree(sample, leaves)
-        held = self.spark.sparkContext.broadcast(self.tree)
-        routed = materialize(rows.mapInArrow(_route(held), f"leaf int, {'doc_id long, n long, terms array<string>, tfs array<int>'}"), "routed")
-        sizes = routed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("p")).collect()  # one row a leaf
-        cuts = {r.leaf: max(-(-r.n // CLUSTER), -(-r.p // POSTINGS)) for r in sizes}
+        sample = few.select(F.xxhash64("doc_id", "n", "terms").alias("mark"), told.alias("terms")).orderBy("mark", "terms").limit(TREE_SAMPLE).toArrow().column("terms").to_pylist()
+        self.tree = Tree(sample, max(1, min(MAX_LEAVES, count // CLUSTER)))
+        routed = materialize(forward(docs, self.spark.sparkContext.broadcast(self.tree)), "routed")
+        sizes = routed.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.sum(F.size("terms")).alias("p")).collect()  # one row a leaf
+        self.total, self.length = sum(r.docs for r in sizes), sum(r.n for r in sizes)
+        cuts = {r.leaf: max(-(-r.docs // CLUSTER), -(-r.p // POSTINGS)) for r in sizes}
         first, at = [], 0
         for leaf in range(self.tree.count):
             first.append((leaf, at, cuts.get(leaf, 1)))
