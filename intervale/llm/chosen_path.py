@@ -344,8 +344,8 @@ class Join:
         rows = units.count()
         n = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), rows // BUCKET)
         full = units.join(self.sets, "key").withColumn("bucket", F.pmod("unit", F.lit(n)).cast("int"))
-        made = full.groupBy("bucket").applyInArrow(_compare(self.low, self.part, self.whole, forest), "a long, b long")
-        return materialize(made.distinct().coalesce(max(1, -(-rows // TASK))), "pairs")
+        made = materialize(full.groupBy("bucket").applyInArrow(_compare(self.low, self.part, self.whole, forest), "a long, b long"), "found")
+        return materialize(made.distinct().coalesce(max(1, -(-made.count() // TASK))), "pairs")
 
     def meet_hubs(self, rows: DataFrame) -> DataFrame:
         """Verify the pairs of each node's hub, the entry with most of the node's common values.
