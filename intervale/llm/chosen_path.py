@@ -15,7 +15,8 @@ common minwise values, and what is verified there joins; then they branch on. No
 entries are so close to each other that a branching would not leave fewer pairs, and those
 that are still large at DEPTH, are compared in blocks, so nothing is capped. Pairs pass a
 filter of sizes and sketches, and all links are confirmed on the full sets: first those of
-a forest that spans each node, then the pairs that this left apart.
+a forest that spans each node, then the pairs that this left apart, in the tasks where they
+meet, so that rows are made of entries and links only and never of all candidates.
 
 Defined cases: words are lower-cased in ASCII and cut at ASCII white space; a text of
 fewer words is one shingle; texts without words (null, empty) are linked with nothing
@@ -49,6 +50,8 @@ OPEN, BLOCK, DEPTH = 2048, 2048, 24
 CLOSE, DENSE = 0.4, 50_000
 #: Links and pairs that a task takes at a time.
 TASK = 100_000
+#: Members of the full sets that a task holds at a time, for about half of its entries.
+HELD = 2_000_000
 #: Rows of a bucket of nodes; places of the filter of texts; words a worker remembers; texts of a slice.
 BUCKET, TEXTS, _MEMO, _SLICE = 20_000, 1 << 22, 100_000, 1000
 
@@ -184,29 +187,40 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], ["node", "coded", "n"])
 
 
-def _compare(low: int, part: int, whole: int, forest: bool):
-    """Open pairs of a bucket's units whose sizes and sketches let them be similar enough.
+def _units(bucket: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """A bucket's units: places in the bucket, keys, roots, sizes, whether minor, sketches."""
+    unit = bucket.column("unit").to_numpy()
+    order = np.argsort(unit, kind="stable")
+    keys, root, n = (bucket.column(c).to_numpy().astype(np.int64) for c in ("key", "root", "n"))
+    minor, values = bucket.column("minor").to_numpy(zero_copy_only=False), _matrix(bucket.column("sketch"))
+    for at in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+        yield at, keys[at], root[at], n[at], minor[at], values[at]
+
+
+def _candidates(root, n, minor, values, low: int, part: int, whole: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A unit's minor rows, each with the open rows whose sizes and sketches let them be similar enough, and the values shared.
 
-    With ``forest`` a pair that likelier ones connect already is left out.
+    A row that joins the class of a minor one meanwhile is no longer open.
     """
+    later = np.arange(len(n))
+    for i in np.flatnonzero(minor).tolist():
+        able = np.flatnonzero((root != root[i]) & (whole * np.minimum(n, n[i]) >= part * np.maximum(n, n[i])) & (~minor | (later > i)))
+        if len(able):
+            same = ((values[able] if len(able) < len(n) else values) == values[i]).sum(axis=1)
+            near = same >= low
+            if near.any():
+                yield i, able[near], same[near]
+
+
+def _compare(low: int, part: int, whole: int, forest: bool):
+    """Candidate pairs of a bucket's units; with ``forest`` one that likelier ones connect already is left out."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        unit = bucket.column("unit").to_numpy()
-        order = np.argsort(unit, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(unit[order]) != 0])
-        keys, root, n = (bucket.column(c).to_numpy().astype(np.int64) for c in ("key", "root", "n"))
-        minor, values = bucket.column("minor").to_numpy(zero_copy_only=False), _matrix(bucket.column("sketch"))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in np.split(order, starts[1:]):
-            mine, found = values[at], []
-            for i in at[minor[at]].tolist():
-                able = at[(root[at] != root[i]) & (whole * np.minimum(n[at], n[i]) >= part * np.maximum(n[at], n[i])) & (~minor[at] | (at > i))]
-                if len(able):
-                    same = (mine[np.searchsorted(at, able)] == values[i]).sum(axis=1) if len(able) < len(at) else (mine == values[i]).sum(axis=1)
-                    near = same >= low
-                    found.append((same[near], np.full(int(near.sum()), i), able[near]))
-            if found:
-                same, a, b = map(np.concatenate, zip(*found))
+        for _, keys, root, n, minor, values in _units(bucket):
+            if found := list(_candidates(root, n, minor, values, low, part, whole)):
+                a, same = np.repeat([i for i, _, _ in found], [len(able) for _, able, _ in found]), np.concatenate([s for _, _, s in found])
+                b = np.concatenate([able for _, able, _ in found])
                 a, b = np.where(keys[a] > keys[b], a, b), np.where(keys[a] > keys[b], b, a)
                 if forest:  # equal pairs of other units are taken in the same order
                     order = np.lexsort((keys[b], keys[a], -same))
@@ -218,6 +232,51 @@ def _compare(low: int, part: int, whole: int, forest: bool):
     return run
 
 
+def _touched(low: int, part: int, whole: int):
+    """Rows of a bucket's units that are in a candidate pair there."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        kept = np.zeros(bucket.num_rows, bool)
+        for at, _, root, n, minor, values in _units(bucket):
+            for i, able, _ in _candidates(root, n, minor, values, low, part, whole):
+                kept[at[i]] = True
+                kept[at[able]] = True
+        return bucket.select(["unit", "key", "root", "minor"]).filter(pa.array(kept))
+
+    return run
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places from each start on, as many as its size, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])
+
+
+def _confirm(low: int, part: int, whole: int):
+    """Links of a bucket's units that connect what the candidates similar on their full sets connect."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        made, sets = [], bucket.column("found").combine_chunks()
+        starts, members = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
+        for at, keys, root, n, minor, values in _units(bucket):
+            sizes = starts[at + 1] - starts[at]
+            _, ids = np.unique(members[_ranges(starts[at], sizes)], return_inverse=True)
+            first, held = np.cumsum(sizes) - sizes, np.zeros(ids.max() + 1, np.int32)
+            for i, able, _ in _candidates(root, n, minor, values, low, part, whole):
+                own = ids[first[i] : first[i] + sizes[i]]
+                held[own] = 1
+                common = np.add.reduceat(held[ids[_ranges(first[able], sizes[able])]], np.cumsum(sizes[able]) - sizes[able])
+                held[own] = 0
+                for j in able[common.astype(np.int64) * (part + whole) >= (sizes[i] + sizes[able]) * part].tolist():
+                    if root[j] != root[i]:
+                        made.append((max(keys[i], keys[j]), min(keys[i], keys[j])))
+                        root[root == root[j]] = root[i]
+        a, b = np.array(made, np.int64).reshape(-1, 2).T
+        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
 def _spanning(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a forest over classes, the first ones first."""
     up: dict[int, int] = {}
@@ -274,24 +333,31 @@ class Join:
 
     def verified(self, pairs: DataFrame, n: int) -> DataFrame:
         """Those of ``n`` ``pairs`` (a, b) whose full sets are similar enough."""
-        names = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(self.sets.select("key", "name"), "key")
+        sets = self.full(pairs.select(F.explode(F.array("a", "b")).alias("key")), n)
+        for side in "ab":
+            pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("found").alias(f"found_{side}")), side)
+        both, common = F.size("found_a") + F.size("found_b"), F.size(F.array_intersect("found_a", "found_b"))
+        return materialize(pairs.where(common * (self.part + self.whole) >= both * self.part).select("a", "b"), "links")
+
+    def full(self, keys: DataFrame, n: int) -> DataFrame:
+        """The full sets of the entries named in ``n`` ``keys`` (key), as (key, found)."""
+        names = keys.distinct().join(self.sets.select("key", "name"), "key")
         keys = materialize(names.coalesce(-(-n // TASK)), "keys")
         named = self.marked.select("name", "content").join(keys, "name", "left_semi")
         places = np.zeros(TEXTS, bool)
         places[named.select(F.col("content").bitwiseAND(TEXTS - 1).alias("at")).distinct().toArrow().column("at").to_numpy()] = True
         held = self.spark.sparkContext.broadcast(places)
         found = self.docs.select(content().alias("content"), "text").mapInArrow(_chosen(held), "name binary, found array<long>")
-        sets = materialize(found.join(keys, "name").dropDuplicates(["key"]).select("key", "found"), "full")
-        for side in "ab":
-            pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("found").alias(f"found_{side}")), side)
-        both, common = F.size("found_a") + F.size("found_b"), F.size(F.array_intersect("found_a", "found_b"))
-        return materialize(pairs.where(common * (self.part + self.whole) >= both * self.part).select("a", "b"), "links")
+        return materialize(found.join(keys, "name").dropDuplicates(["key"]).select("key", "found"), "full")
 
     def add(self, pairs: DataFrame) -> None:
         """Verify ``pairs`` and join the classes that they link."""
-        if not (n := pairs.count()):
-            return
-        tasks, made = -(-n // TASK), self.verified(pairs, n)
+        if n := pairs.count():
+            self.merge(self.verified(pairs, n), n)
+
+    def merge(self, made: DataFrame, n: int) -> None:
+        """Join the classes that ``made`` (a, b) links, found among ``n`` rows."""
+        tasks = -(-n // TASK)
         if self.roots is not None:
             for side in "ab":
                 made = self.rooted(made.withColumnRenamed(side, "key")).select(F.col("root").alias(side), *[c for c in made.columns if c != side])
@@ -327,26 +393,53 @@ class Join:
         self.aside.append(live.where("few").select("node", "key"))
         return live.where("NOT few").select("node", "key")
 
+    def units(self, rows: DataFrame, blocks: Column, parts: Column) -> DataFrame:
+        """``rows`` (node, key, root, minor) in units: a block of a node's rows with a part of its minor rows."""
+        number = lambda n: F.pmod(F.xxhash64("node", "key"), n)
+        each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        # A minor row goes to all blocks for its own part, and any row to its own block for all parts.
+        own = rows.withColumns({"block": F.explode(each(blocks)), "part": number(parts)}).where("minor")
+        rest = rows.withColumns({"block": number(blocks), "part": F.explode(each(parts))})
+        rest = rest.where(~F.col("minor") | (F.col("part") != number(parts))).withColumn("minor", F.lit(False))
+        return materialize(own.unionByName(rest).select(F.xxhash64("node", "block", "part").alias("unit"), "key", "root", "minor"), "units")
+
+    def of_nodes(self, rows: DataFrame) -> DataFrame:
+        """Units of nodes, with the sketches of their entries, grouped by bucket."""
+        units = self.units(rows, F.ceil(F.col("size") / BLOCK), F.ceil(F.expr("size - most") / BLOCK))
+        return self.in_buckets(units.join(self.sets.select("key", "n", "sketch"), "key"), units.count() // BUCKET)
+
+    def in_buckets(self, units: DataFrame, n: int):
+        n = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), n)
+        return units.withColumn("bucket", F.pmod("unit", F.lit(n)).cast("int")).groupBy("bucket")
+
     def compare(self, rows: DataFrame, forest: bool) -> DataFrame:
         """Candidates (a, b) among the minor rows of each node and all its rows.
 
-        A unit is a block of a node's rows with a part of its minor rows. ``forest`` gives
-        pairs that connect what the candidates of a unit connect, else all are given.
+        ``forest`` gives pairs that connect what the candidates of a unit connect, else all are given.
         """
-        number = lambda n: F.pmod(F.xxhash64("key"), n)
-        each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        blocks, parts = F.ceil(F.col("size") / BLOCK), F.ceil(F.expr("size - most") / BLOCK)
-        # A minor row goes to all blocks for its own part, and any row to its own block for all parts.
-        own = rows.withColumns({"block": F.explode(each(blocks)), "part": number(parts)}).where("minor")
-        rest = rows.withColumns({"block": number(blocks), "part": F.explode(each(parts)), "minor": F.lit(False)})
-        rest = rest.where((F.expr("root") == F.col("top")) | (F.col("part") != number(parts)))
-        units = materialize(own.unionByName(rest).select(F.xxhash64("node", "block", "part").alias("unit"), "key", "root", "minor"), "units")
-        rows = units.count()
-        n = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), rows // BUCKET)
-        full = units.join(self.sets, "key").withColumn("bucket", F.pmod("unit", F.lit(n)).cast("int"))
-        made = materialize(full.groupBy("bucket").applyInArrow(_compare(self.low, self.part, self.whole, forest), "a long, b long"), "found")
+        made = materialize(self.of_nodes(rows).applyInArrow(_compare(self.low, self.part, self.whole, forest), "a long, b long"), "found")
         return materialize(made.distinct().coalesce(max(1, -(-made.count() // TASK))), "pairs")
 
+    def confirm(self, rows: DataFrame) -> None:
+        """Join the classes of all similar pairs of the nodes of ``rows``.
+
+        The entries with a candidate in a unit meet there again with their full sets, in
+        units of their own where these are large, and are compared; the links of a unit are
+        a forest.
+        """
+        limits = self.low, self.part, self.whole
+        touched = materialize(self.of_nodes(rows).applyInArrow(_touched(*limits), "unit long, key long, root long, minor boolean"), "touched")
+        if not (n := touched.count()):
+            return
+        sets = self.full(touched.select("key"), n)
+        weighed = touched.withColumnRenamed("unit", "node").join(self.sets.select("key", "n"), "key")
+        nodes = weighed.groupBy("node").agg(F.sum("n").alias("held"), F.sum(F.expr("if(minor, n, 0)")).alias("minors"))
+        units = self.units(weighed.join(nodes, "node"), F.ceil(F.col("held") / HELD), F.ceil(F.col("minors") / HELD)).join(self.sets.select("key", "n", "sketch"), "key")
+        held = units.agg(F.sum("n")).first()[0]
+        made = self.in_buckets(units.join(sets, "key"), held // HELD).applyInArrow(_confirm(*limits), "a long, b long")
+        made = materialize(made.distinct(), "confirmed")
+        self.merge(made, max(1, made.count()))
+
     def meet_hubs(self, rows: DataFrame) -> DataFrame:
         """Verify the pairs of each node's hub, the entry with most of the node's common values.
 
@@ -384,8 +477,8 @@ class Join:
             rows = self.branch(rows.join(self.sets, "key").select("node", "key", "sketch"), depth)
         self.aside.append(rows)
         every = reduce(DataFrame.unionByName, self.aside)
-        for forest in (True, False):
-            self.add(self.compare(materialize(self.open_nodes(every), "open"), forest))
+        self.add(self.compare(materialize(self.open_nodes(every), "open"), True))
+        self.confirm(materialize(self.open_nodes(every), "open"))
 
     def classes(self) -> DataFrame:
         """Rows of ``docs`` as (doc_id, content, n, root); those without words have root -1."""

@@ -118,6 +118,40 @@ def test_shared_paragraphs_lead_to_few_comparisons(spark):
     assert verified[1] < 2000
 
 
+def below_threshold(n):
+    """Edits of one text, most pairs of which are a little less similar than the threshold."""
+    rng, base, texts = random.Random(n), [f"g{i}" for i in range(200)], []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(200), 3):
+            words[at] = f"new{rng.random()}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_near_candidates_make_no_rows(spark, monkeypatch):
+    """Pairs that only the sketches let through are refused where they meet; units by weight find the same links."""
+    made = []
+    stored = chosen_path.materialize
+
+    def counted(df, name):
+        made.append((stored(df, name), name))
+        return made[-1][0]
+
+    monkeypatch.setattr(chosen_path, "materialize", counted)
+    texts = below_threshold(300)
+    sets, want = classes_by_hand(texts)
+    assert len(set(want)) > 20 and len(set(want)) < len(texts)
+    assert sum(17 * (len(a) + len(b)) > 37 * len(a & b) for i, a in enumerate(sets) for b in sets[:i]) > 30_000
+    for held in (chosen_path.HELD, 3000):
+        monkeypatch.setattr(chosen_path, "HELD", held)
+        made.clear()
+        got = joined(spark, texts)
+        assert [got[i].component_id for i in range(len(texts))] == want
+        rows = {name: sum(df.count() for df, n in made if n == name) for name in ("found", "pairs", "links", "confirmed")}
+        assert max(rows.values()) < 20 * len(texts), rows
+
+
 def test_recall_of_trees():
     """The chance of a miss, by drawing paths of pairs at the threshold."""
     rng = np.random.default_rng(3)
