@@ -225,3 +225,23 @@ def test_fingerprints_give_first_candidates(spark):
     assert 0 < pairs.count() <= 3
     roots = {r.doc_id: r.root for r in near_copies.near_copies(docs).collect()}
     assert roots[0] == roots[1] == roots[2] != roots[3] == roots[4] != roots[5] == roots[6]
+
+
+def test_near_candidates_make_no_rows(spark, monkeypatch):
+    """Texts of which most pairs lie below the threshold: candidates make few rows, and all links are found."""
+    from intervale.llm import chosen_path, near_copies
+
+    from .test_join_whiten_search import below_threshold, classes_by_hand
+
+    made, stored = [], chosen_path.materialize
+
+    def counted(df, name):
+        made.append((stored(df, name), name))
+        return made[-1][0]
+
+    monkeypatch.setattr(chosen_path, "materialize", counted)
+    texts = below_threshold(200)
+    _, want = classes_by_hand(texts, 4, 5)
+    roots = {r.doc_id: r.root for r in near_copies.near_copies(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    assert 1 < len(set(want)) < len(texts) and len(set(zip(roots.values(), (want[i] for i in roots)))) == len(set(want)) == len(set(roots.values()))
+    assert sum(df.count() for df, name in made if name == "found") < 20 * len(texts)
