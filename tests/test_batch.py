@@ -58,6 +58,20 @@ def test_jobs_do_not_grow_with_the_sets(spark, database):  # noqa: F811
     assert 0 < many <= few + 8
 
 
+def test_jobs_by_run(spark, database):  # noqa: F811
+    """As above, each run under a job group of its own."""
+    e, sc, counts = en.Engine(database[0]), spark.sparkContext, []
+    for n in (2, 25):
+        loci = spark.createDataFrame(sets(n), "job string, chrom string, st long, en long, weight int")
+        sc.setJobGroup(f"sets-{n}", "", False)
+        try:
+            fit_batch(e, loci)
+            counts.append(len(sc.statusTracker().getJobIdsForGroup(f"sets-{n}")))
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < counts[1] <= counts[0] + 8
+
+
 def test_a_bad_file_does_not_stop_the_service(spark, database, tmp_path):  # noqa: F811
     inbox = tmp_path / "inbox"
     inbox.mkdir()
