@@ -122,6 +122,63 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int | None = None, ho
     )
 
 
+def _ends(df: DataFrame, *others: str) -> DataFrame:
+    """Both ends of each interval as rows: chrom, ``others``, at, and way, 1 for a start and -1 for an end."""
+    ends = F.array(*[F.struct(F.col(c).cast("long").alias("at"), F.lit(way).cast("long").alias("way")) for c, way in (("st", 1), ("en", -1))])
+    return df.select("chrom", *others, F.explode(ends).alias("_end")).select("chrom", *others, "_end.at", "_end.way")
+
+
+def _running(df: DataFrame, sums: list[str], region: int) -> DataFrame:
+    """``df``, a row for each (chrom, at), with ``sums`` added up over the positions so far, the row's own included.
+
+    A task orders the rows of a region, or one row for each region of a chromosome.
+    """
+    placed = df.withColumn("_region", _region("at", region))
+    earlier = Window.partitionBy("chrom").orderBy("_region").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("chrom", "_region").agg(*[F.sum(c).alias(c) for c in sums])
+    begun = totals.select("chrom", "_region", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
+    own = Window.partitionBy("chrom", "_region").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed.withColumns({c: F.sum(c).over(own) for c in sums})
+    # Every region has its row; an inner join would filter one of the two uses of ``df``, and then it is made twice.
+    return inner.join(begun, ["chrom", "_region"], "left").withColumns({c: F.col(c) + F.col(f"_{c}") for c in sums}).drop("_region", *[f"_{c}" for c in sums])
+
+
+def overlap_sums(left: DataFrame, right: DataFrame, weight: str = "weight", region: int = 1 << 16) -> DataFrame:
+    """Rows of ``right`` that overlap any of ``left``, with sums over the pairs that ``overlap_join`` would list.
+
+    Added columns: n, the pairs; shared, their positions; weighted, their positions times
+    ``weight`` of ``left``, a whole number (null where all weights met are null). No pair is
+    made: n is what starts before the interval's end less what ends by its start, and the
+    positions are those before its end less those before its start. These counts are
+    running sums over the distinct ends, so the work follows the rows of both sides,
+    however many overlap. With ``at`` a position and d what starts there less what ends
+    there, the positions before ``at`` are ``at`` times the sum of d less the sum of d * at.
+
+    Defined cases are those of ``overlap_join``. ``region`` bounds what a task orders.
+    """
+    whole = f"{_WHOLE} AND chrom IS NOT NULL"
+    l = _ends(left.where(whole).select("chrom", "st", "en", F.col(weight).cast("long").alias("weight")), "weight")  # noqa: E741
+    asked = _ends(right.where(whole).select("chrom", "st", "en").distinct(), "st", "en")
+    rows = l.unionByName(asked.select("chrom", "at", F.lit(0).cast("long").alias("way"), F.lit(None).cast("long").alias("weight")))
+    when = lambda way, c: F.sum(F.when(F.col("way") == way, c).otherwise(0))
+    held = F.col("weight").isNotNull().cast("long")
+    at = rows.groupBy("chrom", "at").agg(
+        when(1, F.lit(1)).cast("long").alias("own"), when(-1, F.lit(1)).cast("long").alias("ended"),
+        when(1, held).alias("own_held"), when(-1, held).alias("ended_held"), F.coalesce(F.sum(F.col("way") * F.col("weight")), F.lit(0)).alias("w"),
+    )
+    at = at.withColumns({"started": F.col("own"), "started_held": F.col("own_held"), "moment": (F.col("own") - F.col("ended")) * F.col("at"), "w_moment": F.col("w") * F.col("at")})
+    so_far = _running(at, ["started", "ended", "moment", "started_held", "ended_held", "w", "w_moment"], region)
+    so_far = so_far.select(
+        "chrom", "at", "ended", "ended_held", (F.col("started") - F.col("own")).alias("before"), (F.col("started_held") - F.col("own_held")).alias("before_held"),
+        (F.col("at") * (F.col("started") - F.col("ended")) - F.col("moment")).alias("area"), (F.col("at") * F.col("w") - F.col("w_moment")).alias("w_area"),
+    )
+    less = lambda end, start: F.sum(F.when(F.col("way") == -1, F.col(end)).otherwise(-F.col(start)))
+    found = asked.join(so_far, ["chrom", "at"]).groupBy("chrom", "st", "en").agg(
+        less("before", "ended").alias("n"), less("area", "area").alias("shared"), F.when(less("before_held", "ended_held") > 0, less("w_area", "w_area")).alias("weighted"),
+    )
+    return right.join(found.where("n > 0"), ["chrom", "st", "en"]).select(*right.columns, "n", "shared", "weighted")
+
+
 def overlap_flags(left: DataFrame, right: DataFrame, width: int | None = None, levels: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """Rows of ``left`` and whether any interval of ``right`` overlaps them, as ``hit``.
 

@@ -78,6 +78,10 @@ def _site_patterns(spark, sf) -> DataFrame:
     return patterns.pattern_counts(item_sites(spark, sf), keys)
 
 
+def _by_block(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("block_id").agg(*[F.sum(c).alias(c) for c in ("n", "shared", "weighted")])
+
+
 def overlap_join(spark, sf) -> DataFrame:
     pairs = intervals.overlap_join(loci(spark, sf), order_blocks(spark, sf), width=16)
     length = F.col("en") - F.col("st")
@@ -89,9 +93,7 @@ def mixed_lengths(spark, sf) -> DataFrame:
     l = _t(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).cast("string").alias("chrom"), _days("l_shipdate").alias("st"), "l_linenumber", F.col("l_quantity").cast("int").alias("weight"), (F.col("l_partkey") % 10 == 0).alias("long"))  # noqa: E741
     l = l.select("chrom", "st", (F.col("st") + F.col("l_linenumber") * F.when(F.col("long"), 400).otherwise(1)).cast("long").alias("en"), "weight")  # noqa: E741
     b = order_blocks(spark, sf).withColumn("en", F.when(F.col("block_id") % 7 == 0, F.col("en") + 90).otherwise(F.col("en")))
-    pairs = intervals.overlap_join(l, b)
-    length = F.col("en") - F.col("st")
-    return pairs.groupBy("block_id").agg(F.count("*").alias("n"), F.sum(length).alias("shared"), F.sum(length * F.col("weight")).alias("weighted"))
+    return _by_block(intervals.overlap_sums(l, b))
 
 
 def overlap_clip(spark, sf) -> DataFrame:
