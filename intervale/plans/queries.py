@@ -83,9 +83,7 @@ def _by_block(sums: DataFrame) -> DataFrame:
 
 
 def overlap_join(spark, sf) -> DataFrame:
-    pairs = intervals.overlap_join(loci(spark, sf), order_blocks(spark, sf), width=16)
-    length = F.col("en") - F.col("st")
-    return pairs.groupBy("block_id").agg(F.count("*").alias("n"), F.sum(length).alias("shared"), F.sum(length * F.col("weight")).alias("weighted"))
+    return _by_block(intervals.overlap_sums(loci(spark, sf), order_blocks(spark, sf)))
 
 
 def mixed_lengths(spark, sf) -> DataFrame:

@@ -49,7 +49,7 @@ def crowded(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["mixed_lengths"])
+@pytest.mark.parametrize("name", ["mixed_lengths", "overlap_join"])
 def test_no_node_makes_pairs(spark, crowded, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
